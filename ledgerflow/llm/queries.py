@@ -22,8 +22,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
+
+
+def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import encode_and_read_back
+
+    return encode_and_read_back(read_documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op5_best_fit_packing, op7_repair_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
