@@ -97,3 +97,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc32_of_id(col) -> F.Column:
     """crc32 of the id written as decimal text."""
     return F.crc32(col.cast("string").cast("binary"))
+
+
+#: For words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the UTF-8 bytes after lower-casing A-Z: every other byte becomes a space.
+WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased (A-Z only) words of letters, digits and non-ASCII characters, as UTF-8 bytes."""
+    return text.encode().translate(WORD_BYTES).split()
