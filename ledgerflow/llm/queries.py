@@ -28,6 +28,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(read_documents(spark, sf_dir)).drop("spans")
+
+
 def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import encode_and_read_back
 
@@ -35,7 +47,7 @@ def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op5_best_fit_packing, op7_repair_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
