@@ -22,6 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(read_documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -47,7 +59,7 @@ def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
