@@ -34,6 +34,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir))
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(read_documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -59,7 +65,7 @@ def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_disclosure, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
