@@ -64,8 +64,14 @@ def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(read_documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read_documents(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_disclosure, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_disclosure, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences, op9_kmeans_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
