@@ -70,8 +70,14 @@ def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_documents(spark, sf_dir, "embeddings"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_folds
+
+    return score_folds(read_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_disclosure, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences, op9_kmeans_tree)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_simhash, op4_disclosure, op5_best_fit_packing, op6_winnowing, op7_repair_shards, op8_licences, op9_kmeans_tree, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
