@@ -106,3 +106,13 @@ WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32
 def words_of(text: str) -> list[bytes]:
     """Lower-cased (A-Z only) words of letters, digits and non-ASCII characters, as UTF-8 bytes."""
     return text.encode().translate(WORD_BYTES).split()
+
+
+def keep_where(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows for whose text keep(text) is false; null texts are given as empty."""
+
+    def run(batch):
+        flags = pa.array([keep(t) for t in texts_of(batch, text_col)], pa.bool_())
+        return batch.filter(flags)
+
+    return arrow_map(docs, run, docs.schema)

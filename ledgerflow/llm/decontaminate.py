@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import CACHE_ENTRIES, arrow_map, column, id_text, mix64, texts_of, words_of
+from .common import CACHE_ENTRIES, arrow_map, column, id_text, keep_where, mix64, texts_of, words_of
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word: long, end_word: long>>"
 PARTIAL = "doc_id long, row string, n_words long, hits array<struct<first_word: long, end_word: long>>, items array<string>"
@@ -183,3 +183,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         return _rows(out)
 
     return arrow_map(merged, finish, RESULT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, block_windows: int = 500_000) -> DataFrame:
+    """docs without the contaminated ones, all columns as they are."""
+    blocks = list(benchmark_blocks(benchmark, window, k, block_windows, "item_id", "text"))
+    if not blocks:
+        return docs
+    if len(blocks) > 1:
+        found = decontaminate(docs, benchmark, window, k, block_windows).where("contaminated").select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti")
+    shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+    def keep(text):
+        words = words_of(text)
+        hit = int(shipped.value.hits(words)[0].sum())
+        return not (hit and 20 * hit >= len(words))
+
+    return keep_where(docs, keep)

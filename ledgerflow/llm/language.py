@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, crc32_of_id, id_text, mix64, texts_of
+from .common import arrow_map, column, crc32_of_id, id_text, keep_where, mix64, texts_of
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, explained double"
 SIZES = (2, 3, 4)
@@ -178,8 +178,23 @@ def predict(docs: DataFrame, model: BitmaskFilter, id_col: str = "doc_id", text_
     return arrow_map(rows.withColumn("held_out", held_out(F.col("doc_id"))), run, SCHEMA)
 
 
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the rows that are not held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.where(~held_out(F.col("doc_id")))
+
+
+def keep_identified(docs: DataFrame, min_explained: float = 0.1, **options) -> DataFrame:
+    """docs without those that are `und`, or of which the predicted language explains less than a share of the n-grams."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(docs), **options))
+
+    def keep(text):
+        lang, _, explained = model.value.predict(text)
+        return lang != "und" and explained >= min_explained
+
+    return keep_where(docs, keep)
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, **options) -> DataFrame:
     """Fits on the documents of `train` (default: docs) that are not held out, and predicts every document of docs."""
-    source = docs if train is None else train
-    labelled = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return predict(docs, fit(labelled.where(~held_out(F.col("doc_id"))), **options))
+    return predict(docs, fit(labelled_rows(docs if train is None else train), **options))

@@ -107,13 +107,40 @@ def links(fps: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     return one.unionByName(few).unionByName(many)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id of every document."""
-    rows = saved(fingerprints(docs, 3, id_col, text_col), "fingerprints")
+def classes(rows: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """rows: doc_id, fp -> a row for each distinct fingerprint: fp, root (smallest fp of the class), component_id."""
     smallest = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "smallest")
     found = components(links(smallest.select("fp"), max_pairs)).select(F.col("node").alias("fp"), "root")
     rooted = smallest.join(found, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = saved(rooted.join(lowest, "root").select("fp", "component_id"), "classes")
-    out = rows.join(classes, "fp")
+    return saved(rooted.join(lowest, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id of every document."""
+    rows = saved(fingerprints(docs, 3, id_col, text_col), "fingerprints")
+    out = rows.join(classes(rows, max_pairs), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """docs with one document of each class, that of the smallest doc_id; all columns as they are.
+
+    Where ids are missing or repeated, rows of one class and id count as one, and a row without an id stays only
+    if its class has no id at all."""
+    rows = saved(fingerprints(docs), "fingerprints")
+    own = classes(rows, max_pairs)
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        gone = rows.join(own, "fp").where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+    def with_print(batch):
+        texts = texts_of(batch)
+        fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "__fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long"
+    printed = arrow_map(docs, with_print, schema)
+    joined = printed.join(own.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__low")), "__fp")
+    return joined.where(F.col("doc_id").eqNullSafe(F.col("__low"))).dropDuplicates(["__root", "doc_id"]).select(docs.columns)
