@@ -203,4 +203,4 @@ def row_identity(role: Column, file: Column, page: Column, row_no: Column, raw:
 
 def without_reasons(c: Column, pattern: str) -> Column:
     """Reasons ('; '-joined) without those that match the pattern."""
-    return F.array_join(F.filter(F.transform(F.split(text_or_empty(c), ";"), F.trim), lambda x: (x != "") & ~F.lower(x).rlike(pattern)), "; ")
+    return F.array_join(F.filter(F.transform(F.split(text_or_empty(c), ";"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).rlike(pattern)), "; ")

@@ -39,7 +39,7 @@ def decode(files: DataFrame, decoder: Callable[[bytes, str], Iterable[dict]], sc
                 except Exception as e:  # any fault of one file is that file's audit row
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
             if rows:
-                yield pd.DataFrame(rows).reindex(columns=names)
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
     names = ["path", "error", *[p.split()[0] for p in schema.split(",")]]
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
