@@ -16,18 +16,12 @@ TRANSACTION, OPENING, CLOSING = "Transaction", "OpeningBalance", "ClosingBalance
 BALANCE_FORWARD, CARRIED, BROUGHT = "BalanceForward", "CarriedForward", "BroughtForward"
 TOTAL, GRAND_TOTAL, HEADER, FOOTER, UNKNOWN = "Total", "GrandTotal", "Header", "Footer", "Unknown"
 
-#: Date formats in the order they are tried, as (shape, Spark format, two-digit year, month name).
-DATE_SHAPES = tuple(
-    (rf"^\d{{1,2}}{'[.]' if sep == '.' else sep}{month}{'[.]' if sep == '.' else sep}\d{{{year}}}$", f"d{sep}{'MMM' if named else 'M'}{sep}{'yyyy' if year == 4 else 'yy'}", year == 2, named)
-    for sep, kinds in (("-", ((4, False), (2, False), (2, True), (4, True))), ("/", ((4, False), (2, False), (2, True), (4, True))), (".", ((4, False), (2, False))))
-    for year, named in kinds
-    for month in (("[A-Za-z]{3}",) if named else (r"\d{1,2}",))
-) + (
-    (r"^[A-Za-z]+ \d{1,2} \d{4}$", "MMMM d yyyy", False, True),
-    (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy", False, True),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy", False, True),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", False, True),
-)
+#: English month names.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Day first, a month number or three letters, two or four digits of year; letters do not go with dots.
+DAY_FIRST = r"^(\d{1,2})(?:([-/])(\d{1,2}|[A-Za-z]{3})\2|[.](\d{1,2})[.])(\d{4}|\d{2})$"
+#: A full or three-letter month name, day, four digits of year.
+MONTH_FIRST = r"^([A-Za-z]+) (\d{1,2}),? (\d{4})$"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -50,17 +44,21 @@ def is_blank(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """Amount in double precision, or null: currency marks, Cr/Dr, grouping commas and (negatives) are understood."""
     body = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)rs\.?", ""), "₹", "")
-    body = strip(F.regexp_replace(body, r"(?i)\b(cr|dr)\b", ""))
-    negative = body.startswith("(") & body.endswith(")")
-    core = strip(F.regexp_replace(body, r"^[()]+|[()]+$", ""))
-    value = F.when(core.rlike(r"^-?\d[\d,]*(\.\d+)?$"), F.regexp_replace(core, ",", "").try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+
+    def value(text: Column) -> Column:
+        core = strip(F.regexp_replace(text, r"^[()]+|[()]+$", ""))
+        number = F.when(core.rlike(r"^-?\d[\d,]*(\.\d+)?$"), F.regexp_replace(core, ",", "").try_cast("double"))
+        return F.when(text.startswith("(") & text.endswith(")"), -number).otherwise(number)
+
+    return bound(strip(F.regexp_replace(body, r"(?i)\b(cr|dr)\b", "")), value)
 
 
 def amount_confidence(c: Column) -> Column:
-    s = strip(c)
-    marks = F.when((s.contains("(") & s.contains(")")) | s.rlike(r"(?i)\b(cr|dr)\b"), 90.0).when(s.contains(","), 92.0).otherwise(95.0)
-    return F.when(s == "", 0.0).when(parse_amount(c).isNull(), 10.0).otherwise(marks)
+    def score(s: Column) -> Column:
+        marks = F.when((s.contains("(") & s.contains(")")) | s.rlike(r"(?i)\b(cr|dr)\b"), 90.0).when(s.contains(","), 92.0).otherwise(95.0)
+        return F.when(s == "", 0.0).when(parse_amount(s).isNull(), 10.0).otherwise(marks)
+
+    return bound(strip(c), score)
 
 
 def looks_like_amount(c: Column) -> Column:
@@ -80,27 +78,42 @@ def looks_like_date(c: Column) -> Column:
     return strip(c).rlike(r"^\d{1,2}[-/.](\d{1,2}|[A-Za-z]{3,})[-/.]\d{2,4}$")
 
 
-def _dates(c: Column):
-    s = F.regexp_replace(strip(c), r"\s+", " ")
-    named = F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1000)))
-    for shape, fmt, short, month_name in DATE_SHAPES:
-        own = named if fmt.startswith("M") else F.regexp_replace(F.initcap(F.regexp_replace(s, r"[-/.]", " ")), " ", fmt[1]) if month_name else s
-        day = F.try_to_timestamp(own, F.lit(fmt)).cast("date")
-        if short:  # two-digit years from 69 on are of the last century
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        yield F.when(s.rlike(shape), day), 88.0 if short else 92.0 if month_name else 96.0
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once; keeps expressions that need it many times small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def dated(c: Column) -> Column:
+    """struct(day, score) of a text: taken apart once, parsed once. Two-digit years from 69 on are of the last century."""
+    names, shorts = F.array(*map(F.lit, MONTHS)), F.array(*[F.lit(m[:3]) for m in MONTHS])
+
+    def parts(s: Column) -> Column:
+        at = lambda i: F.regexp_extract(s, DAY_FIRST, i)
+        other = lambda i: F.regexp_extract(s, MONTH_FIRST, i)
+        day_first = F.struct(at(1).alias("d"), F.lower(F.concat(at(3), at(4))).alias("m"), at(5).alias("y"), F.lit(False).alias("full"), F.lit(False).alias("blank"))
+        month_first = F.struct(other(2).alias("d"), F.lower(other(1)).alias("m"), other(3).alias("y"), F.lit(True).alias("full"), (s == "").alias("blank"))
+        return F.when(s.rlike(DAY_FIRST), day_first).otherwise(month_first)
+
+    def result(p: Column) -> Column:
+        m, y = p["m"], p["y"]
+        named = m.rlike("^[a-z]")
+        number = F.when(~named, m).when(F.array_contains(shorts, m) | (p["full"] & F.array_contains(names, m)), F.array_position(shorts, F.substring(m, 1, 3)).cast("string"))
+        short = F.length(y) == 2
+        year = F.when(short & (y >= "69"), F.concat(F.lit("19"), y)).when(short, F.concat(F.lit("20"), y)).otherwise(y)
+        day = F.try_to_date(F.concat(year, F.lit("-"), number, F.lit("-"), p["d"]), "yyyy-M-d")
+        score = F.when(p["blank"], 0.0).when(short, 88.0).when(named, 92.0).otherwise(96.0)
+        return F.struct(day.alias("day"), score.alias("score"))
+
+    return bound(bound(F.regexp_replace(strip(c), r"\s+", " "), parts), result)
 
 
 def parse_date(c: Column) -> Column:
-    """A date by the first format that fits, or null."""
-    return F.coalesce(*[day for day, _ in _dates(c)])
+    """A date of the understood shapes, or null."""
+    return dated(c)["day"]
 
 
 def date_confidence(c: Column) -> Column:
-    out = F.when(is_blank(c), 0.0)
-    for day, score in _dates(c):
-        out = out.when(day.isNotNull(), score)
-    return out.otherwise(15.0)
+    return bound(dated(c), lambda r: F.when(r["day"].isNull() & (r["score"] > 0), 15.0).otherwise(r["score"]))
 
 
 def iso_date(c: Column) -> Column:
