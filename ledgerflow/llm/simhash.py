@@ -28,6 +28,8 @@ from .components import components
 SEED = 42
 #: Keys with more pairs than this link through two-bit-deletion variants.
 MAX_PAIRS = 256
+#: Distinct fingerprints whose variants one task makes.
+FPS_A_TASK = 20_000
 #: Heavy keys are broadcast up to this many (eight bytes each), joined by shuffle beyond.
 BROADCAST_KEYS = 500_000
 
@@ -86,7 +88,8 @@ def _far(a: str, b: str):
 
 def links(fps: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """fps: distinct fingerprints (fp). Links (a, b) whose components are those of all pairs within two bits."""
-    rows = variants(fps)
+    fps = fps.repartition(max(1, -(-fps.count() // FPS_A_TASK)), "fp")  # the list is small, its variants are not
+    rows = variants(fps).repartition("key")  # nearly all keys differ: there is nothing to combine before the shuffle
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("side"), 1)).alias("ones"), F.count("side").alias("sided"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     pairs = F.when(F.col("sided") > 0, F.col("ones") * (F.col("n") - F.col("ones"))).otherwise(F.expr("n * (n - 1) div 2"))
     met = saved(keys.withColumn("pairs", pairs).where("pairs > 0").select("key", "n", "pairs", "a", "b"), "keys")
