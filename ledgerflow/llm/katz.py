@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -255,9 +256,24 @@ def _parts(table: pa.Table) -> tuple[Block, dict[str, list[np.ndarray]]]:
 
 
 def _released(spark) -> None:
-    """Lets Spark remove the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more. Its cleaner works beside the
+    driver, and a frame's plan may be let go only after the first pass."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def tallies(places: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each place how often counts 1..TOP occur, and the sum of the larger ones: TOP + 1 rows of integers."""
+    few = [np.bincount(places[counts == r], minlength=n) for r in range(1, TOP + 1)]
+    large = counts > TOP
+    return np.stack([*few, np.bincount(places[large], counts[large], n)]).astype("<u8")
+
+
+def summed(rows: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sum of d(c) c that tallies stand for."""
+    return d[1:] * np.arange(1, TOP + 1) @ rows[:TOP] + rows[TOP]
 
 
 def _stats(answers: DataFrame, kind: str) -> list[int]:
@@ -266,7 +282,7 @@ def _stats(answers: DataFrame, kind: str) -> list[int]:
     return np.sum(rows, axis=0).astype(int).tolist() if rows else [0] * (TOP + 3)
 
 
-def score(docs: DataFrame, held, train, block_tokens: int = 3_000_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held, train, block_tokens: int = 2_200_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT for every document. held, train: boolean columns over doc_id: held out, and learned from."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -289,24 +305,27 @@ def score(docs: DataFrame, held, train, block_tokens: int = 3_000_000, bucket_to
         c_word, (c_pair, owner) = answers["U"][0].astype(np.int64), answers["B"]
         _, hist, word, _ = block.bigrams()
         own = np.flatnonzero(owner)
-        seen = np.bincount(hist[own], discounted(c_pair[own], d), len(c_word))
-        lower = np.bincount(hist[own], uni.p(c_word[word[own]]), len(c_word))
+        seen = tallies(hist[own], c_pair[own].astype(np.int64), len(c_word))
+        lower = tallies(hist[own], c_word[word[own]], len(c_word))
         at = np.flatnonzero(c_word)
-        hashes = block.words[at]
-        out = [("A", key[0].as_py(), b, pack(deltas(hashes[lo:hi]), c_word[at[lo:hi]].astype("<u8"), seen[at[lo:hi]], lower[at[lo:hi]])) for b, lo, hi in slices(hashes, buckets)]
+        hashes, sums = block.words[at], np.concatenate([seen, lower])[:, at]
+        out = [("A", key[0].as_py(), b, pack(deltas(hashes[lo:hi]), c_word[at[lo:hi]].astype("<u8"), sums[:, lo:hi].reshape(-1))) for b, lo, hi in slices(hashes, buckets)]
         return pa.Table.from_batches([message(out)] if out else [], schema=_EMPTY.schema)
 
     def weigh(key, table):
         """Backoff weights of a bucket's histories, and whether their followers' shares are scaled down."""
         table = table.combine_chunks().sort_by("block")
         data = [unpack(x) for x in table["payload"].to_pylist()]
-        hashes, c, seen, lower = (np.concatenate(x) for x in zip(*[(undeltas(h), *rest) for h, *rest in data], strict=True))
+        hashes, c = np.concatenate([undeltas(x[0]) for x in data]), np.concatenate([x[1] for x in data])
+        sums = np.concatenate([x[2].reshape(2 * TOP + 2, -1) for x in data], axis=1)
         hist, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         count = c[first].astype(np.float64)
-        left = 1 - np.bincount(inverse, seen, len(hist)) / count
+        total_sums = np.stack([np.bincount(inverse, row, len(hist)) for row in sums])
+        left = 1 - summed(total_sums[: TOP + 1], d) / count
         full = left <= 1e-12
         left = np.where(full, 1 / (count + 1), left)
-        alpha = left / np.maximum(1e-300, 1 - np.bincount(inverse, lower, len(hist)))
+        lower = uni.scale * summed(total_sums[TOP + 1 :], uni.d) / max(1, total)
+        alpha = left / np.maximum(1e-300, 1 - lower)
         out, lo = [], 0
         for block, x in zip(table["block"].to_pylist(), data, strict=True):
             own = inverse[lo : lo + len(x[0])]
