@@ -114,7 +114,7 @@ def picks(ledger: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int =
 
 def master_match_table(ledger: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The 26 columns of a match record, numbered in order of emission within each pair."""
-    found = picks(ledger) if found is None else found
+    found = durable(picks(ledger) if found is None else found)
     r = recon_rows(transactions(ledger))
     w = Window.partitionBy("pair_id", "ledger_role", "row_id").orderBy(F.desc("source_row_number"), F.desc("raw_text"))
     r = r.withColumn("__n", F.row_number().over(w)).where("__n = 1")
@@ -125,12 +125,18 @@ def master_match_table(ledger: DataFrame, found: DataFrame | None = None) -> Dat
         return r.where(F.col("ledger_role") == role).select("pair_id", F.col("row_id").alias(f"{p[0]}_row_id"), *[c.alias(f"{p}_{k}") for k, c in own.items()])
 
     m = found.join(side(E.ORG, "org"), ["pair_id", "o_row_id"], "left").join(side(E.PARTY, "party"), ["pair_id", "p_row_id"], "left")
-    order = Window.partitionBy("pair_id").orderBy("pass", F.coalesce("o_row_id", "p_row_id"))
+    # numbers in order of pass and row id: rows before a (pass, id prefix), and the place in it, so that a large pair is many tasks
+    m = m.withColumn("__id", F.coalesce("o_row_id", "p_row_id")).withColumn("__prefix", F.substring("__id", 1, 3))
+    part = ["pair_id", "pass", "__prefix"]
+    sizes = found.select("pair_id", "pass", F.substring(F.coalesce("o_row_id", "p_row_id"), 1, 3).alias("__prefix")).groupBy(*part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("pair_id").orderBy("pass", "__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.join(sizes.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base")), part)
+    number = F.col("__base") + F.row_number().over(Window.partitionBy(*part).orderBy("__id"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     relation = E.reference_relation(F.col("org_normalized_reference"), F.col("party_normalized_reference"), F.col("__score"))
     both = m.withColumn("__score", sequence_ratio(F.lower(blank("org_normalized_reference")), F.lower(blank("party_normalized_reference"))))
     return both.select(
-        "pair_id", F.concat(F.lit("MG"), F.lpad(F.row_number().over(order).cast("string"), 6, "0")).alias("match_group_id"), "match_status", "match_confidence", "match_rule",
+        "pair_id", F.concat(F.lit("MG"), F.lpad(number.cast("string"), 6, "0")).alias("match_group_id"), "match_status", "match_confidence", "match_rule",
         F.coalesce("org_type", "party_type", F.lit("")).alias("type_label"), blank("o_row_id").alias("org_row_id"), blank("p_row_id").alias("party_row_id"), blank("org_date").alias("org_date"), blank("party_date").alias("party_date"),
         F.abs(F.datediff(F.to_date(F.nullif("org_date", F.lit(""))), F.to_date(F.nullif("party_date", F.lit(""))))).alias("date_delta_days"),
         *[blank(c).alias(c) for c in ("org_reference", "party_reference", "org_normalized_reference", "party_normalized_reference")], relation.alias("reference_relation"),

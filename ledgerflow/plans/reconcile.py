@@ -27,3 +27,11 @@ def reconcile(ledger: DataFrame, labels=None) -> dict[str, DataFrame]:
         "Working_Ledger": L.working_ledger(ledger), "Annexure_Metrics": reports.annexure_metrics(ledger, matches, labels), "Unknown_Labels": reports.unknown_groups(ledger), "Validation_Report": validation, "Stats": match_stats(matches),
         "Difference_Audit": quality.recomputed_differences(matches),
     }
+
+
+def formalized_bundle(rows: DataFrame) -> dict[str, DataFrame]:
+    """Result frames of formalisation, named as sheets: both ledgers, page analysis, validation, review."""
+    from ..operators.layout import page_analysis
+
+    review = rows.where("review_flag").select("pair_id", "ledger_role", "row_id", "record_kind", "page_number", "source_row_number", "date", "raw_type", "type_label", "particulars", "reference_no", "debit_source", "credit_source", "confidence_score", "review_reason")
+    return {"Org_Ledger": rows.where(rows["ledger_role"] == L.ORG), "Party_Ledger": rows.where(rows["ledger_role"] == L.PARTY), "Page_Analysis": page_analysis(rows, ["pair_id", "ledger_role", "source_file", "page_number"]), "Validation_Report": quality.formal_report(rows), "Review_Queue": review}

@@ -70,3 +70,12 @@ def column_widths(sheet: DataFrame, sample_rows: int = 200, cap: int = 60) -> Da
     rows = sheet.limit(sample_rows)
     own = rows.agg(*[F.least(F.greatest(F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)), F.lit(len(c))) + 2, F.lit(cap)).alias(c) for c in sheet.columns])
     return own.unpivot([], list(own.columns), "column", "width")
+
+
+def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
+    """Two workbooks' profiles (sheet_name, pos, headers, formula_count, is_ledger) side by side."""
+    def side(df, name):
+        return df.agg(F.count("*").alias("sheet_count"), F.count_if("is_ledger").alias("ledger_like_sheet_count"), F.sum("formula_count").alias("formula_cells"), *[F.bool_or(F.greatest(*[F.lower("sheet_name").contains(w) for w in words], F.lit(False))).cast("long").alias(f"has_{k}_sheet") for k, words in SPECIAL_WORDS.items()]).unpivot([], None, "metric", name)
+
+    summary = side(left, "left").join(side(right, "right"), "metric", "full_outer")
+    return {"Comparison_Summary": summary, "Sheet_Presence": presence(left, right), "Header_Similarity": header_similarity(left, right), "Shared_Names": shared_names(left, right)}
