@@ -102,9 +102,10 @@ def links(fps: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     x, y = light.select("key", F.col("side").alias("s"), F.col("fp").alias("a")), light.select("key", F.col("side").alias("t"), F.col("fp").alias("b"))
     few = x.join(y, "key").where("a < b and (s is null or s <> t)").where(_far("a", "b") <= 2).select("a", "b")
     heavy = members.where("not light").select("fp").distinct()
-    bits = [(1 << i | 1 << j) for i in range(64) for j in range(i)]
-    masks = fps.sparkSession.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in bits], "mask long")  # 2016 rows
-    deleted = heavy.join(F.broadcast(masks)).select("mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"), "fp")
+    one_bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c))
+    first = heavy.select("fp", F.explode(F.sequence(F.lit(1), F.lit(63))).alias("i"))
+    both = first.select("fp", "i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("j"))  # 2016 a fingerprint
+    deleted = both.select(one_bit("i").bitwiseOR(one_bit("j")).alias("mask"), "fp").withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
     star = deleted.groupBy("mask", "rest").agg(F.min("fp").alias("b"))
     many = deleted.join(star, ["mask", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return one.unionByName(few).unionByName(many)
