@@ -14,6 +14,7 @@ from .operators import edges as E
 from .operators import folds, labels, layout, ledger, resolve
 from .plans import quality, reconcile, reports, structure
 from .sources import synth
+from .sources.durable import durable
 from .sources.files import cache_key, distinct_balances, extraction_summary, fingerprints, run_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,7 +353,7 @@ def duplicate_suspicion(spark, sf_dir):
 
 @query()
 def quality_report(spark, sf_dir):
-    return quality.formal_report(reconcile.formalize(synth.extracted_cells(spark, sf_dir)))
+    return quality.formal_report(durable(reconcile.formalize(synth.extracted_cells(spark, sf_dir))))  # read three times
 
 
 @query()
