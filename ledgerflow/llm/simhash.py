@@ -107,7 +107,8 @@ def links(fps: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     both = first.select("fp", "i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("j"))  # 2016 a fingerprint
     deleted = both.select(one_bit("i").bitwiseOR(one_bit("j")).alias("mask"), "fp").withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
     star = deleted.groupBy("mask", "rest").agg(F.min("fp").alias("b"))
-    many = deleted.join(star, ["mask", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    # the planner's size of an exploded side is that of its source: without the hint it would be broadcast
+    many = deleted.join(star.hint("merge"), ["mask", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return one.unionByName(few).unionByName(many)
 
 
