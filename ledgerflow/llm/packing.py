@@ -192,7 +192,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
             kept = [column(batch, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(offset)], names=[x.split()[0] for x in PACKED.split(", ")])
 
-    return made.join(base, ["length", "part"]).mapInArrow(place, PACKED)
+    return made.join(base.hint("merge"), ["length", "part"]).mapInArrow(place, PACKED)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
