@@ -1,9 +1,10 @@
 """Licence scans by a positional rare-token index.
 
 The index holds, for each licence template, the positions of its words, and for each word its inverse
-document frequency over the templates. A file is scanned once: its `rare` highest-IDF licence words are
-looked up, every (word position, template position) pair votes for the template at the difference of the two
-positions, and alignments with enough votes are candidates. A candidate counts when every mandatory key
+document frequency over the templates. A file is scanned once: its rare licence words are looked up, all of them,
+every (word position, template position) pair votes for the template at the difference of the two
+positions, and alignments with enough votes are candidates. Templates with a key-phrase word that stands nowhere
+in the file cannot be verified and take no votes. A candidate counts when every mandatory key
 phrase of the template stands in the aligned stretch of the file; its score is the share of the template's
 words found in order there.
 
@@ -62,12 +63,12 @@ TEMPLATES = (
 
 
 class RareTokenIndex:
-    """rare: licence words looked up in a file, highest IDF first. min_votes: share of a template's rare words
+    """min_votes: share of a template's rare words
     that must agree on a position. slack: words that may be missing or added between agreeing words. A word is rare
     if at most `max_share` of the templates hold it."""
 
-    def __init__(self, templates=TEMPLATES, rare: int = 48, min_votes: float = 0.6, slack: int = 4, min_score: float = 0.6, max_share: float = 0.35):
-        self.templates, self.rare, self.min_votes, self.slack, self.min_score = templates, rare, min_votes, slack, min_score
+    def __init__(self, templates=TEMPLATES, min_votes: float = 0.6, slack: int = 4, min_score: float = 0.6, max_share: float = 0.35):
+        self.templates, self.min_votes, self.slack, self.min_score = templates, min_votes, slack, min_score
         df = Counter(w for t in templates for w in set(t.words))
         self.idf = {w: math.log(len(templates) / n) for w, n in df.items() if n <= max(1, max_share * len(templates))}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -77,6 +78,7 @@ class RareTokenIndex:
                     self.postings[w].append((k, q))
         self.n_rare = [len({w for w in t.words if w in self.idf}) for t in templates]
         self.keys = [[p.encode() for p in t.key_phrases] for t in templates]
+        self.key_words = [{w for p in keys for w in p.split()} for keys in self.keys]
         self.base = {p.encode(): label for p, label in BASE_PHRASES.items()}
         self.base_tail = {p.split()[-1] for p in self.base}
 
@@ -94,14 +96,15 @@ class RareTokenIndex:
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, score) of every verified alignment, best for each label and place."""
-        present = set(words) & self.idf.keys()
-        if len(present) < 2:
+        present = set(words)
+        able = {k for k, own in enumerate(self.key_words) if own <= present}
+        if not able:
             return []
-        chosen = set(sorted(present, key=lambda w: (-self.idf[w], w))[: self.rare])
+        chosen = {w: places for w in present & self.idf.keys() if (places := [(k, q) for k, q in self.postings[w] if k in able])}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for p, w in enumerate(words):
             if w in chosen:
-                for k, q in self.postings[w]:
+                for k, q in chosen[w]:
                     votes[k, (p - q) // self.slack].add(w)
         found = []
         for (k, at), own in votes.items():

@@ -275,6 +275,18 @@ def test_licences(spark):
     assert got[4]["labels"] == "" and "gpl" in got[5]["labels"].split(",")
 
 
+def test_licences_of_long_files(spark):
+    every = [t.label for t in licences.TEMPLATES]
+    rng = random.Random(7)
+    english = sorted({w.decode() for t in licences.TEMPLATES for w in t.words})
+    prose = lambda n: " ".join(rng.choice(english) for _ in range(n))
+    rows = [(0, f" {'zz ' * 30}".join(t.text for t in licences.TEMPLATES))]
+    rows += [(10 + k, f"{prose(3000)} {'zz ' * 9}{t.text} {'zz ' * 9}{prose(3000)}") for k, t in enumerate(licences.TEMPLATES)] + [(50 + k, t.text) for k, t in enumerate(licences.TEMPLATES)]
+    got = {r["doc_id"]: [s["label"] for s in r["spans"] if s["score"] == 1] for r in licences.scan_licences(docs(spark, rows)).collect()}
+    assert set(got[0]) == set(every)
+    assert all(label in got[10 + k] and label in got[50 + k] for k, label in enumerate(every))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 8))
