@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import CACHE_ENTRIES, arrow_map, column, id_text, keep_where, mix64, texts_of, words_of
+from .common import CACHE_ENTRIES, arrow_map, column, id_text, keep_where, mix64, saved, texts_of, words_of
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word: long, end_word: long>>"
 PARTIAL = "doc_id long, row string, n_words long, hits array<struct<first_word: long, end_word: long>>, items array<string>"
@@ -152,6 +152,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
         return arrow_map(rows, run, RESULT)
 
+    def finish(batch):
+        out = []
+        for r in batch.to_pylist():
+            hit = merged_hits(r)
+            out += [judged(r["doc_id"], r["n_words"], int(hit.sum()), r["items"], spans_of(hit))] * (r["n"] // len(blocks))
+        return _rows(out)
+
+    return arrow_map(merged_blocks(rows, blocks), finish, RESULT)
+
+
+def text_key(text) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def merged_hits(r: dict) -> np.ndarray:
+    hit = np.zeros(r["n_words"], bool)
+    for s in r["hits"]:
+        hit[s["first_word"] : s["end_word"]] = True
+    return hit
+
+
+def merged_blocks(rows: DataFrame, blocks: list) -> DataFrame:
+    """The hits of all blocks for each doc_id and text (`row`), with the number of copies times blocks."""
+
     def partial(block):
         def run(batch):
             out = []
@@ -166,33 +190,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         return run
 
     # repeated rows are equal rows: one result for each distinct text of an id, given once for each copy
-    keyed = rows.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = rows.withColumn("row", text_key(F.col("text")))
     parts = None
     for b in blocks:
         own = arrow_map(keyed, partial(b), PARTIAL)
         parts = own if parts is None else parts.unionByName(own)
-    merged = parts.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n"))
-
-    def finish(batch):
-        out = []
-        for r in batch.to_pylist():
-            hit = np.zeros(r["n_words"], bool)
-            for s in r["hits"]:
-                hit[s["first_word"] : s["end_word"]] = True
-            out += [judged(r["doc_id"], r["n_words"], int(hit.sum()), r["items"], spans_of(hit))] * (r["n"] // len(blocks))
-        return _rows(out)
-
-    return arrow_map(merged, finish, RESULT)
+    return parts.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, block_windows: int = 500_000) -> DataFrame:
-    """docs without the contaminated ones, all columns as they are."""
+    """docs without the contaminated ones, all columns as they are. Each row is judged by its own text, for any number of blocks."""
     blocks = list(benchmark_blocks(benchmark, window, k, block_windows, "item_id", "text"))
     if not blocks:
         return docs
     if len(blocks) > 1:
-        found = decontaminate(docs, benchmark, window, k, block_windows).where("contaminated").select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti")
+        sc = docs.sparkSession.sparkContext
+
+        def verdict(batch):
+            own = [r["row"] for r in batch.to_pylist() if (hit := int(merged_hits(r).sum())) and 20 * hit >= r["n_words"]]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["contaminated_text"])
+
+        found = saved(arrow_map(merged_blocks(id_text(docs), [sc.broadcast(b) for b in blocks]), verdict, "contaminated_text string").distinct(), "contaminated")
+        return docs.join(found, text_key(docs["text"].cast("string")) == found["contaminated_text"], "left_anti")
     shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def keep(text):

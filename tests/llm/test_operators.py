@@ -266,6 +266,17 @@ def test_decontamination(spark, block_windows):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[5])
 
 
+@pytest.mark.parametrize("block_windows", [500_000, 12])
+def test_keep_clean(spark, block_windows):
+    rng = random.Random(11)
+    word = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(n))
+    bench = [(i, word(20)) for i in range(5)]
+    rows = [(1, bench[0][1]), (1, "clean words of the same id"), (None, bench[1][1]), (None, "clean words without an id"), (2, bench[2][1] + " tail"), (3, None), (3, ""), (4, "plain"), (4, "plain")]
+    kept = decontaminate.keep_clean(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), block_windows=block_windows)
+    assert kept.columns == docs(spark).columns
+    assert by((r["doc_id"], r["text"]) for r in kept.collect()) == by([rows[1], rows[3], *rows[5:]])
+
+
 def test_licences(spark):
     rows = [(0, None), (1, "mit MIT license, apache License. x mit\nlicense"), (2, licences.TEMPLATES[1].text), (3, "z " * 5000 + licences.TEMPLATES[8].text + " tail"), (4, "the license of the software"), (5, "GNU general public license version 3")]
     got = {r["doc_id"]: r for r in licences.scan_licences(docs(spark, rows)).collect()}
