@@ -2,16 +2,16 @@
 
 Four kinds are found by their patterns and checks: email, ip, card, phone. Each distinct value is a protected
 entity. Corpus co-occurrence then tells how strongly a term reveals an entity. With p(e), p(t) and p(e, t)
-the shares of documents that hold entity e, term t, and t within `context` characters of e,
+the shares of documents that hold entity e, term t, and both, wherever they stand in the text,
 
     PMI(e; t) = log2(p(e, t) / (p(e) p(t))),   IC(e) = -log2 p(e),   disclosure = PMI / IC  (1: t implies e).
 
-A term whose disclosure reaches `generalise` is a span of kind `term` wherever it stands near e; sanitise()
-generalises it, and removes it from `remove` on. Pairs need `support` documents, so a chance neighbour seen
-once is no evidence.
+A term whose disclosure reaches `generalise` is a span of kind `term` wherever it stands in a document with e, outside
+the base spans; sanitise() generalises it, and removes it from `remove` on. Pairs need `support` documents, so a chance
+neighbour seen once is no evidence.
 
-Documents are never shuffled. The corpus is read three times: (entity, term) pairs and entity counts; document frequencies of the terms
-in question; and the final spans. Lists that go to the workers are cut into blocks of at most
+Documents are never shuffled. The corpus is read four times: entity counts; (entity, term) pairs of the entities with
+support; document frequencies of the terms in question; and the final spans. Lists that go to the workers are cut into blocks of at most
 `BLOCK` entries of 8 bytes; with more than one block, counts are added up and spans merged by row.
 
 Defined results: null and empty texts hold nothing; repeated rows are judged each and count as documents of
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, column, id_text, saved, texts_of, words_of
+from .common import arrow_map, column, id_text, mix64, saved, texts_of, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -43,6 +43,8 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 #: Entries (8 bytes each) that go to a worker at once.
 BLOCK = 1_000_000
+#: (entity, term) pairs a worker holds before it adds them up.
+PAIRS = 1 << 19
 SUMMARY = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -101,45 +103,87 @@ def term(word: bytes) -> int:
     return xxh64_intdigest(word, 1)
 
 
-def paired(e: int, t: int) -> int:
-    return xxh64_intdigest(e.to_bytes(8, "little") + t.to_bytes(8, "little"), 2)
+def paired(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return mix64(mix64(e) ^ t)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], context: int):
-    """(entity, term, start, end) of every term that stands wholly within reach of a base span and outside all."""
-    for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        lo, hi = max(0, a - context), min(len(text), b + context)
-        for m in TERM.finditer(text, lo, hi):
-            s, t = m.span()
-            if (s == lo and s and TERM.match(text[s - 1])) or (t == hi and t < len(text) and TERM.match(text[t])):
-                continue  # cut by the edge of the window
-            if any(s < y and x < t for _, x, y in spans):
-                continue
-            word = m[0].translate(UPPER).encode()
-            if is_term(word):
-                yield e, term(word), s, t
+def entities(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    return np.array(sorted({entity(k, text[a:b]) for k, a, b in spans}), np.uint64)
+
+
+def open_terms(text: str, spans: list[tuple[str, int, int]]):
+    """(term, start, end) of every term outside the base spans, which are sorted by start."""
+    i, covered = 0, 0
+    for m in TERM.finditer(text):
+        s, t = m.span()
+        while i < len(spans) and spans[i][1] < t:
+            covered = max(covered, spans[i][2])
+            i += 1
+        word = m[0].translate(UPPER).encode()
+        if covered <= s and is_term(word):
+            yield term(word), s, t
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def pair_counts(docs: DataFrame, context: int) -> DataFrame:
-    """(e, t, n): documents with term t near entity e; t null: documents with e."""
+def entity_counts(docs: DataFrame) -> DataFrame:
+    """(e, n_e): documents with entity e."""
 
     def run(batches):
         for batch in batches:
             own: Counter = Counter()
             for text in texts_of(batch):
-                if spans := base_spans(text):
-                    own.update({(e, t) for e, t, _, _ in contexts(text, spans, context)} | {(entity(k, text[a:b]), None) for k, a, b in spans})
+                own.update({entity(k, text[a:b]) for k, a, b in base_spans(text)})
             if own:
-                e = _signed(np.array([k[0] for k in own], np.uint64))
-                t = pa.array([None if k[1] is None else k[1] - (1 << 64) if k[1] >> 63 else k[1] for k in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(e), t, pa.array(list(own.values()), pa.int64())], names=["e", "t", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(own), np.uint64))), pa.array(list(own.values()), pa.int64())], names=["e", "n"])
+
+    return docs.mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n_e"))
+
+
+def _summed(e: list[np.ndarray], t: list[np.ndarray]) -> pa.RecordBatch:
+    e, t = np.concatenate(e), np.concatenate(t)
+    order = np.lexsort((t, e))
+    e, t = e[order], t[order]
+    first = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (t[1:] != t[:-1]))))
+    return pa.RecordBatch.from_arrays([pa.array(_signed(e[first])), pa.array(_signed(t[first])), pa.array(np.diff(first, append=len(e)))], names=["e", "t", "n"])
+
+
+def pair_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(e, t, n): documents with term t and entity e, for the entities asked for, over whole texts."""
+    sc = docs.sparkSession.sparkContext
+
+    def counter(block):
+        def run(batches):
+            es, ts, size = [], [], 0
+            for batch in batches:
+                for text in texts_of(batch):
+                    spans = base_spans(text)
+                    own = entities(text, spans)
+                    own = own[_has(block.value, own)] if spans else own
+                    if not len(own):
+                        continue
+                    words = np.array([term(w) for w in set(words_of(text)) if is_term(w)], np.uint64)
+                    for e in own:
+                        es.append(np.full(len(words), e))
+                        ts.append(words)
+                        size += len(words)
+                        if size >= PAIRS:
+                            yield _summed(es, ts)
+                            es, ts, size = [], [], 0
+            if size:
+                yield _summed(es, ts)
+
+        return run
 
-    return docs.mapInArrow(run, "e long, t long, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
+    out = None
+    for block in _blocks(asked, "e"):
+        part = docs.mapInArrow(counter(sc.broadcast(block)), "e long, t long, n long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return asked.select("e", F.col("e").alias("t"), F.lit(0).cast("long").alias("n")).limit(0)
+    return out.groupBy("e", "t").agg(F.sum("n").alias("n"))
 
 
 def _blocks(df: DataFrame, name: str):
@@ -165,26 +209,25 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def counter(block):
         def run(batches):
-            hashes: dict[bytes, int] = {}
-            asked = set(block.value.tolist())
+            places: dict[bytes, int] = {}  # of a word in the block, -1 without one
+            asked = {t: i for i, t in enumerate(block.value.tolist())}
+            df = np.zeros(len(asked), np.int64)
             for batch in batches:
-                own: Counter = Counter()
                 for text in texts_of(batch):
-                    words = set(words_of(text))
-                    found = set()
-                    for w in words:
+                    found = []
+                    for w in set(words_of(text)):
                         if len(w) >= 3:
-                            h = hashes.get(w)
-                            if h is None:
-                                if len(hashes) > 400_000:
-                                    hashes.clear()
-                                h = term(w)
-                                hashes[w] = h = h if h in asked else 0
-                            if h:
-                                found.add(h)
-                    own.update(found)
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(list(own), np.uint64))), pa.array(list(own.values()), pa.int64())], names=["t", "df"])
+                            i = places.get(w)
+                            if i is None:
+                                if len(places) > 400_000:
+                                    places.clear()
+                                i = places[w] = asked.get(term(w), -1)
+                            if i >= 0:
+                                found.append(i)
+                    df[found] += 1
+            seen = np.flatnonzero(df)
+            if len(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(block.value[seen])), pa.array(df[seen])], names=["t", "df"])
 
         return run
 
@@ -197,12 +240,11 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return out.groupBy("t").agg(F.sum("df").alias("df"))
 
 
-def disclosures(docs: DataFrame, context: int = 60, support: int = 3, generalise: float = 0.9) -> DataFrame:
+def disclosures(docs: DataFrame, support: int = 3, generalise: float = 0.9) -> DataFrame:
     """(e, t, disclosure) of the pairs at or above the threshold. docs: doc_id, text."""
     n_docs = docs.count()
-    counts = saved(pair_counts(docs, context).where(F.col("n") >= support), "pairs")
-    pairs = counts.where("t is not null")
-    singles = counts.where("t is null").select("e", F.col("n").alias("n_e"))
+    singles = saved(entity_counts(docs).where(F.col("n_e") >= support), "entities")
+    pairs = saved(pair_counts(docs, singles).where(F.col("n") >= support), "pairs")
     df = document_frequency(docs, pairs)
     share = lambda c: F.col(c) / F.lit(float(max(1, n_docs)))
     ic = F.greatest(-F.log2(share("n_e")), F.lit(1e-9))
@@ -214,33 +256,44 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def _found(text: str, flagged: np.ndarray | None, context: int):
-    """(base spans, term spans) of a text; flagged: sorted hashes of (entity, term)."""
+def _found(text: str, flagged: tuple[np.ndarray, np.ndarray]):
+    """(base spans, term spans) of a text; flagged: sorted entities, and sorted hashes of (entity, term)."""
     spans = base_spans(text)
     added = []
-    if spans and flagged is not None and len(flagged):
-        near = list(contexts(text, spans, context))
-        if near:
-            hit = _has(flagged, np.array([paired(e, t) for e, t, _, _ in near], np.uint64))
-            added = sorted({("term", near[i][2], near[i][3]) for i in np.flatnonzero(hit).tolist()}, key=lambda s: s[1])
+    if spans and len(flagged[1]):
+        own = entities(text, spans)
+        own = own[_has(flagged[0], own)]
+        places = list(open_terms(text, spans)) if len(own) else []
+        if places:
+            known, which = np.unique(np.array([t for t, _, _ in places], np.uint64), return_inverse=True)
+            hit = np.zeros(len(known), bool)
+            for e in own:
+                hit |= _has(flagged[1], paired(e[None], known))
+            added = [("term", *places[i][1:]) for i in np.flatnonzero(hit[which]).tolist()]
     return spans, added
 
 
-def _flag_blocks(found: DataFrame) -> list[np.ndarray]:
+def _flag_blocks(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted entities, sorted hashes of their pairs) of at most BLOCK pairs each; one empty block without pairs."""
     own, out = [], []
+
+    def block():
+        e, t = np.array(own, np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+        return np.unique(e), np.sort(paired(e, t))
+
     for r in found.select("e", "t").toLocalIterator():
-        own.append(paired(r["e"] % (1 << 64), r["t"] % (1 << 64)))
+        own.append((r["e"], r["t"]))
         if len(own) == BLOCK:
-            out.append(np.sort(np.array(own, np.uint64)))
+            out.append(block())
             own = []
-    return [*out, np.sort(np.array(own, np.uint64))] if own or not out else out
+    return [*out, block()] if own or not out else out
 
 
-def find(docs: DataFrame, context: int = 60, support: int = 3, generalise: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, support: int = 3, generalise: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SUMMARY of every document."""
     rows = id_text(docs, id_col, text_col)
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _flag_blocks(disclosures(rows, context, support, generalise))]
+    blocks = [sc.broadcast(b) for b in _flag_blocks(disclosures(rows, support, generalise))]
 
     def summary(doc_id, base, added):
         n = Counter(k for k, _, _ in base)
@@ -253,7 +306,7 @@ def find(docs: DataFrame, context: int = 60, support: int = 3, generalise: float
 
     def run(block):
         def one(batch):
-            return batch_of([summary(d, *_found(t, block.value, context)) for d, t in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), strict=True)])
+            return batch_of([summary(d, *_found(t, block.value)) for d, t in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), strict=True)])
 
         return one
 
@@ -300,17 +353,17 @@ def redact(text: str, base, terms: dict[tuple[int, int], bool]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, context: int = 60, support: int = 3, generalise: float = 0.9, remove: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with personal data in the text column replaced; all columns stay. Null texts stay null.
 
     Blocks of flagged pairs beyond the first are applied one after the other while base spans are still in place;
     the base spans go last."""
     sc = docs.sparkSession.sparkContext
-    found = disclosures(id_text(docs, id_col, text_col), context, support, generalise)
+    found = disclosures(id_text(docs, id_col, text_col), support, generalise)
     kinds = []
     for gone in (True, False):
-        kinds += [(gone, sc.broadcast(b)) for b in _flag_blocks(found.where((F.col("disclosure") >= remove) == F.lit(gone))) if len(b)]
-    steps = kinds or [(False, sc.broadcast(np.empty(0, np.uint64)))]
+        kinds += [(gone, sc.broadcast(b)) for b in _flag_blocks(found.where((F.col("disclosure") >= remove) == F.lit(gone))) if len(b[1])]
+    steps = kinds or [(False, sc.broadcast((np.empty(0, np.uint64),) * 2))]
 
     def step(part, last):
         def one(batch):
@@ -321,7 +374,7 @@ def sanitise(docs: DataFrame, context: int = 60, support: int = 3, generalise: f
                     base = base_spans(text)
                     terms = {}
                     for gone, block in part:
-                        for _, a, b in _found(text, block.value, context)[1]:
+                        for _, a, b in _found(text, block.value)[1]:
                             terms.setdefault((a, b), gone)
                     text = redact(text, base if last else [], terms) if base else text
                 out.append(text)

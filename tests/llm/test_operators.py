@@ -224,6 +224,18 @@ def test_pii(spark):
     assert "ann@" not in clean[0] and "Zyxxo" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[7][1] and clean[100] is None and clean[102] == "call [PHONE] now"
 
 
+def test_pii_whole_documents(spark):
+    filler = "tea and cats on tuesday, yours by mail " * 12
+    rows = [(i, f"Zyxxo {filler} mail ann@example.com {filler} yours zyxxo") for i in range(5)] + [(10 + i, f"{filler} {i}") for i in range(60)] + [(90, "ann@example.com met someone")]
+    rows += [(91, f"{filler} ZYXXO {filler} zyxxo@example.org")]  # another value's document: the term stays there
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.find(docs(spark, rows)).collect()}
+    text = rows[0][1]
+    assert [s for s in found[0] if s.startswith("term")] == ["term:0:5", f"term:{len(text) - 5}:{len(text)}"]
+    assert not any(s.startswith("term") for i in (10, 90, 91) for s in found[i])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert "zyxxo" not in clean[0].lower() and clean[10] == rows[5][1] and "ZYXXO" in clean[91]
+
+
 def test_pii_blocks(spark, monkeypatch):
     rows = [(i, f"{w} met bob@example.org here {w}{w}") for i in range(8) for w in [("Qwert", "Asdfg")[i % 2]]] + [(50 + i, f"met here nobody {i}") for i in range(90)]
     one = by(pii.find(docs(spark, rows)).collect())
