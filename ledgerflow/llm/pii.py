@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import arrow_map, column, id_text, mix64, saved, texts_of, words_of
@@ -356,8 +357,8 @@ def redact(text: str, base, terms: dict[tuple[int, int], bool]) -> str:
 def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with personal data in the text column replaced; all columns stay. Null texts stay null.
 
-    Blocks of flagged pairs beyond the first are applied one after the other while base spans are still in place;
-    the base spans go last."""
+    All blocks of flagged pairs are held against the original text: the term spans found so far go from map to map in
+    a column of their own, and the last one redacts."""
     sc = docs.sparkSession.sparkContext
     found = disclosures(id_text(docs, id_col, text_col), support, generalise)
     kinds = []
@@ -365,25 +366,40 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove:
         kinds += [(gone, sc.broadcast(b)) for b in _flag_blocks(found.where((F.col("disclosure") >= remove) == F.lit(gone))) if len(b[1])]
     steps = kinds or [(False, sc.broadcast((np.empty(0, np.uint64),) * 2))]
 
-    def step(part, last):
+    carried = "term_spans"
+    while carried in docs.columns:
+        carried += "_"
+    schema = docs.schema
+    wide = StructType([*schema.fields, StructField(carried, ArrayType(LongType()))])  # start, end, gone of each span in turn
+
+    def step(part, first, last):
         def one(batch):
             at = batch.schema.get_field_index(text_col)
-            out = []
-            for text in batch.column(at).to_pylist():
+            texts = batch.column(at).to_pylist()
+            before = [None] * len(texts) if first else column(batch, carried).to_pylist()
+            out, spans = [], []
+            for text, known in zip(texts, before, strict=True):
+                known = known or []
+                terms = {(a, b): bool(gone) for a, b, gone in zip(known[::3], known[1::3], known[2::3], strict=True)}
                 if text:
-                    base = base_spans(text)
-                    terms = {}
                     for gone, block in part:
                         for _, a, b in _found(text, block.value)[1]:
                             terms.setdefault((a, b), gone)
-                    text = redact(text, base if last else [], terms) if base else text
+                    if last and (base := base_spans(text)):
+                        text = redact(text, base, terms)
                 out.append(text)
-            columns = list(batch.columns)
+                spans.append([x for (a, b), gone in terms.items() for x in (a, b, int(gone))])
+            columns, names = list(batch.columns), list(batch.schema.names)
             columns[at] = pa.array(out, batch.schema.field(at).type)
-            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            if not first:
+                columns, names = columns[:-1], names[:-1]
+            if not last:
+                columns, names = [*columns, pa.array(spans, pa.list_(pa.int64()))], [*names, carried]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         return one
 
     for i in range(0, len(steps), 2):  # two blocks at a time bound a worker's memory
-        docs = arrow_map(docs, step(steps[i : i + 2], i + 2 >= len(steps)), docs.schema)
+        last = i + 2 >= len(steps)
+        docs = arrow_map(docs, step(steps[i : i + 2], i == 0, last), schema if last else wide)
     return docs

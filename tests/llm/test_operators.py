@@ -243,6 +243,14 @@ def test_pii_blocks(spark, monkeypatch):
     assert by(pii.find(docs(spark, rows)).collect()) == one and any("term" in r[6] for r in one)
 
 
+def test_pii_sanitise_blocks(spark, monkeypatch):
+    names = ["Qwert", "Asdfg", "Yxcvb"]
+    rows = [(i, f"{w} met bob@example.org here, +49 {w} 555 555 0199 {w}{w} term") for i in range(9) for w in [names[i % 3]]] + [(50 + i, f"met here nobody {i}") for i in range(90)]
+    one = by(pii.sanitise(docs(spark, rows)).collect())
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert by(pii.sanitise(docs(spark, rows)).collect()) == one and any("[EMAIL]" in r[1] and "Qwert" not in r[1] for r in one)
+
+
 def plain_hits(rows, bench, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     known = defaultdict(set)
