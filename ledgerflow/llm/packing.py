@@ -3,10 +3,11 @@
 Piece lengths are integers from 1 to the capacity, so the whole instance is a histogram of at most `capacity`
 classes, whatever the corpus holds; the driver solves that histogram and never sees a document.
 
-1. Reduction. With j the longest open class and r the room beside one piece of it: if nothing fits in r, j
-   stays alone; if a piece of exactly r exists, the pair {j, r} dominates every other set with j; if no two
-   pieces fit in r together, {j, longest that fits} dominates. Such sets are fixed for good, as many at a
-   time as the counts allow, and the instance shrinks. The first class without a dominating set ends it.
+1. Reduction. With j a class and r the room beside one piece of it: if nothing fits in r, j stays alone; if a piece
+   of exactly r exists, the pair {j, r} dominates every other set with j; so does {j, i}, i the longest piece
+   that fits, if no two pieces fit in r together, or no three do and no two are longer than i together. Such sets are
+   fixed for good, as many at a time as the counts allow, and the instance shrinks. All classes are tried, from the
+   longest, again and again until none has a dominating set.
 2. Best fit decreasing on the rest, by class: sequences with equal room are one group with a count.
 
 Each step says which of a class's pieces (by rank) go to which sequences at which offset. Pieces get their
@@ -50,6 +51,7 @@ class Plan:
         self.runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         self.used: dict[int, int] = defaultdict(int)
         self.sequences = 0
+        self.fixed = 0  # pieces placed by the reduction
 
     def put(self, length: int, seq: int, sequences: int, each: int, offset: int) -> None:
         self.runs[length].append((self.used[length], each, seq, offset))
@@ -60,6 +62,21 @@ class Plan:
         return self.sequences - n
 
 
+def best_pair(keys: list[int], left: dict[int, int], j: int, room: int) -> int:
+    """The largest sum within the room of two pieces other than one of class j; 0 if no two fit."""
+    others = [k for k in keys if k != j or left[k] > 1]
+    best, low, high = 0, 0, len(others) - 1
+    while low <= high:
+        a, b = others[low], others[high]
+        if a + b > room:
+            high -= 1
+            continue
+        if low != high or left[a] - (a == j) > 1:
+            best = max(best, a + b)
+        low += 1
+    return best
+
+
 def reduced(counts: dict[int, int], capacity: int, plan: Plan) -> dict[int, int]:
     """Fixes dominating sets in the plan; returns the counts that are left."""
     left = {k: n for k, n in counts.items() if n}
@@ -71,34 +88,47 @@ def reduced(counts: dict[int, int], capacity: int, plan: Plan) -> dict[int, int]
             del left[k]
             keys.pop(bisect_left(keys, k))
 
-    while keys:
-        j = keys[-1]
-        room = capacity - j
-        n = left[j]
-        if room < keys[0]:
+    def smallest(j: int) -> list[int]:
+        """The three shortest pieces besides one of class j."""
+        out: list[int] = []
+        for k in keys:
+            out += [k] * min(3, left[k] - (k == j))
+            if len(out) >= 3:
+                break
+        return out[:3]
+
+    def fix(j: int) -> bool:
+        room, n, small = capacity - j, left[j], smallest(j)
+        if not small or small[0] > room:
             plan.put(j, plan.opened(n), n, 1, 0)
             take(j, n)
-            continue
+            return True
         at = bisect_left(keys, room + 1) - 1
+        if keys[at] == j and n == 1:
+            at -= 1
         i = keys[at]
-        two = keys[0] + (keys[0] if left[keys[0]] > 1 else keys[1] if len(keys) > 1 else capacity)
-        if i != room and two <= room:
-            break  # three or more might share: no dominating pair is proved
+        if i != room and len(small) > 1 and small[0] + small[1] <= room and ((len(small) > 2 and sum(small) <= room) or i < best_pair(keys, left, j, room)):
+            return False  # two or more might do better beside j than the longest that fits
         if i == j:
             m = n // 2
-            if not m:
-                plan.put(j, plan.opened(1), 1, 1, 0)
-                take(j, 1)
-                continue
             plan.put(j, plan.opened(m), m, 2, 0)
             take(j, 2 * m)
-            continue
+            return True
         m = min(n, left[i])
         seq = plan.opened(m)
         plan.put(j, seq, m, 1, 0)
         plan.put(i, seq, m, 1, j)
         take(j, m)
         take(i, m)
+        return True
+
+    again = True
+    while again:
+        again = False
+        for j in sorted(left, reverse=True):
+            while j in left and fix(j):
+                again = True
+    plan.fixed = sum(counts.values()) - sum(left.values())
     return left
 
 

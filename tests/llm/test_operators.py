@@ -95,16 +95,23 @@ def test_packing_plan_is_whole_and_tight():
                 return n
         return 0
 
-    over = 0
-    for _ in range(150):
-        cap = rng.randint(1, 20)
+    over, emptied = 0, 0
+    for _ in range(400):
+        cap = rng.randint(1, 30)
         items = [rng.randint(1, cap) for _ in range(rng.randint(0, 9))]
+        fewest = best(items, cap)
         plan = packing.solve(Counter(items), cap)
-        assert sum(n for runs in plan.used.values() for n in [runs]) == len(items)
-        over += plan.sequences - best(items, cap)
-    assert 0 <= over <= 8
-    reduced_plan = packing.Plan()
-    assert packing.reduced({7: 3, 3: 2}, 10, reduced_plan) == {} and reduced_plan.sequences == 3
+        assert sum(plan.used.values()) == len(items)
+        over += plan.sequences - fewest
+        fixed = packing.Plan()
+        left = packing.reduced(Counter(items), cap, fixed)
+        assert fixed.fixed + sum(left.values()) == len(items)
+        # what is fixed costs nothing: the rest still packs into the fewest
+        assert fixed.sequences + best([k for k, n in left.items() for _ in range(n)], cap) == fewest, (items, cap)
+        emptied += not left
+    assert 0 <= over <= 3 and emptied > 100
+    for counts, cap, want in (({7: 3, 3: 2}, 10, 3), ({1000: 1, 500: 1}, 2048, 1), ({1000: 3, 500: 1}, 2048, 2), ({1024: 1, 1000: 1}, 2048, 1)):
+        assert packing.solve(counts, cap).sequences == want
 
 
 def test_repair(spark, tmp_path):
