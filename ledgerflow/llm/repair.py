@@ -1,11 +1,11 @@
 """Token ids in grammar-compressed shard files (Re-Pair), with random access.
 
 Documents are range-partitioned by id, so shards hold ascending ids. Each shard is a list of blocks of about
-`block_ids` ids. In a block, frequent adjacent pairs are replaced by nonterminals round after round; a round
-replaces many pairs at once (in a run of overlapping pairs every second one), pairs never cross the end of a document,
-and a pair needs `min_count` places. The block stores its rules, the expansion length of every rule, the
-compressed sequence and the document boundaries, so any range of ids of any document is decoded without
-expanding the rest.
+`block_ids` ids, each with a grammar of its own, so a worker holds one block. In a block, frequent adjacent pairs are replaced by
+nonterminals, from the most frequent down, until no pair has `min_count` places left; pairs never cross the end of a
+document. At the default of 6 a rule (12 bytes) costs what its places save (two bytes each). The block stores its rules,
+the expansion length of every rule, the compressed sequence and the document boundaries, so any range of ids of any
+document is decoded without expanding the rest.
 
 File format: Parquet rows (shard, block, shard_start, n_ids, payload); payload is little-endian:
     magic "RPG1", then unsigned 32-bit: base (first nonterminal), rules R, documents D, symbols S, width in bytes
@@ -20,6 +20,7 @@ sorts first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -39,46 +40,70 @@ SHARD = "shard int, block int, shard_start long, n_ids long, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int, min_count: int, max_rules: int):
-    """(symbols, lengths in symbols, rules as pairs). ids: of all documents, one after the other."""
-    symbols = ids.astype(np.int64)
-    ends = np.cumsum(lengths) - 1
+SLOTS = 1 << 20
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ease: float | None):
+    """(symbols, lengths in symbols, rules as pairs). ids: of all documents, one after the other.
+
+    A pair's count is that of its places from the left that do not overlap. Pairs are replaced from the most frequent
+    down (ties: the smaller pair), and counted anew after each step, until none is left with `min_count` places. A step takes the
+    one most frequent pair (ease None: plain Re-Pair), or all pairs at or above the level, which starts at `ease`
+    times the highest count and falls by that factor; where such pairs overlap, the more frequent one has the place."""
+    symbols = ids.astype(np.uint32)
+    last = np.zeros(len(symbols), bool)
+    last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        n = len(symbols)
-        if n < 2 or made >= max_rules:
-            break
-        open_ = np.ones(n, bool)
-        open_[ends] = False
-        at = np.flatnonzero(open_)
-        code = symbols[at] << 32 | symbols[at + 1]
-        slot = (symbols[at] * 0x9E3779B1 + symbols[at + 1] * 0x85EBCA6B) & 0xFFFFF
-        often = np.bincount(slot, minlength=1 << 20)[slot] >= min_count  # no pair that is frequent is lost here
-        at, code = at[often], code[often]
-        pairs, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
-        best = np.argsort(-counts, kind="stable")[: max_rules - made]
-        best = best[counts[best] >= min_count]
-        if not len(best):
+    made, level = 0, np.iinfo(np.int64).max
+    while len(symbols) > 1:
+        a, b = symbols[:-1], symbols[1:]
+        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
+        slot[last[:-1]] = SLOTS  # no pair crosses the end of a document
+        seen = np.bincount(slot, minlength=SLOTS + 1)
+        seen[SLOTS] = 0
+        top = int(seen.max())  # at least the highest count of a pair
+        level = max(min_count, min(level, math.ceil(top * (ease or 1))) if ease else top)
+        while top >= min_count:
+            at = np.flatnonzero((seen >= level)[slot])
+            pairs, which = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True)
+            again = np.zeros(len(at), bool)
+            again[1:] = (at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])
+            run = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+            free = (np.arange(len(at)) - run) % 2 == 0
+            counts = np.bincount(which[free], minlength=len(pairs))
+            if (counts >= level).any() or level <= min_count:
+                break
+            level = max(min_count, int(level * ease) if ease else max(int(counts.max(initial=0)), int(seen[seen < level].max(initial=0))))
+        if top < min_count or not (counts >= level).any():
             break
-        rule = np.full(len(pairs), -1, np.int64)
-        rule[best] = base + made + np.arange(len(best))
-        chosen = rule[inverse] >= 0
-        at, name = at[chosen], rule[inverse][chosen]
-        follows = np.zeros(len(at), bool)
-        follows[1:] = at[1:] == at[:-1] + 1
-        run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
-        keep = (np.arange(len(at)) - run) % 2 == 0
-        at, name = at[keep], name[keep]
-        symbols[at] = name
-        alive = np.ones(n, bool)
+        rank = np.empty(len(pairs), np.int64)
+        order = np.argsort(-counts, kind="stable")
+        rank[order] = np.arange(len(pairs))
+        chosen = counts[which] >= level if ease else rank[which] == 0
+        at, r, again, free = at[chosen], rank[which[chosen]], again[chosen], free[chosen]
+        head = np.flatnonzero(~again)  # of each run of one pair
+        touch = at[head[1:]] == at[head[1:] - 1] + 1
+        wins = np.ones(len(head), bool)
+        wins[1:] &= ~touch | (r[head[1:]] < r[head[:-1]])
+        wins[:-1] &= ~touch | (r[head[:-1]] < r[head[1:]])
+        kept = free & wins[np.cumsum(~again) - 1]
+        at, r = at[kept], r[kept]
+        places = np.bincount(r, minlength=len(pairs))
+        good = np.flatnonzero(places >= min_count)  # the most frequent pair loses no place, so there is one
+        name = np.zeros(len(pairs), np.uint32)
+        name[good] = base + made + np.arange(len(good))
+        own = name[r] > 0
+        at, r = at[own], r[own]
+        symbols[at] = name[r]
+        last[at] |= last[at + 1]
+        alive = np.ones(len(symbols), bool)
         alive[at + 1] = False
-        symbols = symbols[alive]
-        ends = np.cumsum(alive)[ends] - 1
-        rules.append(np.stack([pairs[best] >> 32, pairs[best] & 0xFFFFFFFF], axis=1))
-        made += len(best)
+        symbols, last = symbols[alive], last[alive]
+        own = pairs[order[good]]
+        rules.append(np.stack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
+        made += len(good)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    return symbols, np.diff(ends, prepend=-1), table
+    return symbols.astype(np.int64), np.diff(np.flatnonzero(last), prepend=-1), table
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -88,12 +113,11 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: list, docs: list[bytes], base: int, rounds: int, min_count: int) -> bytes:
+def write_block(doc_ids: list, docs: list[bytes], base: int, min_count: int, ease: float | None) -> bytes:
     lengths = np.array([len(d) // 4 for d in docs], np.int64)
     ids = np.frombuffer(b"".join(docs), "<u4")
     base = max(base, int(ids.max(initial=0)) + 1)
-    wide = 65536 if base < 60000 else 1 << 32
-    symbols, in_symbols, rules = compress(ids, lengths, base, rounds, min_count, min(wide - base, 1 << 20))
+    symbols, in_symbols, rules = compress(ids, lengths, base, min_count, ease)
     width = 2 if base + len(rules) <= 65536 else 4
     return b"".join((
         MAGIC, struct.pack("<5I", base, len(rules), len(docs), len(symbols), width),
@@ -156,7 +180,7 @@ class Block:
         return self.expand(own[a : b + 1])[first - skip : max(last, first) - skip].astype("<u4")
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards: int | None = None, block_ids: int = 1 << 20, rounds: int = 3, min_count: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards: int | None = None, block_ids: int = 1 << 20, min_count: int = 6, ease: float | None = 0.25, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes shard files to the folder `out`, in ascending doc_id order."""
     rows = id_text(docs, id_col, text_col)
     n = shards or max(rows.rdd.getNumPartitions(), 1)
@@ -172,7 +196,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards:
 
         def flush():
             nonlocal block, total, ids, data, size
-            payload = write_block(ids, data, base, rounds, min_count)
+            payload = write_block(ids, data, base, min_count, ease)
             row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (total, pa.int64()), (size, pa.int64()), (payload, pa.binary()))], names=[x.split()[0] for x in SHARD.split(", ")])
             block, total, ids, data, size = block + 1, total + size, [], [], 0
             return row

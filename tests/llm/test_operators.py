@@ -135,6 +135,45 @@ def test_repair(spark, tmp_path):
             assert block.ids(d, a, b).tolist() == whole[e - n : e][a:b].tolist() and block.ids(d).tolist() == whole[e - n : e].tolist()
 
 
+def plain_repair(docs, base, min_count):
+    """One pair at a time, counted anew each time, from the left."""
+    docs, rules = [list(d) for d in docs], []
+
+    def places(d, pair):
+        out, i = [], 0
+        while i + 1 < len(d):
+            hit = (d[i], d[i + 1]) == pair
+            out += [i] if hit else []
+            i += 2 if hit else 1
+        return out
+
+    while True:
+        counts = {pair: sum(len(places(d, pair)) for d in docs) for pair in {p for d in docs for p in zip(d, d[1:], strict=False)}}
+        top = min(counts, key=lambda p: (-counts[p], p), default=None)
+        if top is None or counts[top] < min_count:
+            return docs, rules
+        for d in docs:
+            for i in reversed(places(d, top)):
+                d[i : i + 2] = [base + len(rules)]
+        rules.append(top)
+
+
+def test_repair_grammar():
+    rng = random.Random(12)
+    for case in range(60):
+        docs = [[rng.choice([1, 2, 3, rng.randint(1, 9)]) for _ in range(rng.randint(1, 60))] for _ in range(rng.randint(1, 6))] + [[7] * rng.randint(1, 40)] + [[1, 2, 3, 4, 5]] * (case % 5)
+        ids, lengths = np.concatenate([np.array(d, "<u4") for d in docs]), np.array([len(d) for d in docs])
+        for min_count in (2, 3):
+            symbols, parts, rules = repair.compress(ids, lengths, 10, min_count, None)
+            want, want_rules = plain_repair(docs, 10, min_count)
+            assert [tuple(r) for r in rules.tolist()] == want_rules and symbols.tolist() == [x for d in want for x in d] and parts.tolist() == [len(d) for d in want]
+            symbols, parts, rules = repair.compress(ids, lengths, 10, min_count, 0.5)
+            cut = np.split(symbols, np.cumsum(parts)[:-1])
+            assert plain_repair([c.tolist() for c in cut], 10 + len(rules), min_count)[1] == []  # nothing frequent is left
+            again = repair.Block(repair.write_block(list(range(len(docs))), [np.array(d, "<u4").tobytes() for d in docs], 10, min_count, 0.5))
+            assert again.all_ids().tolist() == ids.tolist()
+
+
 def test_language(spark):
     rng = random.Random(3)
     made = {"aa": ["bato", "kilu", "moner", "talo"], "bb": ["schrift", "zwölf", "streng", "weiß"], "cc": ["queja", "niño", "llave", "corazón"]}
