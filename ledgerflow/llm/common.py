@@ -1,7 +1,7 @@
 """Helpers shared by the operators: document columns, Arrow maps, durable intermediate tables.
 
-Every operator selects the columns it names and nothing else, so extra columns of the input, even ones
-named like an output, never clash.
+The query forms select the columns they name and nothing else, and the filtering forms, which keep all columns, take
+names of their own from free_names(); so extra columns of the input never clash.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ CACHE_ENTRIES = 400_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder for durable intermediate tables: spark.checkpoint.dir, which all executors share.
 
-    Only where neither the session nor the context names one (tests in local mode) a temporary folder is set.
+    Where neither the session nor the context names one, a temporary folder is set in local mode (tests); on a
+    cluster that is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerflow-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -51,20 +54,37 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows that go to a Python worker at once: whole texts may be long, so few of them.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker takes apart at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Keeps the session's Arrow batches at BATCH_ROWS rows or fewer, which bounds a worker's memory."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def bounded(batches):
+    """Arrow batches cut to at most BATCH_ROWS rows and BATCH_BYTES bytes (one row at least)."""
+    for batch in batches:
+        rows = batch.num_rows
+        step = max(1, min(BATCH_ROWS, rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for lo in range(0, rows, step):
+            part = batch.slice(lo, step)
+            if part.nbytes <= BATCH_BYTES or part.num_rows == 1:
+                yield part
+            else:  # rows of very different sizes
+                half = part.num_rows // 2
+                yield from bounded([part.slice(0, half), part.slice(half)])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -74,16 +94,19 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: record batch -> record batch, or an iterable of them, one batch at a time."""
 
+    names = df.columns
+    if any("." in c or "`" in c for c in names):  # mapInArrow resolves names, and takes a dot for a field
+        df = df.toDF(*[f"c{i}" for i in range(len(names))])
+
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
-
-    return bounded_batches(df).mapInArrow(run, schema)
+        for batch in bounded(batches):
+            out = fn(batch.rename_columns(names))
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a grouped minimum (partial aggregation, so a node with very many neighbours is no single task)
+The steps reach a fixed point, in which every node points at the smallest of its component, in O(log^2 n) rounds (proved
+there), so the loop needs no bound. Every step is a grouped minimum (partial aggregation, so a node with very many neighbours is no single task)
 and a join back; rounds are written to the shared folder, and only one number a round comes to the driver.
 """
 
@@ -25,11 +26,11 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root) for every node that has an edge to another; root is the component's smallest node."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         after = saved(_small(_large(now)), "edges")
         state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         dropped(now)
@@ -37,4 +38,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    raise RuntimeError("components: no fixed point")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import CACHE_ENTRIES, arrow_map, column, id_text, keep_where, mix64, saved, texts_of, words_of
+from .common import CACHE_ENTRIES, arrow_map, column, free_names, id_text, keep_where, mix64, saved, texts_of, words_of
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word: long, end_word: long>>"
 PARTIAL = "doc_id long, row string, n_words long, hits array<struct<first_word: long, end_word: long>>, items array<string>"
@@ -211,7 +211,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int =
             return pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["contaminated_text"])
 
         found = saved(arrow_map(merged_blocks(id_text(docs), [sc.broadcast(b) for b in blocks]), verdict, "contaminated_text string").distinct(), "contaminated")
-        return docs.join(found, text_key(docs["text"].cast("string")) == found["contaminated_text"], "left_anti")
+        (key,) = free_names(docs, "contaminated_text")
+        return docs.join(found.withColumnRenamed("contaminated_text", key), text_key(docs["text"].cast("string")) == F.col(key), "left_anti")
     shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def keep(text):

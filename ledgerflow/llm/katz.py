@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, crc32_of_id, id_text, mix64, saved, texts_of
+from .common import bounded, column, crc32_of_id, id_text, mix64, saved, texts_of
 
 TOP = 5  # counts up to this are discounted
 END, BOS = b" ", b"\n"  # no word holds white space
@@ -103,7 +103,7 @@ def block_rows(docs: DataFrame, held, train, block_tokens: int) -> DataFrame:
             vocab, rows, tokens, size, seq = _Local({END: 0, BOS: 1}), [], [], 0, seq + 1
             return out
 
-        for batch in batches:
+        for batch in bounded(batches):
             for row in zip(column(batch, "doc_id").to_pylist(), column(batch, "held").to_pylist(), column(batch, "train").to_pylist(), texts_of(batch), strict=True):
                 words = row[3].encode().lower().split()
                 words.append(END)

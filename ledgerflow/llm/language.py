@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, crc32_of_id, id_text, keep_where, mix64, texts_of
+from .common import arrow_map, bounded, column, crc32_of_id, id_text, keep_where, mix64, saved, texts_of
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, explained double"
 SIZES = (2, 3, 4)
@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, sample_per_language: int = 1500, min_count: int = 3
                 n = np.bincount(where, np.concatenate((n, m)), len(a)).astype(np.int64)
             own[lang] = a, n
 
-        for batch in batches:
+        for batch in bounded(batches):
             byl: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(column(batch, "lang").to_pylist(), texts_of(batch), strict=True):
                 byl.setdefault(lang, []).append(grams_of(text)[0])
@@ -152,14 +152,16 @@ def fit(labelled: DataFrame, sample_per_language: int = 1500, min_count: int = 3
         for lang, (a, n) in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), pa.array(a.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    seen = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded with the sample
-    if seen.empty:
+    counts = saved(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    sums = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not sums:
         return BitmaskFilter(languages, np.zeros((1024, -(-len(languages) // 64)), np.uint64), hashes, np.zeros(len(languages)))
-    seen["rate"] = seen["n"] / seen.groupby("lang")["n"].transform("sum")
-    best = seen.groupby("gram")["rate"].transform("max")
-    few = min_count if seen["n"].max() >= 20 * min_count else 1  # a handful of tiny texts
-    kept = seen[(seen["n"] >= few) & (seen["rate"] >= share * best)]
-    return BitmaskFilter.build(languages, {number[k]: g["gram"].to_numpy().view(np.uint64) for k, g in kept.groupby("lang")}, hashes)
+    rate = F.col("n") / F.create_map(*[F.lit(x) for kv in sums.items() for x in kv])[F.col("lang")]
+    rated = counts.withColumn("rate", rate)
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
+    kept = rated.where(F.col("n") >= min_count).join(best, "gram").where(F.col("rate") >= share * F.col("best"))
+    seen = kept.select("lang", "gram").toPandas()  # the filters' own n-grams: bounded with the sample
+    return BitmaskFilter.build(languages, {number[k]: g["gram"].to_numpy().view(np.uint64) for k, g in seen.groupby("lang")}, hashes)
 
 
 def held_out(id_col):

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, id_text, saved, texts_of
+from .common import bounded, column, id_text, saved, texts_of
 from .encoding import encoder, groups_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in bounded(batches):
             texts, ids = texts_of(batch), column(batch, "doc_id").to_pylist()
             for lo, hi in groups_of(texts):
                 rows: list[tuple] = []

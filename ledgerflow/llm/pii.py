@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, column, id_text, mix64, saved, texts_of, words_of
+from .common import arrow_map, bounded, column, free_names, id_text, mix64, saved, texts_of, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -133,7 +133,7 @@ def entity_counts(docs: DataFrame) -> DataFrame:
     """(e, n_e): documents with entity e."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             own: Counter = Counter()
             for text in texts_of(batch):
                 own.update({entity(k, text[a:b]) for k, a, b in base_spans(text)})
@@ -158,7 +158,7 @@ def pair_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def counter(block):
         def run(batches):
             es, ts, size = [], [], 0
-            for batch in batches:
+            for batch in bounded(batches):
                 for text in texts_of(batch):
                     spans = base_spans(text)
                     own = entities(text, spans)
@@ -213,7 +213,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
             places: dict[bytes, int] = {}  # of a word in the block, -1 without one
             asked = {t: i for i, t in enumerate(block.value.tolist())}
             df = np.zeros(len(asked), np.int64)
-            for batch in batches:
+            for batch in bounded(batches):
                 for text in texts_of(batch):
                     found = []
                     for w in set(words_of(text)):
@@ -366,9 +366,7 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove:
         kinds += [(gone, sc.broadcast(b)) for b in _flag_blocks(found.where((F.col("disclosure") >= remove) == F.lit(gone))) if len(b[1])]
     steps = kinds or [(False, sc.broadcast((np.empty(0, np.uint64),) * 2))]
 
-    carried = "term_spans"
-    while carried in docs.columns:
-        carried += "_"
+    (carried,) = free_names(docs, "term_spans")
     schema = docs.schema
     wide = StructType([*schema.fields, StructField(carried, ArrayType(LongType()))])  # start, end, gone of each span in turn
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, id_text, shared_dir, texts_of
+from .common import bounded, column, id_text, shared_dir, texts_of
 from .encoding import encoder, groups_of
 
 MAGIC = b"RPG1"
@@ -201,7 +201,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards:
             block, total, ids, data, size = block + 1, total + size, [], [], 0
             return row
 
-        for batch in batches:
+        for batch in bounded(batches):
             texts, doc_ids = texts_of(batch), column(batch, "doc_id").to_pylist()
             for lo, hi in groups_of(texts):
                 for doc_id, own in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, column, id_text, saved, texts_of
+from .common import arrow_map, column, free_names, id_text, saved, texts_of
 from .components import components
 
 SEED = 42
@@ -138,14 +139,16 @@ def keep_one(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         gone = rows.join(own, "fp").where("doc_id <> component_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        (key,) = free_names(docs, "gone")
+        return docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"].cast("long") == F.col(key), "left_anti")
 
     def with_print(batch):
         texts = texts_of(batch)
-        fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "__fp"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long"
-    printed = arrow_map(docs, with_print, schema)
-    joined = printed.join(own.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__low")), "__fp")
-    return joined.where(F.col("doc_id").eqNullSafe(F.col("__low"))).dropDuplicates(["__root", "doc_id"]).select(docs.columns)
+        found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, fp])
+
+    fp, root, low = free_names(docs, "fp", "root", "low")
+    printed = arrow_map(docs, with_print, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    joined = printed.join(own.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low)), fp)
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.where(F.col("doc_id").cast("long").eqNullSafe(F.col(low))).dropDuplicates([root, "doc_id"]).select(named)

@@ -430,3 +430,62 @@ def test_katz(spark, block_tokens):
         assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2) and r["n_known"] == sum(uni[x] > 0 for x in w) and r["train_tokens"] == total
         assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 1) / (total + types + 1)) for x in w))
         assert r["score"] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([katz.BOS, *w], w, strict=False)))
+
+
+CLASHES = ("fp", "root", "low", "gone", "contaminated_text", "term_spans", "e", "t", "n", "row", "hits", "__fp", "a.b")
+
+
+def odd_table(spark, rows):
+    """Documents with extra columns named like those that operators make."""
+    df = docs(spark, rows).drop("fp")
+    for name in CLASHES:
+        df = df.withColumn(name, F.lit(f"kept {name}"))
+    return df
+
+
+@pytest.mark.parametrize("rows", [[], ROWS, [(None, None), (None, ""), (None, "a b c"), (5, None), (5, "a b c")]])
+def test_filters_keep_all_columns(spark, rows, monkeypatch):
+    df = odd_table(spark, rows)
+    bench = spark.createDataFrame([(1, "the cat sat on a mat the cat sat on a mat the cat")], "item_id long, text string")
+    for blocks in (500_000, 12):
+        out = decontaminate.keep_clean(df, bench, block_windows=blocks)
+        assert out.columns == df.columns and all(r["fp"] == "kept fp" and r["a.b"] == "kept a.b" for r in out.collect())
+    for size in (1_000_000, 1):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        out = pii.sanitise(df)
+        assert out.columns == df.columns and out.count() == len(rows)
+    out = language.keep_identified(df)
+    assert out.columns == df.columns and out.count() <= len(rows)
+    out = simhash.keep_one(df)
+    kept = out.collect()
+    assert out.columns == df.columns and all(r["__fp"] == "kept __fp" for r in kept)
+    known = linked({i: plain_fingerprint(t) for i, t in rows if i is not None and [x for x, _ in rows].count(i) == 1})
+    assert len(kept) == len({(plain_fingerprint(r["text"]), r["doc_id"]) for r in kept}) and (len(kept) > 0) == (len(rows) > 0)
+    assert all(known[i] == i or i not in known for i in (r["doc_id"] for r in kept) if i in known)
+
+
+def test_batches_are_bounded():
+    import pyarrow as pa
+
+    from ledgerflow.llm import common
+
+    texts = ["x" * n for n in [10, 9 << 20, 5, 3 << 20, 3 << 20, 3 << 20] + [100] * 2500]
+    parts = list(common.bounded([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"])]))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= common.BATCH_ROWS and p.nbytes <= common.BATCH_BYTES) for p in parts)
+
+
+def test_shared_folder_needs_a_name_on_a_cluster(monkeypatch):
+    from ledgerflow.llm import common
+
+    class Absent:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Absent()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, key, default: default})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
