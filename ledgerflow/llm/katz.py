@@ -1,18 +1,21 @@
-"""Katz backoff language model: Good-Turing discounted bigram and unigram counts, exactly normalised backoff.
+"""Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff, evaluated recursively.
 
-    P(w | h) = d(c(hw)) c(hw) / c(h)  if c(hw) > 0,   else a(h) P(w)        (a = 1 if c(h) = 0)
+    P(w | h) = d(c(hw)) c(hw) / c(h)  if c(hw) > 0,   else a(h) P(w | h')   (h' = h without its first token; a = 1 if c(h) = 0)
     P(w)     = d(c(w)) c(w) / N       if c(w) > 0,    else the unseen mass, that of one unknown token
-    a(h)     = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over the same w)
+    a(h)     = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over the same w)
 
-d(r) is Katz's Good-Turing discount for r up to 5 and 1 beyond; where the counts of counts do not give a value
-in (0, 1), absolute discounting by one half stands in. A history whose seen followers would take all mass keeps 1 / (c + 1) for the
-others. So for every history the probabilities of the known tokens and of the unknown token sum to 1.
+A history is up to order - 1 tokens, or what there is back to the start symbol. d(r) is Katz's Good-Turing discount of each order for r
+up to 5 and 1 beyond; where the counts of counts do not give a value in (0, 1), absolute discounting by one half
+stands in. A history whose seen followers would take all mass keeps 1 / (c + 1) for the others. So for every
+history the probabilities of the known tokens and of the unknown token sum to 1.
 
-Texts become blocks of about `block_tokens` tokens: document rows with a local dictionary. A block asks once
-for each distinct word and bigram it holds (64-bit hashes, sorted, delta-coded); requests are dealt by hash
-into buckets, where the training counts of all blocks are added up. The answers, stored as tables partitioned by block and bucket, go
-back to the blocks. So a frequent bigram is one entry a block, never one a document. One block, the owner, adds
-each seen bigram's share to the sums of its history's backoff weight. Volumes grow with the input.
+Texts become blocks of about `block_tokens` tokens: document rows with a local dictionary. A block asks once for
+each distinct word and n-gram it holds (hashes, sorted, delta-coded; those of n-grams keep 56 bits); requests are dealt by hash
+into buckets, where the training counts of all blocks are added up. The answers, stored as tables partitioned by block
+and bucket, go back to the blocks. So a frequent n-gram is one entry a block, never one a document. An n-gram that only one block asked for is
+alone, and so is every longer one that holds it: their counts and weights are the block's own and need no message. One
+block, the owner, adds each seen n-gram's share to the sums of its history's backoff weight. Blocks and buckets are bounded,
+their numbers and the partitions they are dealt to grow with the input.
 
 Defined results: null and empty texts are the end token alone; repeated rows are counted and scored each; a null
 doc_id is scored but neither held out nor learned from; with nothing to learn from, N and V are 0 and every token is unknown.
@@ -123,37 +126,83 @@ def message(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], names=["kind", "block", "bucket", "payload"])
 
 
+class Level:
+    """The distinct n-grams of one order in a block, by hash; hist and lower: their places one order below, without the last and the first token."""
+
+    def __init__(self, hashes, hist, lower, ends, inverse, where):
+        self.hashes, self.hist, self.lower, self.ends = hashes, hist, lower, ends  # ends: whether the last token is the end
+        self.inverse, self.where = inverse, where  # n-gram of each position in `where`
+
+
 class Block:
-    """A block with its distinct words and bigrams in the order of their hashes."""
+    """A block with its distinct words and n-grams in the order of their hashes."""
 
     def __init__(self, payload: bytes):
         self.ids, self.null, self.held, self.train, self.lengths, self.vocab, self.tokens = unpack(payload)
-        self.tokens = self.tokens.astype(np.int64)
-        self.ends = np.cumsum(self.lengths.astype(np.int64))
-        self.starts = self.ends - self.lengths
+        ends = np.cumsum(self.lengths.astype(np.int64))
+        self.starts = ends - self.lengths
         self.learned = np.repeat(self.train, self.lengths).astype(bool)
-        self.order = np.argsort(self.vocab)
-        self.words = self.vocab[self.order]
-        self.place = np.empty(len(self.order), np.int64)
-        self.place[self.order] = np.arange(len(self.order))
-
-    def word_counts(self) -> np.ndarray:
-        """Training count of each word (by place); for the start symbol the training documents."""
-        n = np.bincount(self.place[self.tokens[self.learned]], minlength=len(self.words))
-        n[self.place[1]] = int(self.train.sum())
+        order = np.argsort(self.vocab)
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
+        self.levels = {1: Level(self.vocab[order], None, None, order == 0, self.place[self.tokens], slice(None))}
+
+    def level(self, k: int) -> Level:
+        if k not in self.levels:
+            self.levels[k] = self._above(self.level(k - 1), k)
+        return self.levels[k]
+
+    def _above(self, below: Level, k: int) -> Level:
+        n = len(self.tokens)
+        if k == 2:
+            where = slice(None)
+            hist = np.empty(n, np.int32)
+            hist[1:] = below.inverse[:-1]
+            hist[self.starts] = self.place[1]
+            lower = below.inverse
+        else:  # a document's first k - 2 tokens have no history of that length
+            offset = np.arange(n) - np.repeat(self.starts, self.lengths)
+            where = np.flatnonzero(offset >= k - 2)
+            every = np.full(n, -1, np.int32)
+            every[below.where] = below.inverse
+            hist, lower = every[where - 1], every[where]
+        words = self.levels[1]
+        key = below.hashes[hist] * np.uint64(0x9E3779B97F4A7C15) + mix64(words.hashes)[words.inverse[where]]
+        hashes, first, inverse = np.unique(mix64(key) & ~np.uint64(0xFF), return_index=True, return_inverse=True)
+        return Level(hashes, hist[first], lower[first], below.ends[lower[first]], inverse.astype(np.int32), where)
+
+    def counts(self, k: int) -> np.ndarray:
+        """Training count of each n-gram; for the start symbol the training documents."""
+        own = self.level(k)
+        n = np.bincount(own.inverse[self.learned[own.where]], minlength=len(own.hashes))
+        if k == 1:
+            n[self.place[1]] = int(self.train.sum())
         return n
 
-    def bigrams(self):
-        """hashes, place of history, place of word, and for each token its bigram."""
-        prev = np.empty_like(self.tokens)
-        prev[1:] = self.tokens[:-1]
-        prev[self.starts] = 1
-        key = mix64(self.vocab[prev] * np.uint64(0x9E3779B97F4A7C15) + mix64(self.vocab[self.tokens]))
-        hashes, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        return hashes, self.place[prev[first]], self.place[self.tokens[first]], inverse
 
-    def bigram_counts(self, n: int, inverse: np.ndarray) -> np.ndarray:
-        return np.bincount(inverse[self.learned], minlength=n)
+class Known:
+    """What a block knows of an order after the answers: training counts over all blocks, whether it is the owner, and whether it alone asked."""
+
+    def __init__(self, block: Block, k: int, answers: dict, below: Known | None):
+        own = block.level(k)
+        n = len(own.hashes)
+        if k == 1:
+            self.c, self.owner, self.alone = answers["G1"][0].astype(np.int64), np.zeros(n, bool), np.zeros(n, bool)
+            return
+        self.alone, ask = unasked(own, k, below)
+        self.c, self.owner = np.where(self.alone, block.counts(k), 0), np.zeros(n, bool)
+        self.owner[self.alone] = self.c[self.alone] > 0
+        if f"G{k}" in answers:
+            c, flags = answers[f"G{k}"]
+            self.c[ask], self.owner[ask], self.alone[ask] = c, flags & 1, flags & 2
+
+
+def unasked(own: Level, k: int, below: Known) -> tuple[np.ndarray, np.ndarray]:
+    """(alone by what is known below, places to ask for): a part that is alone settles an n-gram, and one never seen makes it unseen."""
+    if k == 2:
+        return np.zeros(len(own.hashes), bool), np.arange(len(own.hashes))
+    alone = below.alone[own.hist] | below.alone[own.lower]
+    return alone, np.flatnonzero(~alone & (below.c[own.hist] > 0) & (below.c[own.lower] > 0))
 
 
 def counts_of_counts(n: np.ndarray) -> list[int]:
@@ -195,51 +244,55 @@ class Unigrams:
         return np.where(c > 0, self.scale * discounted(c, self.d) / max(1, self.total), self.unseen)
 
 
-def totals(kind: str, owners: bool):
+def _asked(table: pa.Table) -> tuple[list[int], list[list[np.ndarray]], np.ndarray, np.ndarray]:
+    """Requests in the order of blocks: blocks, arrays, all hashes, and where each block's begin."""
+    table = table.sort_by("block")
+    data = [unpack(x) for x in table["payload"].to_pylist()]
+    return table["block"].to_pylist(), data, np.concatenate([undeltas(x[0]) for x in data]), np.cumsum([0] + [len(x[0]) for x in data])
+
+
+def totals(kind: str, bucket: int, table: pa.Table) -> list[tuple]:
     """For a bucket: adds up the blocks' training counts; answers each block; a row of block -1 has statistics."""
+    blocks, data, hashes, at = _asked(table)
+    counts = np.concatenate([x[1] for x in data]).astype(np.int64)
+    known, inverse, asks = np.unique(hashes, return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, counts, len(known)).astype(np.int64)
+    plain = total[known != BOS_HASH] if kind == "G1" else total
+    out = [("S" + kind, -1, bucket, pack(statistics(plain)))]
+    places = np.flatnonzero(counts)[::-1]
+    first = np.full(len(known), -1, np.int64)
+    first[inverse[places]] = places  # the earliest is written last
+    flags = np.zeros(len(hashes), np.uint8)
+    flags[first[first >= 0]] = 1
+    flags |= (2 * (asks == 1)).astype(np.uint8)[inverse]
+    for block, lo, hi in zip(blocks, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        own = total[inverse[lo:hi]].astype("<u8")
+        out.append((kind, block, bucket, pack(own) if kind == "G1" else pack(own, flags[lo:hi])))
+    return out
 
-    def run(key, table):
-        table = table.combine_chunks().sort_by("block")
-        blocks, data = table["block"].to_pylist(), [unpack(x) for x in table["payload"].to_pylist()]
-        sizes = [len(x[0]) for x in data]
-        hashes = np.concatenate([undeltas(x[0]) for x in data])
-        counts = np.concatenate([x[1] for x in data]).astype(np.int64)
-        known, inverse = np.unique(hashes, return_inverse=True)
-        total = np.bincount(inverse, counts, len(known)).astype(np.int64)
-        plain = total[known != BOS_HASH] if not owners else total
-        stats = np.array([int(plain.sum()), int((plain > 0).sum()), *counts_of_counts(plain)], "<i8")
-        owner = np.zeros(len(hashes), np.uint8)
-        if owners:
-            at = np.flatnonzero(counts)[::-1]
-            first = np.full(len(known), -1, np.int64)
-            first[inverse[at]] = at  # the earliest is written last
-            owner[first[first >= 0]] = 1
-        out, lo = [("S" + kind, -1, key[0].as_py(), pack(stats))], 0
-        for block, n in zip(blocks, sizes, strict=True):
-            own = total[inverse[lo : lo + n]].astype("<u8")
-            out.append((kind, block, key[0].as_py(), pack(own, owner[lo : lo + n]) if owners else pack(own)))
-            lo += n
-        return pa.Table.from_batches([message(out)])
 
-    return run
+def statistics(n: np.ndarray) -> np.ndarray:
+    """Sum, number of those seen, counts of counts."""
+    return np.array([int(n.sum()), int((n > 0).sum()), *counts_of_counts(n)], "<i8")
 
 
-def asked(batches, buckets: int, of_block):
-    for batch in batches:
-        for block, payload in zip(column(batch, "block").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
-            hashes, counts, kind = of_block(Block(payload))
-            rows = [(kind, block, b, pack(deltas(hashes[lo:hi]), counts[lo:hi].astype("<u4"))) for b, lo, hi in slices(hashes, buckets)]
-            for lo in range(0, len(rows), 64):
-                yield message(rows[lo : lo + 64])
+def requests(kind: str, block: int, buckets: int, hashes: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """A message for each bucket; hashes sorted, the others with them along their last axis."""
+    return [(kind, block, b, pack(deltas(hashes[lo:hi]), *[np.ascontiguousarray(x[..., lo:hi]).reshape(-1) for x in arrays])) for b, lo, hi in slices(hashes, buckets)]
 
 
-def _word_request(block: Block):
-    return block.words, block.word_counts(), "U"
+def asked(k: int, buckets: int):
+    """Map: the requests of every block for its n-grams of order k, all of them."""
 
+    def run(batches):
+        for batch in batches:
+            for block, payload in zip(column(batch, "block").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
+                own = Block(payload)
+                rows = requests(f"G{k}", block, buckets, own.level(k).hashes, own.counts(k).astype("<u4"))
+                for lo in range(0, len(rows), 64):
+                    yield message(rows[lo : lo + 64])
 
-def _bigram_request(block: Block):
-    hashes, _, _, inverse = block.bigrams()
-    return hashes, block.bigram_counts(len(hashes), inverse), "B"
+    return run
 
 
 def _parts(table: pa.Table) -> tuple[Block, dict[str, list[np.ndarray]]]:
@@ -277,85 +330,172 @@ def summed(rows: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _stats(answers: DataFrame, kind: str) -> list[int]:
-    """Sums of the buckets' statistics rows (some numbers a bucket)."""
+    """Sums of the statistics rows (some numbers a bucket or block)."""
     rows = [unpack(bytes(r["payload"]))[0] for r in answers.where(F.col("kind") == kind).select("payload").toLocalIterator()]
     return np.sum(rows, axis=0).astype(int).tolist() if rows else [0] * (TOP + 3)
 
 
-def score(docs: DataFrame, held, train, block_tokens: int = 2_200_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """RESULT for every document. held, train: boolean columns over doc_id: held out, and learned from."""
+class Model:
+    """What all blocks share: unigrams and the discounts of each order."""
+
+    def __init__(self, total: int, types: int, n: list[int]):
+        self.total, self.types, self.uni, self.d = total, types, Unigrams(total, types, n), {}
+
+    def weights(self, m: int, c, sums, c_low=None, full_low=None) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weights of histories of m tokens, and whether their followers' shares are scaled down.
+
+        sums: tallies of their followers' counts, then of the same followers' counts after the shorter history, which is
+        counted c_low times."""
+        c = c.astype(np.float64)
+        left = 1 - summed(sums[: TOP + 1], self.d[m + 1]) / c
+        full = left <= 1e-12
+        left = np.where(full, 1 / (c + 1), left)
+        if m == 1:
+            lower = self.uni.scale * summed(sums[TOP + 1 :], self.uni.d) / max(1, self.total)
+        else:
+            lower = self.kept(c_low, full_low) * summed(sums[TOP + 1 :], self.d[m]) / np.maximum(1, c_low)
+        return left / np.maximum(1e-300, 1 - lower), full
+
+    @staticmethod
+    def kept(c, full) -> np.ndarray:
+        return np.where(full, c / (c + 1.0), 1.0)
+
+
+class View:
+    """A block with all answers so far: counts by order, and the weights of its histories."""
+
+    def __init__(self, table: pa.Table, top: int, model: Model):
+        self.block, self.answers = _parts(table)
+        self.model, self.known = model, {}
+        for k in range(1, top + 1):
+            self.known[k] = Known(self.block, k, self.answers, self.known.get(k - 1))
+        self.alpha: dict[int, np.ndarray] = {}
+        self.full: dict[int, np.ndarray] = {}
+
+    def histories(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places to ask weights for, places of histories of m tokens that are the block's own)."""
+        k = self.known[m]
+        seen = (k.c > 0) & ~self.block.level(m).ends
+        return np.flatnonzero(seen & ~k.alone), np.flatnonzero(seen & k.alone)
+
+    def sums(self, m: int) -> np.ndarray:
+        """What the n-grams that the block owns add to the sums of their histories of m tokens."""
+        own = self.block.level(m + 1)
+        at = np.flatnonzero(self.known[m + 1].owner)
+        n = len(self.known[m].c)
+        return np.concatenate([tallies(own.hist[at], self.known[m + 1].c[at], n), tallies(own.hist[at], self.known[m].c[own.lower[at]], n)])
+
+    def shorter(self, m: int, at: np.ndarray) -> tuple:
+        """Count and scaling of the histories without their first token."""
+        low = self.block.level(m).lower
+        return () if m == 1 else (self.known[m - 1].c[low[at]], self.full[m - 1][low[at]])
+
+    def weigh(self, m: int, sums: np.ndarray | None = None) -> None:
+        """Weights of the histories of m tokens: answered, or the block's own."""
+        n = len(self.known[m].c)
+        alpha, full = np.ones(n), np.zeros(n, bool)
+        ask, own = self.histories(m)
+        if f"A{m}" in self.answers:
+            alpha[ask], full[ask] = self.answers[f"A{m}"]
+        if len(own):
+            sums = self.sums(m) if sums is None else sums
+            alpha[own], full[own] = self.model.weights(m, self.known[m].c[own], sums[:, own], *self.shorter(m, own))
+        self.alpha[m], self.full[m] = alpha, full
+
+
+def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_250_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """RESULT for every document. held, train: boolean columns over doc_id: held out, and learned from. order: tokens of the longest n-gram, 2 or more."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     blocks = saved(block_rows(rows, held, train, block_tokens), "blocks")
-    n_tokens = rows.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = int(min(8192, max(64, n_tokens // 6 // bucket_tokens)))  # six bytes a token, roughly
-
-    words = saved(blocks.mapInArrow(lambda b: asked(b, buckets, _word_request), MESSAGE).groupBy("bucket").applyInArrow(totals("U", False), MESSAGE), "words")
-    total, types, *n = _stats(words, "SU")
-    uni = Unigrams(total, types, n)
-    _released(spark)
-    bigrams = saved(blocks.mapInArrow(lambda b: asked(b, buckets, _bigram_request), MESSAGE).groupBy("bucket").applyInArrow(totals("B", True), MESSAGE), "bigrams")
-    d = discounts(_stats(bigrams, "SB")[2:])
-    _released(spark)
-    known = blocks.unionByName(words.where("kind = 'U'")).unionByName(bigrams.where("kind = 'B'"))
-
-    def shares(key, table):
-        """What the bigrams that a block owns add to their histories' sums."""
-        block, answers = _parts(table)
-        c_word, (c_pair, owner) = answers["U"][0].astype(np.int64), answers["B"]
-        _, hist, word, _ = block.bigrams()
-        own = np.flatnonzero(owner)
-        seen = tallies(hist[own], c_pair[own].astype(np.int64), len(c_word))
-        lower = tallies(hist[own], c_word[word[own]], len(c_word))
-        at = np.flatnonzero(c_word)
-        hashes, sums = block.words[at], np.concatenate([seen, lower])[:, at]
-        out = [("A", key[0].as_py(), b, pack(deltas(hashes[lo:hi]), c_word[at[lo:hi]].astype("<u8"), sums[:, lo:hi].reshape(-1))) for b, lo, hi in slices(hashes, buckets)]
-        return pa.Table.from_batches([message(out)] if out else [], schema=_EMPTY.schema)
-
-    def weigh(key, table):
-        """Backoff weights of a bucket's histories, and whether their followers' shares are scaled down."""
-        table = table.combine_chunks().sort_by("block")
-        data = [unpack(x) for x in table["payload"].to_pylist()]
-        hashes, c = np.concatenate([undeltas(x[0]) for x in data]), np.concatenate([x[1] for x in data])
-        sums = np.concatenate([x[2].reshape(2 * TOP + 2, -1) for x in data], axis=1)
+    n_tokens = (rows.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0) // 6  # six bytes a token, roughly
+    buckets = int(max(64, n_tokens // bucket_tokens))
+    parts = int(max(32, n_tokens // block_tokens))
+
+    def settled(messages: DataFrame, model: Model | None, name: str) -> DataFrame:
+        """Requests dealt to buckets and answered, as a table."""
+
+        def run(key, table):
+            kind, bucket = key[0].as_py(), key[1].as_py()
+            table = table.combine_chunks()
+            if kind.startswith("S"):
+                return table
+            return pa.Table.from_batches([message(totals(kind, bucket, table) if kind.startswith("G") else weighed(int(kind[1:]), bucket, table, model))])
+
+        out = saved(messages.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, MESSAGE), name)
+        _released(spark)
+        return out
+
+    def weighed(m: int, bucket: int, table: pa.Table, model: Model) -> list[tuple]:
+        """Backoff weights of a bucket's histories of m tokens, from the sums of all blocks."""
+        ids, data, hashes, at = _asked(table)
+        c, sums = np.concatenate([x[1] for x in data]), np.concatenate([x[2].reshape(2 * TOP + 2, -1) for x in data], axis=1)
         hist, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        count = c[first].astype(np.float64)
-        total_sums = np.stack([np.bincount(inverse, row, len(hist)) for row in sums])
-        left = 1 - summed(total_sums[: TOP + 1], d) / count
-        full = left <= 1e-12
-        left = np.where(full, 1 / (count + 1), left)
-        lower = uni.scale * summed(total_sums[TOP + 1 :], uni.d) / max(1, total)
-        alpha = left / np.maximum(1e-300, 1 - lower)
-        out, lo = [], 0
-        for block, x in zip(table["block"].to_pylist(), data, strict=True):
-            own = inverse[lo : lo + len(x[0])]
-            out.append(("A", block, key[0].as_py(), pack(alpha[own], full[own].astype(np.uint8))))
-            lo += len(x[0])
-        return pa.Table.from_batches([message(out)])
-
-    weights = saved(known.groupBy("block").applyInArrow(shares, MESSAGE).groupBy("bucket").applyInArrow(weigh, MESSAGE), "weights")
-    _released(spark)
+        total = np.stack([np.bincount(inverse, row, len(hist)) for row in sums])
+        shorter = [np.concatenate([x[i] for x in data])[first] for i in (3, 4)] if m > 1 else []
+        alpha, full = model.weights(m, c[first], total, *shorter)
+        return [(f"A{m}", block, bucket, pack(alpha[inverse[lo:hi]], full[inverse[lo:hi]].astype(np.uint8))) for block, lo, hi in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    words = settled(blocks.mapInArrow(asked(1, buckets), MESSAGE), None, "words")
+    total, types, *n = _stats(words, "SG1")
+    model = Model(total, types, n)
+    pairs = settled(blocks.mapInArrow(asked(2, buckets), MESSAGE), None, "pairs")
+    model.d[2] = discounts(_stats(pairs, "SG2")[2:])
+    known = blocks.unionByName(words.where("kind = 'G1'")).unionByName(pairs.where("kind = 'G2'"))
+
+    def grouped(run, schema: str) -> DataFrame:
+        return known.repartition(parts, "block").groupBy("block").applyInArrow(run, schema)
+
+    def step(k: int):
+        """After the answers of order k: sums for the histories of k - 1 tokens, and the requests of order k + 1."""
+
+        def run(key, table):
+            view, block = View(table, k, model), key[0].as_py()
+            for m in range(1, k - 1):
+                view.weigh(m)
+            m = k - 1
+            sums, (at, _) = view.sums(m), view.histories(m)
+            c = view.known[m].c[at].astype("<u8")
+            short = [x.astype("<u8") for x in view.shorter(m, at)]
+            out = requests(f"A{m}", block, buckets, view.block.level(m).hashes[at], c, sums[:, at], *short)
+            if k < order:
+                own, n = view.block.level(k + 1), view.block.counts(k + 1)
+                alone, ask = unasked(own, k + 1, view.known[k])
+                out += requests(f"G{k + 1}", block, buckets, own.hashes[ask], n[ask].astype("<u4"))
+                out.append((f"SG{k + 1}", -1, block % buckets, pack(statistics(n[alone]))))
+            return pa.Table.from_batches([message(out)] if out else [], schema=_EMPTY.schema)
+
+        return run
+
+    for k in range(2, order + 1):
+        found = settled(grouped(step(k), MESSAGE), model, f"order{k}")
+        if k < order:
+            model.d[k + 1] = discounts(_stats(found, f"SG{k + 1}")[2:])
+        known = known.unionByName(found.where("not startswith(kind, 'S')"))
 
     def judge(key, table):
-        block, answers = _parts(table)
-        c_word, c_pair = answers["U"][0].astype(np.int64), answers["B"][0].astype(np.float64)
-        alpha, full = np.ones(len(c_word)), np.zeros(len(c_word), bool)
-        if "A" in answers:
-            alpha[c_word > 0], full[c_word > 0] = answers["A"][0], answers["A"][1].astype(bool)
-        _, hist, word, inverse = block.bigrams()
-        c_hist = c_word[hist].astype(np.float64)
-        keep = np.where(full[hist], c_hist / (c_hist + 1), 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(c_pair > 0, keep * discounted(c_pair, d) / c_hist, alpha[hist] * uni.p(c_word[word]))
-        logs = np.log10(p)[inverse]
-        c = c_word[block.place[block.tokens]]
-        base = np.log10((c + 1) / (total + types + 1))
+        view = View(table, order, model)
+        block, c = view.block, view.known[1].c
+        p = model.uni.p(c)
+        logs = None
+        for k in range(2, order + 1):
+            view.weigh(k - 1)
+            own, now = block.level(k), view.known[k].c
+            c_hist = view.known[k - 1].c[own.hist].astype(np.float64)
+            keep = model.kept(c_hist, view.full[k - 1][own.hist])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(now > 0, keep * discounted(now, model.d[k]) / c_hist, view.alpha[k - 1][own.hist] * p[own.lower])
+            if logs is None:
+                logs = np.empty(len(block.tokens))
+            logs[own.where] = np.log10(p)[own.inverse]
+        words = c[block.levels[1].inverse]
+        base = np.log10((words + 1) / (model.total + model.types + 1))
         add = lambda x: np.add.reduceat(x, block.starts)
         ids = pa.array(block.ids, pa.int64(), mask=block.null.astype(bool))
-        values = [ids, pa.array(block.held.astype(bool)), pa.array(block.lengths.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(block.ids), total, np.int64)), pa.array(add(base)), pa.array(add(logs))]
+        values = [ids, pa.array(block.held.astype(bool)), pa.array(block.lengths.astype(np.int64)), pa.array(add((words > 0).astype(np.int64))), pa.array(np.full(len(block.ids), model.total, np.int64)), pa.array(add(base)), pa.array(add(logs))]
         return pa.table(values, names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return known.unionByName(weights).groupBy("block").applyInArrow(judge, RESULT)
+    return grouped(judge, RESULT)
 
 
 _EMPTY = message([("", 0, 0, b"")])

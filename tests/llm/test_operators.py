@@ -389,47 +389,75 @@ def test_neighbours(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in few) == [(1, 2), (2, 1)]
 
 
-@pytest.mark.parametrize("block_tokens", [3_000_000, 60])
-def test_katz(spark, block_tokens):
+def good_turing(counts):
+    """Katz's discounts from their definition; one half is taken off where they are not in (0, 1)."""
+    n = Counter(counts.values())
+    out = {}
+    for r in range(1, 6):
+        out[r] = (r - 0.5) / r
+        if n[1] and n[r] and n[6] and 6 * n[6] < n[1]:
+            k = 6 * n[6] / n[1]
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - k) / (1 - k)
+            out[r] = d if 0 < d < 1 else out[r]
+    return lambda c: out.get(c, 1) * c
+
+
+class PlainKatz:
+    """From the definition, one token at a time."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, [Counter() for _ in range(order)]
+        for words in texts:
+            for t, w in enumerate(words):
+                for h in self.histories(words, t):
+                    self.c[len(h)][(*h, w)] += 1
+        self.starts = len(texts)
+        self.d = [good_turing(c) for c in self.c]
+        self.total = sum(self.c[0].values())
+        lost = sum(c - self.d[0](c) for c in self.c[0].values())
+        self.unseen, self.scale = (lost / self.total, 1) if lost > 1e-12 else (1 / (self.total + 1), self.total / (self.total + 1))
+        self.followers = defaultdict(list)
+        for c in self.c[1:]:
+            for g in c:
+                self.followers[g[:-1]].append(g[-1])
+
+    def histories(self, words, t):
+        """What precedes a token, from nothing to order - 1 tokens, no further back than the start."""
+        padded = [katz.BOS, *words[:t]]
+        return [tuple(padded[len(padded) - n :]) for n in range(min(self.order - 1, len(padded)) + 1)]
+
+    def p(self, h, w):
+        if not h:
+            c = self.c[0][(w,)]
+            return self.scale * self.d[0](c) / self.total if c else self.unseen
+        seen = self.followers[h]
+        if not seen:
+            return self.p(h[1:], w)
+        n = sum(self.c[len(h)][(*h, x)] for x in seen)
+        left, keep = 1 - sum(self.d[len(h)](self.c[len(h)][(*h, x)]) for x in seen) / n, 1
+        if left <= 1e-12:
+            left, keep = 1 / (n + 1), n / (n + 1)
+        c = self.c[len(h)][(*h, w)]
+        return keep * self.d[len(h)](c) / n if c else left / (1 - sum(self.p(h[1:], x) for x in seen)) * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize(("block_tokens", "order"), [(3_000_000, 2), (60, 2), (60, 3), (3_000_000, 3), (200, 4)])
+def test_katz(spark, block_tokens, order):
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d e", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(200, None), (201, " \n"), (202, "A\x0bb"), (202, "A\x0bb"), (None, "a b")]
-    got = {(r["doc_id"], r["n_tokens"]): r for r in katz.score_folds(docs(spark, rows), block_tokens=block_tokens).collect()}
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d e", f"w{rng.randint(0, 60)}", f"x{i // 9} always y{i // 9}"]) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(200, None), (201, " \n"), (202, "A\x0bb"), (202, "A\x0bb"), (None, "a b")]
+    got = {(r["doc_id"], r["n_tokens"]): r for r in katz.score_folds(docs(spark, rows), order=order, block_tokens=block_tokens).collect()}
     split = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())] + [katz.END]
-    uni, bi, hist = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
-            w = split(t)
-            uni.update(w)
-            bi.update(zip([katz.BOS, *w], w, strict=False))
-            hist.update([katz.BOS, *w[:-1]])
-    total, types = sum(uni.values()), len(uni)
-    nr = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    model, d = katz.Unigrams(total, types, nr(uni)), katz.discounts(nr(bi))
-    p1 = lambda w: float(model.p(np.array([uni[w]]))[0])
-    dc = lambda c: float(katz.discounted(np.array([c]), d)[0])
-
-    def given(h):
-        seen = [w for g, w in bi if g == h]
-        left = 1 - sum(dc(bi[h, w]) for w in seen) / hist[h]
-        scale = 1.0 if left > 1e-12 else hist[h] / (hist[h] + 1)
-        left = left if left > 1e-12 else 1 / (hist[h] + 1)
-        return left / (1 - sum(map(p1, seen))), scale
-
-    def p(h, w):
-        if not hist[h]:
-            return p1(w)
-        alpha, scale = given(h)
-        return scale * dc(bi[h, w]) / hist[h] if bi[h, w] else alpha * p1(w)
-
-    for h in [katz.BOS, b"a", b"w1", next(iter(bi))[0]]:
-        if hist[h]:
-            assert sum(p(h, w) for w in uni) + given(h)[0] * model.unseen == pytest.approx(1)
+    model = PlainKatz([split(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2], order)
+    uni = model.c[0]
+    some = list(model.followers)
+    for h in [(katz.BOS,), *rng.sample(some, 6), (b"nowhere",), (b"always",)]:
+        assert sum(model.p(h, w) for (w,) in uni) + model.p(h, b"?") == pytest.approx(1)
     for i, t in rows:
         w = split(t)
         r = got[i, len(w)]
-        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2) and r["n_known"] == sum(uni[x] > 0 for x in w) and r["train_tokens"] == total
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 1) / (total + types + 1)) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([katz.BOS, *w], w, strict=False)))
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2) and r["n_known"] == sum(uni[x,] > 0 for x in w) and r["train_tokens"] == model.total
+        assert r["base_score"] == pytest.approx(sum(math.log10((uni[x,] + 1) / (model.total + len(uni) + 1)) for x in w))
+        assert r["score"] == pytest.approx(sum(math.log10(model.p(model.histories(w, k)[-1], x)) for k, x in enumerate(w)))
 
 
 CLASHES = ("fp", "root", "low", "gone", "contaminated_text", "term_spans", "e", "t", "n", "row", "hits", "__fp", "a.b")
