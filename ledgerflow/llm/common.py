@@ -72,6 +72,17 @@ def bounded(batches):
                 yield from bounded([part.slice(0, half), part.slice(half)])
 
 
+_held: list = [None, None]
+
+
+def hold(owner: str, clear) -> None:
+    """A Python worker keeps the caches of one operator: those of the last one are emptied when another begins."""
+    if _held[0] != owner:
+        if _held[1] is not None:
+            _held[1]()
+        _held[:] = owner, clear
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it (whatever its case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import CACHE_ENTRIES, arrow_map, column, free_names, id_text, keep_where, mix64, saved, texts_of, words_of
+from .common import CACHE_ENTRIES, arrow_map, column, free_names, hold, id_text, keep_where, mix64, saved, texts_of, words_of
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word: long, end_word: long>>"
 PARTIAL = "doc_id long, row string, n_words long, hits array<struct<first_word: long, end_word: long>>, items array<string>"
@@ -86,6 +86,7 @@ class WindowBlock:
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """(hit flag for each word, items)."""
+        hold("decontaminate", _hashes.clear)
         hit, items = np.zeros(len(words), bool), set()
         for size, known in self.windows.items():
             if len(words) < size:

@@ -19,6 +19,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import hold
+
 CUT = re.compile(r" (?=\S)")
 #: Where none of these stands, cutting at every space is the same, and faster.
 ASCII_RUNS = tuple(" " + c for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
@@ -28,7 +30,7 @@ TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Separators that the libraries' white space and Python's judge differently.
 ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond this many bytes, estimated with OVERHEAD bytes an entry.
-CACHE_BYTES, OVERHEAD, SHORT = 220 << 20, 200, 7
+CACHE_BYTES, OVERHEAD, SHORT = 110 << 20, 200, 7
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -146,12 +148,13 @@ _encoders: dict[str, PartEncoder] = {}
 
 def encoder(path: str) -> PartEncoder:
     """One for each worker process and file."""
+    hold("encoding", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = PartEncoder(path)
     return _encoders[path]
 
 
-def groups_of(texts: list[str], chars: int = 4 << 20):
+def groups_of(texts: list[str], chars: int = 1 << 20):
     """Ranges of texts of about so many characters, so that a batch of long texts takes bounded memory."""
     first, size = 0, 0
     for i, t in enumerate(texts):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, arrow_map, column, id_text, texts_of
+from .common import CACHE_ENTRIES, arrow_map, column, hold, id_text, texts_of
 
 #: Fixed value: the public byte-level pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,6 +122,7 @@ _counters: dict[str, HeapCounter] = {}
 
 def counter(path: str) -> HeapCounter:
     """One counter for each worker process and file."""
+    hold("tokens", _counters.clear)
     if path not in _counters:
         _counters[path] = HeapCounter(path)
     return _counters[path]
