@@ -40,32 +40,41 @@ SHARD = "shard int, block int, shard_start long, n_ids long, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Pairs are first counted by a hash of so many values; a slot's count is at least that of each of its pairs.
 SLOTS = 1 << 20
 
 
+def _slots(symbols: np.ndarray, last: np.ndarray, at=slice(None)) -> np.ndarray:
+    """The slot of the pair that begins at each position; SLOTS where none begins."""
+    follower = np.concatenate((symbols[1:], symbols[:1])) if isinstance(at, slice) else symbols[at + 1]
+    out = ((symbols[at] * np.uint32(0x9E3779B1) + follower * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int32)
+    out[last[at]] = SLOTS
+    return out
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ease: float | None):
     """(symbols, lengths in symbols, rules as pairs). ids: of all documents, one after the other.
 
     A pair's count is that of its places from the left that do not overlap. Pairs are replaced from the most frequent
-    down (ties: the smaller pair), and counted anew after each step, until none is left with `min_count` places. A step takes the
+    down (ties: the smaller pair), with counts updated after each step, until none is left with `min_count` places. A step takes the
     one most frequent pair (ease None: plain Re-Pair), or all pairs at or above the level, which starts at `ease`
     times the highest count and falls by that factor; where such pairs overlap, the more frequent one has the place."""
     symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
+    last = np.zeros(len(symbols), bool)  # of a document: no pair crosses it
     last[np.cumsum(lengths) - 1] = True
+    slot = _slots(symbols, last)
+    seen = np.bincount(slot, minlength=SLOTS + 1).astype(np.int32)
     rules: list[np.ndarray] = []
     made, level = 0, np.iinfo(np.int64).max
-    while len(symbols) > 1:
-        a, b = symbols[:-1], symbols[1:]
-        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
-        slot[last[:-1]] = SLOTS  # no pair crosses the end of a document
-        seen = np.bincount(slot, minlength=SLOTS + 1)
+    while True:
         seen[SLOTS] = 0
-        top = int(seen.max())  # at least the highest count of a pair
-        level = max(min_count, min(level, math.ceil(top * (ease or 1))) if ease else top)
-        while top >= min_count:
+        top = int(seen.max())
+        if top < min_count:
+            break
+        level = max(min_count, min(int(level * ease), math.ceil(top * ease))) if ease else top
+        while True:
             at = np.flatnonzero((seen >= level)[slot])
-            pairs, which = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True)
+            pairs, which = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True)
             again = np.zeros(len(at), bool)
             again[1:] = (at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])
             run = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
@@ -74,7 +83,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
             if (counts >= level).any() or level <= min_count:
                 break
             level = max(min_count, int(level * ease) if ease else max(int(counts.max(initial=0)), int(seen[seen < level].max(initial=0))))
-        if top < min_count or not (counts >= level).any():
+        if not (counts >= level).any():
             break
         rank = np.empty(len(pairs), np.int64)
         order = np.argsort(-counts, kind="stable")
@@ -94,11 +103,25 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
         name[good] = base + made + np.arange(len(good))
         own = name[r] > 0
         at, r = at[own], r[own]
+        gone = np.zeros(len(symbols), bool)  # positions whose pair changes
+        gone[at] = gone[at + 1] = True
+        gone[np.maximum(at, 1) - 1] = True
+        few = len(at) < len(symbols) // 24  # then counts are updated in place, else made anew
+        if few:
+            np.subtract.at(seen, slot[gone], 1)
         symbols[at] = name[r]
         last[at] |= last[at + 1]
+        gone[at + 1] = False
         alive = np.ones(len(symbols), bool)
         alive[at + 1] = False
-        symbols, last = symbols[alive], last[alive]
+        symbols, last, slot, fresh = symbols[alive], last[alive], slot[alive], np.flatnonzero(gone[alive])
+        if len(fresh) and fresh[-1] == len(symbols) - 1:  # the last position begins no pair
+            slot[-1], fresh = SLOTS, fresh[:-1]
+        slot[fresh] = _slots(symbols, last, fresh)
+        if few:
+            np.add.at(seen, slot[fresh], 1)
+        else:
+            seen = np.bincount(slot, minlength=SLOTS + 1).astype(np.int32)
         own = pairs[order[good]]
         rules.append(np.stack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
         made += len(good)
@@ -127,6 +150,12 @@ def write_block(doc_ids: list, docs: list[bytes], base: int, min_count: int, eas
     ))
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of each run, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 class Block:
     """A payload read back."""
 
@@ -164,7 +193,29 @@ class Block:
         return symbols
 
     def all_ids(self) -> np.ndarray:
-        return self.expand(self.symbols).astype("<u4")
+        """All rules are expanded once, the shallow ones first, and then copied to their places."""
+        depth = np.zeros(len(self.rules), np.int64)
+        for k, (a, b) in enumerate(self.rules.tolist()):
+            depth[k] = 1 + max(depth[a - self.base] if a >= self.base else 0, depth[b - self.base] if b >= self.base else 0)
+        size = self.expansion
+        first = np.cumsum(size) - size
+        table = np.empty(int(size.sum()), np.int64)
+        left = np.where(self.rules[:, 0] >= self.base, size[np.maximum(self.rules[:, 0] - self.base, 0)], 1) if len(size) else size
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            own = np.flatnonzero(depth == d)
+            for side, shift in ((0, 0), (1, left[own])):
+                child, to = self.rules[own, side], first[own] + shift
+                low = child < self.base
+                table[to[low]] = child[low]
+                rule = child[~low] - self.base
+                table[_runs(to[~low], size[rule])] = table[_runs(first[rule], size[rule])]
+        high = self.symbols >= self.base
+        rule = self.symbols[high] - self.base
+        counts = np.ones(len(self.symbols), np.int64)
+        counts[high] = size[rule]
+        out = np.repeat(self.symbols, counts)
+        out[np.repeat(high, counts)] = table[_runs(first[rule], size[rule])]
+        return out.astype("<u4")
 
     def ids(self, doc: int, first: int = 0, last: int | None = None) -> np.ndarray:
         """ids first..last of one document; only the symbols that cover them are expanded."""
