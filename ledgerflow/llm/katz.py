@@ -78,6 +78,8 @@ def undeltas(x: np.ndarray) -> np.ndarray:
 
 def slices(hashes: np.ndarray, buckets: int):
     """(bucket, lo, hi) of sorted hashes; a bucket is a range of them."""
+    if not len(hashes):
+        return
     own = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edge = np.flatnonzero(np.diff(own, prepend=-1))
     for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(own)], strict=True):
