@@ -192,13 +192,34 @@ def joined_reasons(*reasons: Column) -> Column:
 
 def sheet_name(c: Column) -> Column:
     """A legal sheet name of at most 31 characters."""
-    name = strip(F.regexp_replace(clean_text(c), r"[:\\/?*\[\]]", ""))
-    return F.coalesce(F.nullif(F.trim(F.substring(name, 1, 31)), F.lit("")), F.lit("Ledger"))
+    name = F.regexp_replace(clean_text(F.regexp_replace(text_or_empty(c), r"[:\\/?*\[\]]", "")), "^'+|'+$", "")
+    return F.coalesce(F.nullif(F.substring(name, 1, 31), F.lit("")), F.lit("Ledger"))
+
+
+#: Fixed value: the slug of a name without letters or digits.
+DEFAULT_SLUG = "reference_workbook"
 
 
 def slug(c: Column) -> Column:
-    """Lower case, runs of other characters as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    """What stands before " - " (or else before the first hyphen) in lower case, runs of other characters as one underscore."""
+    text = text_or_empty(c)
+    head = F.when(text.contains(" - "), F.substring_index(text, " - ", 1)).otherwise(F.substring_index(text, "-", 1))
+    return F.coalesce(F.nullif(F.lower(F.regexp_replace(F.regexp_replace(head, r"[^a-zA-Z0-9]+", "_"), r"^_+|_+$", "")), F.lit("")), F.lit(DEFAULT_SLUG))
+
+
+def looks_like_colour(c: Column) -> Column:
+    """An (A)RGB text that is neither transparent nor white."""
+    return F.coalesce(F.length(c).isin(6, 8) & ~c.isin("00000000", "FFFFFFFF", "FFFFFF"), F.lit(False))
+
+
+def row_class(status: Column, review: Column) -> Column:
+    """match, review or fail, for the look of a match row; null for others."""
+    s = F.lower(strip(status))
+    return F.when(s == "matched_strong", "match").when(review | (s == "candidate_review"), "review").when(s.isin("unmatched_org", "unmatched_party"), "fail")
+
+
+def is_formula(c: Column) -> Column:
+    return F.coalesce(c.startswith("="), F.lit(False))
 
 
 def confidence_band(c: Column) -> Column:

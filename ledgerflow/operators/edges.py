@@ -1,8 +1,8 @@
 """Candidate edges between the two ledgers of a pair.
 
-Exact references are an equi-join. Equal amounts within a tolerance are a band join: amounts fall into cents, the
-party side is repeated in the cents around its own, and the exact predicate follows; so the join has equality keys and no
-pair is compared that is not within reach. String similarity is computed last, on what cheaper predicates left.
+Equal amounts within a tolerance are a band join: amounts fall into cells, the party side stands in every cell that its
+reach touches (one or two), and the exact predicate follows; so the join has equality keys and no pair is compared that is not
+near. Exact references have the reference in the key too, so a reference that very many rows share is dealt by amount. String similarity is computed last, on what cheaper predicates left.
 """
 
 from __future__ import annotations
@@ -46,21 +46,28 @@ def with_deltas(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"amount_gap": F.abs(F.abs("o_net_org") - F.abs("p_net_org")), "days": F.abs(F.datediff("o_match_date", "p_match_date"))})
 
 
+def near_cells(org: DataFrame, party: DataFrame, tolerance: float, width: float) -> tuple[DataFrame, DataFrame]:
+    """org with o_cell, and party in every p_cell that amounts within the tolerance of its own may have (rounding included)."""
+    width = max(width, 1e-9)
+    cell = lambda amount: F.floor(amount / width)
+    own = F.abs("p_net_org")
+    reach = own * 1e-12 + tolerance * (1 + 1e-6)
+    return org.withColumn("o_cell", cell(F.abs("o_net_org"))), party.withColumn("p_cell", F.explode(F.sequence(cell(own - reach), cell(own + reach))))
+
+
 def exact_ref_edges(org: DataFrame, party: DataFrame, tolerance: float = AMOUNT_TOLERANCE) -> DataFrame:
     """Same present reference and close amounts; `typed` where the types agree too. No condition on dates."""
-    a, b = org.where(~F.col("o_missing")), party.where(~F.col("p_missing")).withColumnRenamed("pair_id", "__pair")
-    met = a.join(b, (F.col("pair_id") == F.col("__pair")) & (F.col("o_nref") == F.col("p_nref"))).drop("__pair")
+    a, b = near_cells(org.where(~F.col("o_missing")), party.where(~F.col("p_missing")).withColumnRenamed("pair_id", "__pair"), tolerance, 64 * tolerance)
+    met = a.join(b, (F.col("pair_id") == F.col("__pair")) & (F.col("o_nref") == F.col("p_nref")) & (F.col("o_cell") == F.col("p_cell"))).drop("__pair", "o_cell", "p_cell")
     met = met.where(amount_close(F.col("o_net_org"), F.col("p_net_org"), tolerance))
     return with_deltas(met).withColumn("typed", types_compatible(F.col("o_type_label"), F.col("p_type_label")))
 
 
 def band_edges(org: DataFrame, party: DataFrame, tolerance: float = AMOUNT_TOLERANCE, days: int = DATE_TOLERANCE_DAYS) -> DataFrame:
-    """Close amounts and compatible dates. A bucket is a tolerance wide, so two neighbours each side cover rounding."""
-    width = max(tolerance, 1e-9)
-    cell = lambda c: F.floor(F.abs(c) / width)
-    a = org.withColumn("bucket", cell("o_net_org"))
-    b = party.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: cell("p_net_org") + i)))
-    met = with_deltas(a.join(b, ["pair_id", "bucket"]).drop("bucket").where(amount_close(F.col("o_net_org"), F.col("p_net_org"), tolerance)))
+    """Close amounts and compatible dates."""
+    a, b = near_cells(org, party.withColumnRenamed("pair_id", "__pair"), tolerance, 4 * tolerance)
+    met = a.join(b, (F.col("pair_id") == F.col("__pair")) & (F.col("o_cell") == F.col("p_cell"))).drop("__pair", "o_cell", "p_cell")
+    met = with_deltas(met.where(amount_close(F.col("o_net_org"), F.col("p_net_org"), tolerance)))
     return met.where(F.col("days").isNull() | (F.col("days") <= days))
 
 

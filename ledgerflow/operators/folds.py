@@ -39,7 +39,7 @@ def chunk_texts(packed: DataFrame, group: list[str], order: list[str], text: str
     if page:
         low, high = F.min(page), F.max(page)
         extra = [F.when(low.isNull(), "").when(low == high, low.cast("string")).otherwise(F.concat(low.cast("string"), F.lit("-"), high.cast("string"))).alias("page_range")]
-    return packed.groupBy(*group, "chunk_no").agg(F.concat(F.lit("chunk_"), F.lpad(F.col("chunk_no").cast("string"), 3, "0")).alias("chunk_id"), F.array_join(F.transform(rows, lambda x: x["__t"]), "\n").alias("context_text"), F.count("*").alias("unit_count"), *extra)
+    return packed.groupBy(*group, "chunk_no").agg(F.format_string("chunk_%03d", F.col("chunk_no")).alias("chunk_id"), F.array_join(F.transform(rows, lambda x: x["__t"]), "\n").alias("context_text"), F.count("*").alias("unit_count"), *extra)
 
 
 def visual_rows(words: DataFrame, page: list[str], tolerance: float = Y_TOLERANCE) -> DataFrame:

@@ -1,7 +1,8 @@
 """Type labels: exact, then longest substring, then best fuzzy alias.
 
 The alias dictionary is small and fixed, so it is a literal array in the plan; distinct raw types are classified once and
-joined back, and only those without an exact or substring alias reach the similarity UDF.
+joined back. What is classified hangs on their count, so no alias test can be pushed below the grouping onto all rows; the
+similarity UDF works only on those without an exact or substring alias.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _alias_array(labels) -> Column:
 def classify_types(types: DataFrame, col: str = "raw_type", labels: dict[str, list[str]] | None = None, threshold: float = FUZZY_FLOOR) -> DataFrame:
     """One row for each distinct raw type: canonical label, method, score, alias, band, review."""
     aliases = alias_rows(labels)
-    raw = types.select(text_or_empty(F.col(col)).alias("raw_type")).distinct().withColumn("norm", normalized_type(F.col("raw_type")))
+    raw = types.select(text_or_empty(F.col(col)).alias("raw_type")).groupBy("raw_type").agg(F.count("*").alias("uses")).withColumn("norm", F.when(F.col("uses") > 0, normalized_type(F.col("raw_type"))))
     known = _alias_array(labels)
     exact = F.get(F.filter(known, lambda a: a["norm"] == F.col("norm")), F.lit(0))
     inside = F.array_max(F.filter(known, lambda a: F.col("norm").contains(a["norm"])))
@@ -78,15 +79,14 @@ def classify_types(types: DataFrame, col: str = "raw_type", labels: dict[str, li
             out.append(top)
         return pd.DataFrame(out, columns=["canonical", "alias", "score"])
 
-    rows = raw.withColumn("hit", hit).withColumn("is_exact", exact.isNotNull())
-    sure = rows.where("hit is not null").select("raw_type", "hit.canonical", F.when(F.col("is_exact"), "exact").otherwise("substring").alias("match_method"), F.lit(100.0).alias("match_score"), F.col("hit.alias").alias("matched_alias"))
-    fuzzy = rows.where("hit is null").withColumn("b", best("norm"))
-    unsure = fuzzy.select(
+    rows = raw.withColumn("hit", hit).withColumn("is_exact", exact.isNotNull()).withColumn("b", best(F.when(F.col("hit").isNull(), F.col("norm"))))
+    sure = F.col("hit").isNotNull()
+    rows = rows.select(
         "raw_type",
-        F.when(F.col("b.score") >= threshold, F.col("b.canonical")).otherwise(UNKNOWN_LABEL).alias("canonical"),
-        F.when(F.col("b.score") > 0, "fuzzy").otherwise("none").alias("match_method"),
-        F.col("b.score").alias("match_score"),
-        F.nullif(F.col("b.alias"), F.lit("")).alias("matched_alias"),
+        F.when(sure, F.col("hit.canonical")).when(F.col("b.score") >= threshold, F.col("b.canonical")).otherwise(UNKNOWN_LABEL).alias("canonical"),
+        F.when(sure & F.col("is_exact"), "exact").when(sure, "substring").when(F.col("b.score") > 0, "fuzzy").otherwise("none").alias("match_method"),
+        F.when(sure, 100.0).otherwise(F.col("b.score")).alias("match_score"),
+        F.when(sure, F.col("hit.alias")).otherwise(F.nullif(F.col("b.alias"), F.lit(""))).alias("matched_alias"),
     )
     band = confidence_band(F.col("match_score"))
     shown = F.format_string("%.0f", F.bround("match_score", 0))
@@ -96,10 +96,12 @@ def classify_types(types: DataFrame, col: str = "raw_type", labels: dict[str, li
         .when(F.col("canonical") == UNKNOWN_LABEL, "Type could not be classified.")
         .otherwise("")
     )
-    return sure.unionByName(unsure).select("raw_type", F.when(band == "unmatched", UNKNOWN_LABEL).otherwise(F.col("canonical")).alias("type_label"), F.col("match_score").alias("type_confidence"), band.alias("type_band"), "match_method", "matched_alias", (reason != "").alias("type_review"), reason.alias("type_reason"))
+    return rows.select("raw_type", F.when(band == "unmatched", UNKNOWN_LABEL).otherwise(F.col("canonical")).alias("type_label"), F.col("match_score").alias("type_confidence"), band.alias("type_band"), "match_method", "matched_alias", (reason != "").alias("type_review"), reason.alias("type_reason"))
 
 
-def with_labels(rows: DataFrame, col: str = "raw_type", labels: dict[str, list[str]] | None = None) -> DataFrame:
-    """rows with the columns of classify_types. Raw types are few against rows, but their number is not bounded: AQE picks the join."""
-    found = classify_types(rows, col, labels).withColumnRenamed("raw_type", "__raw")
+def with_labels(rows: DataFrame, col: str = "raw_type", labels: dict[str, list[str]] | None = None, types: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of classify_types. Raw types are few against rows, but their number is not bounded: AQE picks the join.
+
+    types: a frame that holds all raw types of the rows and is cheaper to read (default: the rows)."""
+    found = classify_types(rows if types is None else types, col, labels).withColumnRenamed("raw_type", "__raw")
     return rows.join(found, text_or_empty(F.col(col)) == F.col("__raw"), "left").drop("__raw")

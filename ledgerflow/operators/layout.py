@@ -94,13 +94,28 @@ def build_rows(words: DataFrame, page: list[str], row: str = "visual_row") -> Da
     return words.groupBy(*page, row).agg(*cells, ordered(F.lit(True)).alias("raw_text"), F.first("layout_confidence").alias("layout_confidence"), F.to_json(F.first("column_confidence")).alias("column_confidence_json"), F.first("n_columns").alias("n_columns"))
 
 
-def coordinate_strategy(rows: DataFrame, page: list[str]) -> DataFrame:
-    """Cells of a page whose words have coordinates; rows above the header stay only if they are markers (typed later)."""
+def carried_bands(pages: DataFrame, bands: DataFrame, page: list[str], document: list[str]) -> DataFrame:
+    """Bands of every page: its own, else those of the last page above it in its document that has some."""
+    own = [c for c in bands.columns if c not in page]
+    number = [c for c in page if c not in document]
+    last = F.last("b", ignorenulls=True).over(Window.partitionBy(*document).orderBy(*number).rowsBetween(Window.unboundedPreceding, 0))
+    joined = pages.select(*page).distinct().join(bands.select(*page, F.struct(*own).alias("b")), page, "left").withColumn("b", last)
+    return joined.where("b is not null").select(*page, "b.*")
+
+
+def coordinate_strategy(rows: DataFrame, page: list[str], document: list[str] | None = None) -> DataFrame:
+    """Cells of a page whose words have coordinates; rows above the header stay only if they are markers (typed later).
+
+    document: the columns of `page` that name a file; a page without a header of its own then takes the columns of the last page above it that has one."""
     heads = header_rows(rows, page)
-    bands = page_bands(detect_columns(rows, heads, page), page)
-    body = rows.join(heads, page).where("visual_row <> header_row")
-    made = build_rows(assigned(body.drop("header_row"), bands, page), page).join(heads, page)
-    return made.select("*", (F.col("visual_row") < F.col("header_row")).alias("above_header"), F.lit("coordinate").alias("extraction_method")).drop("header_row")
+    found = detect_columns(rows, heads, page)
+    bands = page_bands(found, page)
+    heads = heads.join(bands.select(*page), page, "left_semi")  # a header counts if it names a column
+    if document is not None:
+        bands = carried_bands(rows, bands, page, document)
+    body = rows.join(heads, page, "left" if document is not None else "inner").where("header_row is null or visual_row <> header_row")
+    made = build_rows(assigned(body.drop("header_row"), bands, page), page).join(heads, page, "left")
+    return made.select("*", F.coalesce(F.col("visual_row") < F.col("header_row"), F.lit(False)).alias("above_header"), F.lit("coordinate").alias("extraction_method")).drop("header_row")
 
 
 def table_strategy(tables: DataFrame, page: list[str]) -> DataFrame:
@@ -115,18 +130,32 @@ def table_strategy(tables: DataFrame, page: list[str]) -> DataFrame:
     bands = page_bands(columns_from_labels(t, page), page)
     words = t.select(*page, F.posexplode(F.slice("cells", F.col("h").cast("int") + 1, F.greatest(F.col("n_data"), F.lit(1)).cast("int"))).alias("r", "row")).select(*page, (F.col("r") + 1).alias("visual_row"), F.posexplode("row").alias("i", "word_text"))
     words = words.where(~C.is_blank(F.col("word_text"))).withColumns({"x0": F.col("i") * 100.0, "x1": (F.col("i") + 1) * 100.0, "word_text": C.clean_text(F.col("word_text"))})
-    return build_rows(assigned(words, bands, page), page).withColumns({"above_header": F.lit(False), "extraction_method": F.lit("table")})
+    return build_rows(assigned(words, bands, page), page).withColumns({"above_header": F.lit(False), "extraction_method": F.lit("table"), "layout_confidence": F.least("layout_confidence", F.lit(95.0))})
+
+
+#: The columns of a page of plain lines without a header.
+PLAIN_LABELS = ("Date", "Type", "Particulars", "Voucher", "Debit", "Credit", "Balance")
 
 
 def text_strategy(lines: DataFrame, page: list[str]) -> DataFrame:
-    """lines: page columns, line_number, line_text, without coordinates: words get a place by their lengths, columns a fixed grid at 60 confidence."""
-    words = lines.select(*page, F.col("line_number").alias("visual_row"), F.posexplode(F.split(C.clean_text(F.col("line_text")), " ")).alias("i", "word_text")).where("word_text <> ''")
+    """lines: page columns, line_number, line_text, without coordinates: words get a place by their lengths. The first line with both debit and credit is
+    the header, and one single label; without one the plain labels stand at 60 confidence. Lines of one word, page marks, and lines without an amount are left out."""
+    text = C.clean_text(F.col("line_text"))
+    clean = lines.select(*page, F.col("line_number").alias("visual_row"), text.alias("t")).where("t <> ''")
+    low = F.lower("t")
+    head = clean.groupBy(*page).agg(F.min_by("t", F.when(low.contains("debit") & low.contains("credit"), F.col("visual_row"))).alias("head"))
+    named = header_key(F.col("head"))
+    labels = head.select(*page, "head", F.when(named.isNotNull(), F.array("head")).otherwise(F.array(*map(F.lit, PLAIN_LABELS))).alias("labels"), named.isNull().alias("plain"))
+    columns = columns_from_labels(labels, page).join(labels.select(*page, "plain"), page).withColumn("confidence", F.when(F.col("plain"), F.least("confidence", F.lit(60.0))).otherwise(F.col("confidence"))).drop("plain")
+    amount = r"(?i)\(?-?\d[\d,]*(?:\.\d+)?\)?(?:\s*(?:cr|dr))?$"
+    body = clean.join(head, page).where(F.coalesce(F.col("t") != F.col("head"), F.lit(True)) & ~low.contains("page ")).withColumn("parts", F.split("t", " "))
+    body = body.where((F.size("parts") > 1) & F.exists("parts", lambda w: w.rlike(amount)))
+    words = body.select(*page, "visual_row", F.posexplode("parts").alias("i", "word_text"))
     width = F.greatest(F.lit(20), 6 * F.length("word_text")) + 10
     w = Window.partitionBy(*page, "visual_row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     words = words.withColumn("x0", F.coalesce(F.sum(width).over(w), F.lit(0)).cast("double")).withColumn("x1", F.col("x0") + width - 10)
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(a).alias("x0"), F.lit(b).alias("x1")) for k, a, b in (("date", 0.0, 60.0), ("type", 70.0, 110.0), ("particulars", 120.0, 260.0), ("debit", 270.0, 330.0), ("credit", 340.0, 400.0), ("voucher", 410.0, 470.0), ("balance", 480.0, 560.0))]))
-    columns = lines.select(*page).distinct().select(*page, grid.alias("g")).select(*page, "g.key", "g.x0", "g.x1", F.lit(60.0).alias("confidence"), F.lit("").alias("label"))
-    return build_rows(assigned(words, page_bands(columns, page), page), page).withColumns({"above_header": F.lit(False), "extraction_method": F.lit("text")})
+    made = build_rows(assigned(words, page_bands(columns, page), page), page)
+    return made.withColumns({"above_header": F.lit(False), "extraction_method": F.lit("text"), "layout_confidence": F.least("layout_confidence", F.lit(75.0))})
 
 
 def strategy_score(rows: DataFrame, page: list[str]) -> DataFrame:
@@ -148,6 +177,7 @@ def best_strategy(scores: DataFrame, page: list[str], order=("table", "coordinat
 
 
 def page_analysis(rows: DataFrame, page: list[str]) -> DataFrame:
+    """Counters of the canonical rows of each page."""
     kind = F.col("record_kind")
     return rows.groupBy(*page).agg(F.count("*").alias("rows"), F.count_if(kind == C.TRANSACTION).alias("transactions"), F.count_if(kind == C.UNKNOWN).alias("unknown"), F.count_if(~kind.isin(C.TRANSACTION, C.UNKNOWN)).alias("special"), F.count_if(F.col("date").isNull()).alias("undated"), F.round(F.avg("layout_confidence"), 1).alias("confidence_score"))
 

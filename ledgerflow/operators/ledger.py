@@ -90,9 +90,9 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("source_row_number", F.row_number().over(Window.partitionBy("pair_id", "ledger_role", "source_file").orderBy("page_number", *order)))
 
 
-def assemble(rows: DataFrame, labels=None) -> DataFrame:
-    """Typed rows to canonical rows: label, perspective, balances, confidence, ordered review reasons, row id."""
-    r = with_perspective(with_labels(rows, labels=labels))
+def assemble(rows: DataFrame, labels=None, types: DataFrame | None = None) -> DataFrame:
+    """Typed rows to canonical rows: label, perspective, balances, confidence, ordered review reasons, row id. types: as in with_labels()."""
+    r = with_perspective(with_labels(rows, labels=labels, types=types))
     kind = F.col("record_kind")
     is_tx, classified = kind == C.TRANSACTION, kind.isin(C.TRANSACTION, C.UNKNOWN)
     label = F.when(classified, F.col("type_label")).otherwise("")
@@ -104,6 +104,7 @@ def assemble(rows: DataFrame, labels=None) -> DataFrame:
     score = F.when(classified, F.least(F.lit(100.0), F.col("row_confidence"), F.col("type_confidence"))).otherwise(F.least(F.lit(100.0), F.col("row_confidence")))
     score = score - F.when(is_tx & (bad_date | no_date), 20.0).otherwise(0.0) - F.when(is_tx & no_amount, 40.0).otherwise(0.0)
     two_refs = ~C.is_blank(F.col("reference_no")) & ~C.is_blank(F.col("voucher_no")) & (C.strip(F.col("reference_no")) != C.strip(F.col("voucher_no")))
+    # Reason texts of canonical rows, in this order.
     reasons = C.joined_reasons(
         F.when(classified & (F.col("type_reason") != ""), F.col("type_reason")),
         F.when(is_tx & bad_date, F.concat(F.lit("Unparseable date '"), F.col("raw_date"), F.lit("'."))),
@@ -171,10 +172,22 @@ def carry_columns(pages: DataFrame, col: str = "columns") -> DataFrame:
     return pages.withColumn(col, F.last(F.when(F.size(col) > 0, F.col(col)), ignorenulls=True).over(w))
 
 
-def unique_sheet_names(names: DataFrame, col: str, scope: str, order: str) -> DataFrame:
-    """Legal names, made distinct within the scope by _2, _3 ... in 31 characters, whatever their case."""
-    base = C.sheet_name(F.col(col))
-    n = F.row_number().over(Window.partitionBy(scope, F.lower("__base")).orderBy(order))
-    out = names.withColumn("__base", base).withColumn("__n", n)
-    tail = F.concat(F.lit("_"), F.col("__n").cast("string"))
-    return out.withColumn("sheet_name", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat(F.substring("__base", F.lit(1), F.lit(31) - F.length(tail)), tail))).drop("__base", "__n")
+def unique_sheet_names(names: DataFrame, col: str, scope: str, order: str, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """Legal names, made distinct within the scope by _2, _3 ... in 31 characters, whatever their case; a made name may collide again, so the
+    sheets of a scope (a workbook) are named one after the other."""
+    import pandas as pd
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        used, out = {r.lower() for r in reserved}, []
+        for base in rows["sheet_name"]:
+            name, n = base, 2
+            while name.lower() in used:
+                name = f"{base[: 31 - len(f'_{n}')]}_{n}"
+                n += 1
+            used.add(name.lower())
+            out.append(name)
+        return rows.assign(sheet_name=out)
+
+    based = names.withColumn("sheet_name", C.sheet_name(F.col(col)))
+    return based.groupBy(scope).applyInPandas(fold, based.schema)

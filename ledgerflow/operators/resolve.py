@@ -3,7 +3,8 @@
 Stages 1 and 2 take exact references with close amounts. Rows interact only if they share pair, reference and an
 island of amounts (no gap above the tolerance), so an island is the unit: with one org row it is a window
 expression, with several an ordered fold. Stage 3 takes contained references. In the serial rule each org row, in row_id order,
-takes its best free party; all parties prefer the lowest org row_id, so accepting mutual bests in rounds gives the same result.
+takes its best free party; all parties prefer the lowest org row_id, so mutual bests are taken at once, and what is still
+contested is an ordered fold for each island of amounts.
 Stages 4 and 5 propose review candidates, which take nothing. What is not taken is reported unmatched, on both sides.
 """
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import clean as C
 from ..functions.similarity import sequence_ratio
 from ..sources.durable import durable
 from . import edges as E
@@ -63,19 +65,41 @@ def exact_stage(org: DataFrame, party: DataFrame, tolerance: float = E.AMOUNT_TO
     return single.unionByName(folded)
 
 
-def containment_stage(found: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(pair_id, o_row_id, p_row_id) of the serial rule over containment edges, by rounds of mutual bests."""
-    left = durable(found.select("pair_id", "o_row_id", "p_row_id", F.row_number().over(Window.partitionBy("pair_id", "o_row_id").orderBy(*E.candidate_order())).alias("rank")))
-    out = left.select("pair_id", "o_row_id", "p_row_id").limit(0)
-    for _ in range(max_rounds):
-        if not left.take(1):
-            return out
-        best = F.min("rank").over(Window.partitionBy("pair_id", "o_row_id"))
-        first = F.min("o_row_id").over(Window.partitionBy("pair_id", "p_row_id"))
-        agreed = durable(left.withColumns({"best": best, "first": first}).where("rank = best and o_row_id = first").select("pair_id", "o_row_id", "p_row_id"))
-        out = out.unionByName(agreed)
-        left = durable(left.join(agreed.select("pair_id", "o_row_id"), ["pair_id", "o_row_id"], "left_anti").join(agreed.select("pair_id", "p_row_id"), ["pair_id", "p_row_id"], "left_anti"))
-    raise RuntimeError("containment_stage: no end")
+def _serial(group: pd.DataFrame) -> pd.DataFrame:
+    """Org rows of an island in row_id order, each with its best free party; one pass over the sorted edges."""
+    group = group.sort_values(["o_row_id", "rank"])
+    served: set[str] = set()
+    taken: set[str] = set()
+    out = []
+    for org, party in zip(group["o_row_id"], group["p_row_id"], strict=True):
+        if org not in served and party not in taken:
+            served.add(org)
+            taken.add(party)
+            out.append((org, party))
+    picked = pd.DataFrame(out, columns=["o_row_id", "p_row_id"])
+    picked.insert(0, "pair_id", group["pair_id"].iloc[0])
+    return picked
+
+
+def amount_islands(rows: DataFrame, tolerance: float) -> DataFrame:
+    """rows (pair_id, o_row_id, amount, ...) with `island`: amounts of a pair without a gap above three tolerances. Only distinct cells are sorted."""
+    cell = F.floor(F.col("amount") / max(tolerance, 1e-9))
+    rows = rows.withColumn("cell", cell)
+    by_cell = Window.partitionBy("pair_id").orderBy("cell")
+    new = F.coalesce((F.col("cell") - F.lag("cell").over(by_cell) > 3).cast("int"), F.lit(0))
+    cells = rows.select("pair_id", "cell").distinct().withColumn("new", new).withColumn("island", F.sum("new").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(cells.drop("new"), ["pair_id", "cell"]).drop("cell")
+
+
+def containment_stage(found: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE) -> DataFrame:
+    """(pair_id, o_row_id, p_row_id) of the serial rule over containment edges: mutual bests at once, contested rows by a fold."""
+    rank = F.row_number().over(Window.partitionBy("pair_id", "o_row_id").orderBy(*E.candidate_order()))
+    first = F.min("o_row_id").over(Window.partitionBy("pair_id", "p_row_id"))
+    edges = durable(found.select("pair_id", "o_row_id", "p_row_id", F.abs("o_net_org").alias("amount"), rank.alias("rank")).withColumn("first", first))
+    agreed = edges.where("rank = 1 and o_row_id = first").select("pair_id", "o_row_id", "p_row_id")
+    left = edges.join(agreed.select("pair_id", "o_row_id"), ["pair_id", "o_row_id"], "left_anti").join(agreed.select("pair_id", "p_row_id"), ["pair_id", "p_row_id"], "left_anti")
+    contested = amount_islands(left, tolerance).select("pair_id", "island", "o_row_id", "p_row_id", "rank")
+    return agreed.unionByName(contested.groupBy("pair_id", "island").applyInPandas(_serial, "pair_id string, o_row_id string, p_row_id string"))
 
 
 def picks(ledger: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int = E.DATE_TOLERANCE_DAYS) -> DataFrame:
@@ -92,7 +116,7 @@ def picks(ledger: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int =
     free_org = org.join(sure.select("pair_id", "o_row_id"), ["pair_id", "o_row_id"], "left_anti")
     free_party = party.join(sure.select("pair_id", "p_row_id"), ["pair_id", "p_row_id"], "left_anti")
     band = durable(E.band_edges(free_org, free_party, tolerance, days))
-    contained = durable(containment_stage(E.containment_edges(band)))
+    contained = durable(containment_stage(E.containment_edges(band), tolerance))
     parts.append(row(contained, STRONG, "stage3_containment_ref_amount", 0.9, "", 2))
 
     weak = E.fuzzy_edges(band).unionByName(E.no_reference_edges(band))
@@ -134,9 +158,12 @@ def master_match_table(ledger: DataFrame, found: DataFrame | None = None) -> Dat
     number = F.col("__base") + F.row_number().over(Window.partitionBy(*part).orderBy("__id"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     relation = E.reference_relation(F.col("org_normalized_reference"), F.col("party_normalized_reference"), F.col("__score"))
-    both = m.withColumn("__score", sequence_ratio(F.lower(blank("org_normalized_reference")), F.lower(blank("party_normalized_reference"))))
+    # alike or not is asked only where both references are there, differ, and hold neither one the other
+    a, b = blank("org_normalized_reference"), blank("party_normalized_reference")
+    open_ = ~C.is_missing_reference(a) & ~C.is_missing_reference(b) & ~a.contains(b) & ~b.contains(a)
+    both = m.withColumn("__score", sequence_ratio(F.lower(F.when(open_, a)), F.lower(F.when(open_, b))))
     return both.select(
-        "pair_id", F.concat(F.lit("MG"), F.lpad(number.cast("string"), 6, "0")).alias("match_group_id"), "match_status", "match_confidence", "match_rule",
+        "pair_id", F.format_string("MG%06d", number).alias("match_group_id"), "match_status", "match_confidence", "match_rule",
         F.coalesce("org_type", "party_type", F.lit("")).alias("type_label"), blank("o_row_id").alias("org_row_id"), blank("p_row_id").alias("party_row_id"), blank("org_date").alias("org_date"), blank("party_date").alias("party_date"),
         F.abs(F.datediff(F.to_date(F.nullif("org_date", F.lit(""))), F.to_date(F.nullif("party_date", F.lit(""))))).alias("date_delta_days"),
         *[blank(c).alias(c) for c in ("org_reference", "party_reference", "org_normalized_reference", "party_normalized_reference")], relation.alias("reference_relation"),

@@ -1,37 +1,14 @@
-"""Whole runs: raw cells to canonical ledgers, ledgers to the full set of result frames."""
+"""Raw cells to canonical ledgers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from ..operators import ledger as L
-from ..operators.resolve import master_match_table, match_stats
-from ..sources.durable import durable
-from . import quality, reports
 
 
 def formalize(cells: DataFrame, labels=None) -> DataFrame:
     """Raw cells to canonical rows: typing, carried dates, labels, perspective, reasons, ids."""
     typed = L.type_rows(cells)
     scored = typed.withColumn("row_confidence", L.row_confidence(typed["layout_confidence"], typed["date_parse_confidence"], typed["amount_parse_confidence"], typed["record_kind"]))
-    return L.assemble(L.carry_dates(L.emitted(scored)), labels)
-
-
-def reconcile(ledger: DataFrame, labels=None) -> dict[str, DataFrame]:
-    """All result frames of all pairs, named as sheets."""
-    matches = durable(master_match_table(ledger))
-    queue = reports.review_queue(ledger, matches)
-    validation = quality.match_report(ledger, matches, queue)
-    return {
-        "Executive_Summary": reports.executive_snapshot(ledger, matches, validation, queue), "Summary": reports.label_summary(ledger, labels), "Status_Totals": reports.status_totals(matches), "Master_Match_Table": matches, "Review_Queue": queue,
-        "Working_Ledger": L.working_ledger(ledger), "Annexure_Metrics": reports.annexure_metrics(ledger, matches, labels), "Unknown_Labels": reports.unknown_groups(ledger), "Validation_Report": validation, "Stats": match_stats(matches),
-        "Difference_Audit": quality.recomputed_differences(matches),
-    }
-
-
-def formalized_bundle(rows: DataFrame) -> dict[str, DataFrame]:
-    """Result frames of formalisation, named as sheets: both ledgers, page analysis, validation, review."""
-    from ..operators.layout import page_analysis
-
-    review = rows.where("review_flag").select("pair_id", "ledger_role", "row_id", "record_kind", "page_number", "source_row_number", "date", "raw_type", "type_label", "particulars", "reference_no", "debit_source", "credit_source", "confidence_score", "review_reason")
-    return {"Org_Ledger": rows.where(rows["ledger_role"] == L.ORG), "Party_Ledger": rows.where(rows["ledger_role"] == L.PARTY), "Page_Analysis": page_analysis(rows, ["pair_id", "ledger_role", "source_file", "page_number"]), "Validation_Report": quality.formal_report(rows), "Review_Queue": review}
+    return L.assemble(L.carry_dates(L.emitted(scored)), labels, types=cells)

@@ -69,11 +69,11 @@ def annexure_metrics(ledger: DataFrame, matches: DataFrame, labels=None) -> Data
 
 
 def annexure_sections(ledger: DataFrame, matches: DataFrame, labels=None) -> dict[str, DataFrame]:
-    """Drill-down rows of every label: both working ledgers and the match records."""
+    """Drill-down rows of every label: both working ledgers and the match records. A label without rows has one row of nulls."""
     names = label_dimension(ledger, labels)
     w = working_ledger(ledger)
-    own = lambda role: names.join(w.where(F.col("ledger_role") == role), ["pair_id", "type_label"])
-    return {"org": own(ORG), "party": own(PARTY), "matches": names.join(matches, ["pair_id", "type_label"])}
+    own = lambda role: names.join(w.where(F.col("ledger_role") == role), ["pair_id", "type_label"], "left")
+    return {"org": own(ORG), "party": own(PARTY), "matches": names.join(matches, ["pair_id", "type_label"], "left")}
 
 
 def stated_closing(ledger: DataFrame) -> DataFrame:
@@ -88,6 +88,54 @@ QUEUE = ("priority", "source_area", "source_sheet", "source_row_id", "type_label
 MANUAL = ("reviewer_comment", "manual_decision", "reviewed_by", "reviewed_date")
 
 
+#: Lines below the labels of the summary: (particulars, kind, review status, remarks).
+TAIL = (
+    ("Balance as per Org ledger", "balance_org", "Formula-linked", "Opening + movements (org working ledger)."),
+    ("Balance as per Party ledger", "balance_party", "Formula-linked", "Opening + movements (party working ledger)."),
+    ("Matched Amount", "matched", "Strong matched", "Deterministic strong matches only."),
+    ("Candidate Review Amount", "candidate_review", "Review required", "See Review_Queue."),
+    ("Unmatched Org Amount", "unmatched_org", "Review required", "See Review_Queue."),
+    ("Unmatched Party Amount", "unmatched_party", "Review required", "See Review_Queue."),
+    ("Review Pending Amount", "review_pending", "Review required", "See Review_Queue."),
+    ("Net Difference", "net_diff", "Formula-linked", "Org closing minus party closing."),
+    ("Closing Balance Difference", "closing_diff", "Formula-linked", "Stated closing: org vs party."),
+    ("Validation Status", "validation_status", "", "See Validation_Report."),
+    ("Formula Audit Status", "formula_audit_status", "", "See Formula_Audit."),
+)
+
+
+def summary_layout(ledger: DataFrame, matches: DataFrame, validation: DataFrame, audit: DataFrame, labels=None) -> DataFrame:
+    """The whole summary sheet, a row a line: opening, labels, closing, and the tail with balances, status totals, differences and both statuses.
+
+    validation: pair_id, status; audit: pair_id of every violation."""
+    shown = F.when(F.col("type_label") == OPENING, "Opening Balance").when(F.col("type_label") == CLOSING, "Closing Balance").otherwise(F.col("type_label"))
+    kind = F.when(F.col("type_label") == OPENING, "opening").when(F.col("type_label") == CLOSING, "closing").otherwise("label")
+    text = F.lit(None).cast("string")
+    body = label_summary(ledger, labels).select("pair_id", "serial", shown.alias("particulars"), kind.alias("kind"), "org_amount", "party_amount", "difference", "review_status", F.lit("").alias("remarks"), text.alias("status"))
+    n = len(labels or TYPE_LABELS)
+    t = status_totals(matches).groupBy("pair_id").pivot("line", [*STATUSES, "review_pending"]).agg(F.first("org_amount").alias("org"), F.first("party_amount").alias("party"))
+    v = validation.groupBy("pair_id").agg(F.count_if(F.col("status") == "FAIL").alias("bad_checks"))
+    a = audit.groupBy("pair_id").agg(F.count("*").alias("bad_cells"))
+    wide = balances(ledger, labels).join(t, "pair_id", "left").join(v, "pair_id", "left").join(a, "pair_id", "left").na.fill(0)
+    none, col = F.lit(None).cast("double"), F.col
+    passed = lambda c: F.when(col(c) > 0, "FAIL").otherwise("PASS")
+    value = {
+        "balance_org": (col("balance_org"), none, none, text), "balance_party": (none, col("balance_party"), none, text), "net_diff": (none, none, col("net_difference"), text), "closing_diff": (none, none, col("closing_difference"), text),
+        "matched": (col("matched_strong_org"), col("matched_strong_party"), F.round(col("matched_strong_org") - col("matched_strong_party"), 2), text),
+        **{k: (col(f"{k}_org"), col(f"{k}_party"), F.round(col(f"{k}_org") - col(f"{k}_party"), 2), text) for k in ("candidate_review", "unmatched_org", "unmatched_party", "review_pending")},
+        "validation_status": (none, none, none, passed("bad_checks")), "formula_audit_status": (none, none, none, passed("bad_cells")),
+    }
+    names = ("org_amount", "party_amount", "difference", "status")
+    lines = [F.struct(F.lit(n + i + 1).alias("serial"), F.lit(p).alias("particulars"), F.lit(k).alias("kind"), F.lit(r).alias("review_status"), F.lit(m).alias("remarks"), *[x.alias(c) for c, x in zip(names, value[k], strict=True)]) for i, (p, k, r, m) in enumerate(TAIL)]
+    tail = wide.select("pair_id", F.explode(F.array(*lines)).alias("l")).select("pair_id", "l.*")
+    return body.unionByName(tail)
+
+
+def unknown_rows(ledger: DataFrame) -> DataFrame:
+    """Drill-down of the unknown labels: the unclassified transactions of both ledgers."""
+    return working_ledger(unknown_transactions(ledger)).withColumn("normalized_label", normalized_type(F.col("raw_type")))
+
+
 def review_queue(ledger: DataFrame, matches: DataFrame) -> DataFrame:
     """Rows for people: flagged or uncertain ledger rows, match records under review, closing gaps. Order: `priority_rank`, source_area, source_row_id."""
     blank = lambda *c: F.coalesce(*[F.nullif(F.col(x).cast("string"), F.lit("")) for x in c], F.lit(""))
@@ -102,6 +150,7 @@ def review_queue(ledger: DataFrame, matches: DataFrame) -> DataFrame:
     )
     gap = F.coalesce(F.col("amount_difference") > AMOUNT_TOLERANCE, F.lit(False))
     high = F.lower("review_reason").rlike("ambiguous|multiple") | gap
+    # Suggested actions.
     action = F.when(F.col("match_status") == "unmatched_org", "Locate corresponding party entry or confirm org-only item.").when(F.col("match_status") == "unmatched_party", "Locate corresponding org entry or confirm party-only item.").when(gap, "Resolve amount mismatch against source ledgers before closing.").otherwise("Manually confirm or reject this candidate against source ledgers.")
     recon = matches.where("review_required").select(
         "pair_id", F.when(high, "HIGH").otherwise("MEDIUM").alias("priority"), F.lit("reconciliation").alias("source_area"), F.lit("Master_Match_Table").alias("source_sheet"), blank("org_row_id", "party_row_id", "match_group_id").alias("source_row_id"), "type_label",

@@ -17,7 +17,7 @@ def profile_sheets(cells: DataFrame, scan_rows: int = 20) -> DataFrame:
     filled = cells.where(~C.is_blank(F.col("value")))
     per_row = filled.groupBy("sheet_name", "row").agg(F.count("*").alias("n"))
     header = per_row.where(F.col("row") <= scan_rows).groupBy("sheet_name").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header_row"))
-    stats = filled.groupBy("sheet_name").agg(F.countDistinct("row").alias("non_empty_rows"), F.countDistinct("col").alias("non_empty_columns"), F.count_if(F.col("value").startswith("=")).alias("formula_count"))
+    stats = filled.groupBy("sheet_name").agg(F.countDistinct("row").alias("non_empty_rows"), F.countDistinct("col").alias("non_empty_columns"), F.count_if(C.is_formula(F.col("value"))).alias("formula_count"))
     return stats.join(header, "sheet_name", "left")
 
 
@@ -40,17 +40,35 @@ def shared_names(left: DataFrame, right: DataFrame, name: str = "sheet_name") ->
     return left.select(name).intersect(right.select(name))
 
 
-def header_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, right: sheet_name, pos, headers (array). Best right sheet for each left one; the first of equals.
+def header_similarity(left: DataFrame, right: DataFrame, scope: str = "pair_id") -> DataFrame:
+    """left, right: scope (which two workbooks belong together), sheet_name, pos, headers (array). Best right sheet for each left one; the first of equals.
 
-    Sheets of two workbooks are a stated, small product."""
+    Sheets are compared within their scope only: an equality join, whose groups are the sheets of two workbooks."""
     text = lambda c: F.lower(F.array_join(F.filter(c, lambda h: ~C.is_blank(h)), " "))
-    a = left.select("sheet_name", text(F.col("headers")).alias("a"), F.size(F.filter("headers", lambda h: ~C.is_blank(h))).alias("left_header_count"))
-    b = right.select(F.col("sheet_name").alias("best_sheet"), F.col("pos"), text(F.col("headers")).alias("b"), F.size(F.filter("headers", lambda h: ~C.is_blank(h))).alias("right_header_count"))
-    both = a.crossJoin(F.broadcast(b))
+    a = left.select(scope, "sheet_name", text(F.col("headers")).alias("a"), F.size(F.filter("headers", lambda h: ~C.is_blank(h))).alias("left_header_count"))
+    b = right.select(scope, F.col("sheet_name").alias("best_sheet"), F.col("pos"), text(F.col("headers")).alias("b"), F.size(F.filter("headers", lambda h: ~C.is_blank(h))).alias("right_header_count"))
+    both = a.join(b, scope)
     score = F.when((F.col("a") == "") & (F.col("b") == ""), 100.0).when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(token_set_ratio("a", "b"))
-    w = Window.partitionBy("sheet_name").orderBy(F.desc("score"), "pos")
-    return both.withColumn("score", score).withColumn("n", F.row_number().over(w)).where("n = 1").select("sheet_name", "best_sheet", F.round("score", 1).alias("header_similarity_score"), "left_header_count", "right_header_count")
+    w = Window.partitionBy(scope, "sheet_name").orderBy(F.desc("score"), "pos")
+    return both.withColumn("score", score).withColumn("n", F.row_number().over(w)).where("n = 1").select(scope, "sheet_name", "best_sheet", F.round("score", 1).alias("header_similarity_score"), "left_header_count", "right_header_count")
+
+
+def reference_summary(profile: DataFrame) -> DataFrame:
+    """A reference workbook's sheets as context; one placeholder row where there is none. profile: sheet_name, headers (array), non_empty_rows."""
+    shown = F.filter("headers", lambda h: ~C.is_blank(h))
+    low = F.lower(F.array_join(shown, " "))
+    like = low.contains("debit") & low.contains("credit")
+    summary = F.lower("sheet_name").contains("summary")
+    rows = profile.select("sheet_name", F.array_join(shown, " | ").alias("headers"), like.cast("string").alias("is_ledger_like"), summary.cast("string").alias("is_summary_like"), F.col("non_empty_rows").cast("string").alias("non_empty_row_count"))
+    blank = profile.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("(no reference profile found)").alias("sheet_name"), *[F.lit("").alias(c) for c in ("headers", "is_ledger_like", "is_summary_like", "non_empty_row_count")])
+    return rows.unionByName(blank)
+
+
+def sheet_samples(cells: DataFrame, profile: DataFrame, rows: int = 3) -> DataFrame:
+    """The first rows below each sheet's header as texts: sheet_name, row, values."""
+    body = cells.join(profile.select("sheet_name", "header_row"), "sheet_name").where((F.col("row") > F.col("header_row")) & ~C.is_blank(F.col("value")))
+    lines = body.groupBy("sheet_name", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]).alias("values"))
+    return lines.withColumn("n", F.row_number().over(Window.partitionBy("sheet_name").orderBy("row"))).where(F.col("n") <= rows).drop("n")
 
 
 def special_sheets(sheets: DataFrame) -> DataFrame:
@@ -78,4 +96,6 @@ def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
         return df.agg(F.count("*").alias("sheet_count"), F.count_if("is_ledger").alias("ledger_like_sheet_count"), F.sum("formula_count").alias("formula_cells"), *[F.bool_or(F.greatest(*[F.lower("sheet_name").contains(w) for w in words], F.lit(False))).cast("long").alias(f"has_{k}_sheet") for k, words in SPECIAL_WORDS.items()]).unpivot([], None, "metric", name)
 
     summary = side(left, "left").join(side(right, "right"), "metric", "full_outer")
-    return {"Comparison_Summary": summary, "Sheet_Presence": presence(left, right), "Header_Similarity": header_similarity(left, right), "Shared_Names": shared_names(left, right)}
+    scoped = lambda df: df.withColumn("pair_id", F.lit(""))
+    similar = header_similarity(scoped(left), scoped(right)).drop("pair_id")
+    return {"Comparison_Summary": summary, "Sheet_Presence": presence(left, right), "Header_Similarity": similar, "Shared_Names": shared_names(left, right)}

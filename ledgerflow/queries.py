@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles as Q
 from .functions import clean as C
 from .functions import similarity as S
 from .functions import text as T
 from .operators import edges as E
 from .operators import folds, labels, layout, ledger, resolve
-from .plans import quality, reconcile, reports, structure
+from .plans import bundles, extraction, quality, reconcile, reports, structure
 from .sources import synth
 from .sources.durable import durable
-from .sources.files import cache_key, distinct_balances, extraction_summary, fingerprints, run_manifest
+from .sources.files import cache_key, detected_name, distinct_balances, extraction_summary, fingerprints, ledger_pair, merged_results, run_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,10 +116,11 @@ def type_labels(spark, sf_dir):
     return labels.with_labels(texts(spark, sf_dir), "type_text").select("k", "type_label", "match_method", "type_review")
 
 
-@query()
+@query("WITH RECURSIVE words AS (SELECT p_partkey, ['recipt', 'purchse', 'jornal', 'debt note', 'paymnt', 'invoce', 'qwrtz'][CAST(p_partkey % 7 + 1 AS int)] AS raw_type FROM part)" + Q.labels_sql("words") + """
+SELECT p_partkey, w.raw_type, CASE WHEN l.score < 70 THEN 'Unknown' ELSE l.type_label END AS type_label, l.score AS type_confidence, CASE WHEN l.score >= 90 THEN 'high' WHEN l.score >= 80 THEN 'acceptable' WHEN l.score >= 70 THEN 'needs_review' ELSE 'unmatched' END AS type_band, l.match_method FROM words w JOIN labelled l ON l.raw_type = w.raw_type""")
 def type_label_fuzzy(spark, sf_dir):
     words = F.element_at(F.array(*[F.lit(x) for x in ("recipt", "purchse", "jornal", "debt note", "paymnt", "invoce", "qwrtz")]), ((F.col("p_partkey") % 7) + 1).cast("int"))
-    return labels.with_labels(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", words.alias("raw_type"))).select("p_partkey", "raw_type", "type_label", "type_confidence", "type_band", "match_method", "matched_alias")
+    return labels.with_labels(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", words.alias("raw_type"))).select("p_partkey", "raw_type", "type_label", "type_confidence", "type_band", "match_method")
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_totalprice >= 400000 THEN 'high' WHEN o_totalprice >= 300000 THEN 'acceptable' WHEN o_totalprice >= 200000 THEN 'needs_review' ELSE 'unmatched' END AS band, strftime(o_orderdate, '%Y-%m') AS period FROM orders")
@@ -128,16 +130,19 @@ def confidence_bands(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("k"), C.confidence_band(score).alias("band"), C.period_month(F.col("o_orderdate").cast("date")).alias("period"))
 
 
-@query()
+@query("WITH RECURSIVE src AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), distinct_src AS (SELECT DISTINCT a, b FROM src)" + Q.subsequence_sql("distinct_src", "lcs") + Q.token_set_sql("distinct_src", "tokens") + Q.sequence_sql("distinct_src", "seq") + """
+SELECT p_partkey, CAST(lcs.score AS double) AS indel, CAST(tokens.score AS double) AS token_set, CAST(ratio AS double) AS sequence FROM src JOIN lcs USING (a, b) JOIN tokens USING (a, b) JOIN seq USING (a, b)""")
 def string_similarities(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
     return p.select("p_partkey", S.indel_ratio("a", "b").alias("indel"), S.token_set_ratio("a", "b").alias("token_set"), S.sequence_ratio("a", "b").alias("sequence"))
 
 
-@query("SELECT s_suppkey AS k, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, substr(trim(regexp_replace(s_name, '[:\\\\/?*\\[\\]]', '', 'g')), 1, 31) AS sheet FROM supplier")
+@query("SELECT s_suppkey AS k, coalesce(nullif(trim(regexp_replace(lower(CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN 'Acme (' || s_nationkey || ') & Co' ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'reference_workbook') AS slug, substr(trim(regexp_replace(s_name, '[:\\\\/?*\\[\\]]', '', 'g')), 1, 31) AS sheet FROM supplier")
 def names(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return s.select(F.col("s_suppkey").alias("k"), C.slug(F.col("s_name")).alias("slug"), C.sheet_name(F.col("s_name")).alias("sheet"))
+    n = F.col("s_suppkey") % 3
+    title = F.when(n == 0, F.concat("s_name", F.lit(" - "), F.col("s_nationkey").cast("string"))).when(n == 1, F.concat(F.lit("Acme ("), F.col("s_nationkey").cast("string"), F.lit(") & Co-"), F.col("s_acctbal").cast("string"))).otherwise("- only a tail")
+    return s.select(F.col("s_suppkey").alias("k"), C.slug(title).alias("slug"), C.sheet_name(F.col("s_name")).alias("sheet"))
 
 
 # -- texts -----------------------------------------------------------------------------------------------------------
@@ -161,7 +166,10 @@ def token_estimate(spark, sf_dir):
     return d.select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"), T.rendered(F.col("doc_id"), F.col("lang"), F.col("source")).alias("rendered"))
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT conv_id, turn, length(coalesce(text, '')) + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+, walk AS (SELECT conv_id, r, n, n AS size, 1 AS chunk_no FROM u WHERE r = 1
+  UNION ALL SELECT u.conv_id, u.r, u.n, CASE WHEN w.size + u.n > 400 THEN u.n ELSE w.size + u.n END, CASE WHEN w.size + u.n > 400 THEN w.chunk_no + 1 ELSE w.chunk_no END FROM walk w JOIN u ON u.conv_id = w.conv_id AND u.r = w.r + 1)
+SELECT conv_id, chunk_no, count(*) AS units, CAST(sum(n) AS bigint) AS chars FROM walk GROUP BY ALL""")
 def chunk_packing(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return folds.pack_units(c.select("conv_id", "turn", "text"), 400, ["conv_id"], ["turn"]).groupBy("conv_id", "chunk_no").agg(F.count("*").alias("units"), F.sum(F.length("text") + 1).alias("chars"))
@@ -202,18 +210,18 @@ def org_perspective(spark, sf_dir):
     return ledger.with_perspective(rows).select("k", F.col("debit_org_perspective").alias("debit"), F.col("credit_org_perspective").alias("credit"), F.col("amount_org_perspective").alias("amount"))
 
 
-@query()
+@query(Q.CANONICAL + "SELECT pair_id, ledger_role, row_id, kind AS record_kind, type_label, day AS date, debit AS debit_source, credit AS credit_source, confidence_score, review_reason <> '' AS review_flag, review_reason FROM canonical")
 def formalized_rows(spark, sf_dir):
     return reconcile.formalize(synth.extracted_cells(spark, sf_dir)).select("pair_id", "ledger_role", "row_id", "record_kind", "type_label", "date", "debit_source", "credit_source", "confidence_score", "review_flag", "review_reason")
 
 
-PAGES = "WITH r AS (SELECT o_orderkey // 40 AS g, o_orderkey AS n, CAST(o_orderdate AS date) AS d FROM orders WHERE o_orderkey % 5 <> 0)"
+PAGES = "WITH r AS (SELECT o_orderkey // 40 AS g, o_orderkey + o_orderkey // 4 AS n, CAST(o_orderdate AS date) AS d FROM orders)"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows numbered with gaps on pages of forty."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 5 <> 0")
-    return o.select(F.lit("p").alias("pair_id"), F.lit("r").alias("ledger_role"), F.lit("f").alias("source_file"), F.floor(F.col("o_orderkey") / 40).alias("page_number"), F.col("o_orderkey").alias("source_row_number"), F.col("o_orderdate").cast("date").alias("date"))
+    """Rows numbered with gaps (every fifth number) on pages of forty."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.lit("p").alias("pair_id"), F.lit("r").alias("ledger_role"), F.lit("f").alias("source_file"), F.floor(F.col("o_orderkey") / 40).alias("page_number"), (F.col("o_orderkey") + F.floor(F.col("o_orderkey") / 4)).alias("source_row_number"), F.col("o_orderdate").cast("date").alias("date"))
 
 
 @query(PAGES + """, x AS (SELECT g, n, CASE WHEN n % 3 = 0 THEN d END AS d FROM r), y AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY g ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x)
@@ -263,7 +271,7 @@ def no_reference_edges(spark, sf_dir):
     return E.no_reference_edges(E.band_edges(*E.sides(synth.ledgers(spark, sf_dir)))).select("pair_id", "o_row_id", "p_row_id")
 
 
-@query()
+@query(SIDES.replace("WITH base", "WITH RECURSIVE base", 1) + """, near AS (SELECT * FROM e WHERE (days IS NULL OR days <= 7) AND NOT o_missing AND NOT p_missing AND NOT contains(o_nref, p_nref) AND NOT contains(p_nref, o_nref)), near_pairs AS (SELECT DISTINCT lower(o_nref) AS a, lower(p_nref) AS b FROM near)""" + Q.sequence_sql("near_pairs", "alike") + "SELECT pair_id, o_row_id, p_row_id, CAST(ratio AS double) AS score FROM near JOIN alike ON a = lower(o_nref) AND b = lower(p_nref) WHERE ratio >= 0.85")
 def fuzzy_edges(spark, sf_dir):
     return E.fuzzy_edges(E.band_edges(*E.sides(synth.ledgers(spark, sf_dir)))).select("pair_id", "o_row_id", "p_row_id", "score")
 
@@ -284,19 +292,46 @@ def stage12_match(spark, sf_dir):
     return found.select("pair_id", "o_row_id", "p_row_id", F.when(F.col("typed"), "stage1_exact_ref_type_amount").otherwise("stage2_exact_ref_amount").alias("match_rule"))
 
 
-@query()
+@query(Q.MATCHES + "SELECT * FROM m")
 def master_match(spark, sf_dir):
     return resolve.master_match_table(synth.ledgers(spark, sf_dir))
 
 
-@query()
+@query(Q.STATUS_TOTALS + "SELECT *, round(org_amount - party_amount, 2) AS difference FROM st")
 def match_status_summary(spark, sf_dir):
     return reports.status_totals(resolve.master_match_table(synth.ledgers(spark, sf_dir)))
 
 
-@query()
+@query(Q.MATCHES + """, f AS (SELECT pair_id, count(*) AS records, count(*) FILTER (WHERE match_status = 'matched_strong') AS strong FROM m GROUP BY pair_id)
+SELECT pair_id, records, strong, 'succeeded' AS status, '' AS error FROM f UNION ALL SELECT 'pair_without_party', 0, 0, 'failed', 'no party_ledger rows'""")
 def run_manifests(spark, sf_dir):
-    return run_manifest(resolve.master_match_table(synth.ledgers(spark, sf_dir)))
+    """A pair of which one ledger is missing fails alone."""
+    rows = synth.ledgers(spark, sf_dir)
+    lone = rows.where("ledger_role = 'org_ledger'").withColumn("pair_id", F.lit("pair_without_party"))
+    rows = durable(rows.unionByName(lone))
+    bad = bundles.pair_failures(rows)
+    return run_manifest(resolve.master_match_table(rows.join(bad.select("pair_id"), "pair_id", "left_anti")), bad)
+
+
+@query(Q.MATCHES + "SELECT pair_id, count(*) FILTER (WHERE match_status = 'matched_strong') AS strong, count(*) FILTER (WHERE review_required) AS review, count(*) FILTER (WHERE match_status = 'unmatched_org') AS unmatched_org, count(*) FILTER (WHERE match_status = 'unmatched_party') AS unmatched_party FROM m GROUP BY pair_id")
+def match_statistics(spark, sf_dir):
+    return resolve.match_stats(resolve.master_match_table(synth.ledgers(spark, sf_dir)))
+
+
+#: Orders of a customer all want their customer's parties: every amount is the same, and each org reference is inside all party references.
+CONTESTED = "SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders"
+
+
+@query("WITH x AS (" + CONTESTED + ") SELECT concat('c', c) AS pair_id, concat('o', lpad(CAST(k AS varchar), 9, '0')) AS o_row_id, concat('p', lpad(CAST(k AS varchar), 9, '0')) AS p_row_id FROM x")
+def contested_containment(spark, sf_dir):
+    """The n-th org row of a customer gets the n-th party: each prefers the lowest source row, and the lower rows are served first."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
+    x = spark.sql(CONTESTED.replace("FROM orders", "FROM {orders}"), orders=orders)
+    name = lambda p: F.concat(F.lit(p), F.lpad(F.col("k").cast("string"), 9, "0"))
+    org = x.select(F.concat(F.lit("c"), F.col("c").cast("string")).alias("pair_id"), name("o").alias("o_row_id"), F.lit(100.0).alias("o_net_org"))
+    party = x.select(F.concat(F.lit("c"), F.col("c").cast("string")).alias("pair_id"), name("p").alias("p_row_id"), F.col("k").alias("p_source_row_number"))
+    edges = org.join(party, "pair_id").withColumns({"tier": F.lit(4), "score": F.lit(0.8), "amount_gap": F.lit(0.0), "days": F.lit(0)})
+    return resolve.containment_stage(edges)
 
 
 # -- reports ---------------------------------------------------------------------------------------------------------
@@ -317,7 +352,9 @@ def balance_check(spark, sf_dir):
     return reports.balances(synth.ledgers(spark, sf_dir)).select("pair_id", "balance_org", "balance_party", "net_difference")
 
 
-@query()
+@query(Q.MATCHES + ", " + TOTALS.split(", t AS (", 1)[1].join([" t AS (", ""]).strip() + f""", am AS (SELECT pair_id, type_label, coalesce({MONEY.format("CASE WHEN match_status = 'matched_strong' THEN org_amount END")}, 0.0) AS strong_amount, coalesce({MONEY.format("CASE WHEN match_status = 'candidate_review' THEN org_amount END")}, 0.0) AS candidate_amount,
+  coalesce({MONEY.format("CASE WHEN match_status = 'unmatched_org' THEN org_amount END")}, 0.0) AS unmatched_amount, count(*) FILTER (WHERE review_required) AS review_count FROM m GROUP BY ALL)
+SELECT pair_id, serial, f.type_label, org_amount, party_amount, round(org_amount - party_amount, 2) AS difference, coalesce(strong_amount, 0.0) AS strong_amount, coalesce(candidate_amount, 0.0) AS candidate_amount, coalesce(unmatched_amount, 0.0) AS unmatched_amount, coalesce(review_count, 0) AS review_count FROM f LEFT JOIN am USING (pair_id, type_label)""")
 def annexure_metrics(spark, sf_dir):
     rows = synth.ledgers(spark, sf_dir)
     return reports.annexure_metrics(rows, resolve.master_match_table(rows))
@@ -335,7 +372,7 @@ def review_queue_formal(spark, sf_dir):
     return reports.review_queue(rows, none).select("pair_id", "source_row_id", "priority", "reason")
 
 
-@query()
+@query(Q.REVIEW + "SELECT *, CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS priority_rank, '' AS reviewer_comment, '' AS manual_decision, '' AS reviewed_by, '' AS reviewed_date FROM q")
 def review_queue(spark, sf_dir):
     rows = synth.ledgers(spark, sf_dir)
     return reports.review_queue(rows, resolve.master_match_table(rows))
@@ -351,12 +388,12 @@ def duplicate_suspicion(spark, sf_dir):
     return quality.duplicate_suspicion(synth.ledgers(spark, sf_dir))
 
 
-@query()
+@query(Q.QUALITY_REPORT)
 def quality_report(spark, sf_dir):
     return quality.formal_report(durable(reconcile.formalize(synth.extracted_cells(spark, sf_dir))))  # read three times
 
 
-@query()
+@query(Q.MATCH_REPORT)
 def match_report(spark, sf_dir):
     rows = synth.ledgers(spark, sf_dir)
     return quality.match_report(rows, resolve.master_match_table(rows))
@@ -370,22 +407,29 @@ def rollup_totals(spark, sf_dir):
 # -- structure, layout -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT coalesce(a.n, b.n) AS sheet_name, a.n IS NOT NULL AS in_left, b.n IS NOT NULL AS in_right FROM (SELECT DISTINCT n_name AS n FROM nation WHERE n_nationkey % 2 = 0) a FULL JOIN (SELECT DISTINCT n_name AS n FROM nation WHERE n_nationkey % 3 = 0) b ON a.n = b.n")
+#: Two sides that share some names: dates of orders, and ship dates of their lines.
+def days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o, li = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return o.select(F.col("o_orderdate").cast("date").cast("string").alias("sheet_name")), li.select(F.col("l_shipdate").cast("date").cast("string").alias("sheet_name"))
+
+
+DAYS = "WITH a AS (SELECT DISTINCT CAST(CAST(o_orderdate AS date) AS varchar) AS n FROM orders), b AS (SELECT DISTINCT CAST(CAST(l_shipdate AS date) AS varchar) AS n FROM lineitem) "
+
+
+@query(DAYS + "SELECT coalesce(a.n, b.n) AS sheet_name, a.n IS NOT NULL AS in_left, b.n IS NOT NULL AS in_right FROM a FULL JOIN b ON a.n = b.n")
 def sheet_presence(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("sheet_name"), "n_nationkey")
-    return structure.presence(n.where("n_nationkey % 2 = 0"), n.where("n_nationkey % 3 = 0"))
+    return structure.presence(*days(spark, sf_dir))
 
 
-@query("SELECT n_name AS sheet_name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_nationkey % 3 = 0")
+@query(DAYS + "SELECT n AS sheet_name FROM b WHERE n NOT IN (SELECT n FROM a)")
 def set_difference(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("sheet_name"), "n_nationkey")
-    return structure.missing_names(n, n.where("n_nationkey % 3 = 0"))
+    a, b = days(spark, sf_dir)
+    return structure.missing_names(b, a)
 
 
-@query("SELECT n_name AS sheet_name FROM nation WHERE n_nationkey % 2 = 0 INTERSECT SELECT n_name FROM nation WHERE n_nationkey % 3 = 0")
+@query(DAYS + "SELECT n AS sheet_name FROM a WHERE n IN (SELECT n FROM b)")
 def shared_names(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("sheet_name"), "n_nationkey")
-    return structure.shared_names(n.where("n_nationkey % 2 = 0"), n.where("n_nationkey % 3 = 0"))
+    return structure.shared_names(*days(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT l_orderkey % 50 AS sheet, l_orderkey // 50 AS r, l_linenumber AS col FROM lineitem), f AS (SELECT sheet, r, count(*) AS n FROM c GROUP BY ALL)
@@ -401,11 +445,16 @@ def dominant_value(spark, sf_dir):
     return structure.dominant_value(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", "o_orderstatus", "o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT n_regionkey, n_name AS sheet, lower('n_name ' || n_name) AS a FROM nation), r AS (SELECT n_regionkey, c_name AS sheet, c_custkey AS pos, lower(c_mktsegment || ' ' || n_name || ' Ledger') AS b FROM customer JOIN nation ON c_nationkey = n_nationkey)
+, both_sides AS (SELECT l.n_regionkey, l.sheet AS sheet_name, r.sheet AS best_sheet, pos, a, b FROM l JOIN r USING (n_regionkey)), distinct_sides AS (SELECT DISTINCT a, b FROM both_sides)""" + Q.token_set_sql("distinct_sides", "tokens") + """
+SELECT CAST(n_regionkey AS varchar) AS pair_id, sheet_name, best_sheet, CAST(round(score, 1) AS double) AS header_similarity_score, 2 AS left_header_count, 3 AS right_header_count FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey, sheet_name ORDER BY score DESC, pos) AS n FROM both_sides JOIN tokens USING (a, b)) x WHERE n = 1""")
 def header_similarity(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    side = n.select(F.col("n_name").alias("sheet_name"), F.col("n_nationkey").alias("pos"), F.array("n_name", F.lit("ledger"), F.col("n_regionkey").cast("string")).alias("headers"))
-    return structure.header_similarity(side.where("pos % 2 = 0"), side.where("pos % 2 = 1"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    sheet = lambda name, pos, *heads: (F.col("n_regionkey").cast("string").alias("pair_id"), name.alias("sheet_name"), pos.alias("pos"), F.array(*heads).alias("headers"))
+    left = n.select(*sheet(F.col("n_name"), F.col("n_nationkey"), F.lit("n_name"), F.col("n_name"), F.lit("")))
+    right = c.join(n, n["n_nationkey"] == c["c_nationkey"]).select(*sheet(F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment"), F.col("n_name"), F.lit("Ledger")))
+    return structure.header_similarity(left, right)
 
 
 @query("SELECT lang AS pair_id, source AS ledger_role, count(*) AS text_chunks, CAST(sum(n_chars) AS bigint) AS characters FROM documents GROUP BY ALL")
@@ -422,15 +471,140 @@ def balances_once(spark, sf_dir):
     return distinct_balances(rows).select("pair_id", "ledger_role", "amount")
 
 
-@query()
-def page_word_layout(spark, sf_dir):
-    """Pages of synthetic word boxes: a header and a row for each order, through clustering, bands and typed cells."""
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word boxes of files of four pages of forty rows, a row for each order; only the first page of a file has a header."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    page = F.floor(F.col("o_orderkey") / 40).cast("int")
+    at, k = F.floor(F.col("o_orderkey") / 40).cast("int"), F.col("o_orderkey")
+    page = [F.lit("p").alias("pair_id"), F.when(F.floor(at / 4) % 2 == 0, "org_ledger").otherwise("party_ledger").alias("ledger_role"), F.concat(F.lit("f"), F.floor(at / 4).cast("string")).alias("source_file"), (at % 4 + 1).alias("page_number")]
     day, money = F.date_format(F.col("o_orderdate").cast("date"), "dd-MM-yyyy"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")
     word = lambda x0, y, w: F.struct(F.lit(float(x0)).alias("x0"), y.cast("double").alias("y0"), F.lit(float(x0 + 50)).alias("x1"), w.alias("word_text"))
-    y = (F.col("o_orderkey") % 40 + 2) * 12.0
-    body = o.select(page.alias("page_number"), F.explode(F.array(word(0, y, day), word(100, y + 1, F.lit("Sale")), word(200, y, F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))), word(400, y - 1, F.when(F.col("o_orderkey") % 2 == 0, money).otherwise("")), word(500, y, F.when(F.col("o_orderkey") % 2 == 1, money).otherwise("")))).alias("w"))
-    head = o.select(page.alias("page_number")).distinct().select("page_number", F.explode(F.array(*[word(x, F.lit(5.0), F.lit(t)) for x, t in ((0, "Date"), (100, "Type"), (200, "Particulars"), (400, "Debit"), (500, "Credit"))])).alias("w"))
-    rows = folds.visual_rows(body.unionByName(head).select("page_number", "w.*"), ["page_number"])
-    return layout.coordinate_strategy(rows, ["page_number"]).select("page_number", "visual_row", "raw_date", "raw_type", "particulars", "debit_raw_source", "credit_raw_source", "raw_text")
+    y = (k % 40 + 2) * 12.0
+    body = o.select(*page, F.explode(F.array(word(0, y, day), word(100, y + 1, F.lit("Sale")), word(200, y, F.concat(F.lit("order-"), k.cast("string"))), word(400, y - 1, F.when(k % 2 == 0, money).otherwise("")), word(500, y, F.when(k % 2 == 1, money).otherwise("")))).alias("w"))
+    head = o.where(at % 4 == 0).select(*page).distinct().select("*", F.explode(F.array(*[word(x, F.lit(5.0), F.lit(t)) for x, t in ((0, "Date"), (100, "Type"), (200, "Particulars"), (400, "Debit"), (500, "Credit"))])).alias("w"))
+    return body.unionByName(head).select("pair_id", "ledger_role", "source_file", "page_number", "w.*")
+
+
+#: The rows that come out: those of files whose first page is there.
+PAGE_ROWS = """WITH o AS (SELECT o_orderkey AS k, o_orderkey // 40 AS pg, CAST(o_orderdate AS date) AS d, CAST(CAST(round(o_totalprice, 2) AS decimal(18,2)) AS varchar) AS v FROM orders), f AS (SELECT DISTINCT pg // 4 AS f FROM o WHERE pg % 4 = 0)
+, r AS (SELECT o.*, pg // 4 AS f, concat('f', pg // 4) AS source_file, CAST(pg % 4 + 1 AS int) AS page_number, CAST(dense_rank() OVER (PARTITION BY pg ORDER BY k % 40) + CASE WHEN pg % 4 = 0 THEN 1 ELSE 0 END AS int) AS visual_row FROM o WHERE pg // 4 IN (SELECT f FROM f))
+"""
+
+
+@query(PAGE_ROWS + "SELECT source_file, page_number, visual_row, strftime(d, '%d-%m-%Y') AS raw_date, 'Sale' AS raw_type, concat('order-', k) AS particulars, CASE WHEN k % 2 = 0 THEN v ELSE '' END AS debit_raw_source, CASE WHEN k % 2 = 1 THEN v ELSE '' END AS credit_raw_source, concat(strftime(d, '%d-%m-%Y'), ' Sale order-', k, ' ', v) AS raw_text FROM r")
+def page_word_layout(spark, sf_dir):
+    """Words through clustering, bands (a page without a header takes those above it) and assignment."""
+    rows = folds.visual_rows(page_words(spark, sf_dir), extraction.PAGE)
+    return layout.coordinate_strategy(rows, extraction.PAGE, extraction.DOCUMENT).select("source_file", "page_number", "visual_row", "raw_date", "raw_type", "particulars", "debit_raw_source", "credit_raw_source", "raw_text")
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    words = page_words(spark, sf_dir)
+    tables = words.where("false").select(*extraction.PAGE, F.lit(0).alias("table_index"), F.array(F.array(F.lit(""))).alias("cells"))
+    lines = words.groupBy(*extraction.PAGE, F.round("y0", -1).alias("y")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_text"))), lambda w: w["word_text"])).alias("line_text"))
+    lines = lines.withColumn("line_number", F.col("y").cast("int"))
+    return extraction.extract(words, tables, lines)
+
+
+@query(PAGE_ROWS + "SELECT source_file, page_number, CAST(row_number() OVER (PARTITION BY f ORDER BY page_number, visual_row) AS int) AS source_row_number, 'coordinate' AS extraction_method, 'Transaction' AS record_kind, d AS date, CASE WHEN k % 2 = 0 THEN CAST(v AS double) END AS debit_source, CASE WHEN k % 2 = 1 THEN CAST(v AS double) END AS credit_source FROM r")
+def extracted_rows(spark, sf_dir):
+    """All strategies on all pages, the best of each page, numbered through each file."""
+    return extracted(spark, sf_dir)["rows"].select("source_file", "page_number", "source_row_number", "extraction_method", "record_kind", "date", "debit_source", "credit_source")
+
+
+@query(PAGE_ROWS + """SELECT source_file, page_number, 'coordinate' AS extraction_method, 'ok' AS status, count(*) AS rows_emitted FROM r GROUP BY ALL""")
+def extraction_audit(spark, sf_dir):
+    return extracted(spark, sf_dir)["audit"].select("source_file", "page_number", "extraction_method", "status", "rows_emitted")
+
+
+@query(PAGE_ROWS + "SELECT source_file, count(DISTINCT page_number) AS page_count, count(*) AS row_count FROM r GROUP BY source_file")
+def layout_statistics(spark, sf_dir):
+    return extracted(spark, sf_dir)["layout_stats"].select("source_file", "page_count", "row_count")
+
+
+# -- bundles -------------------------------------------------------------------------------------------------------------
+
+
+@query(Q.CANONICAL + """, w AS (SELECT pair_id, count(DISTINCT ledger_role) AS n, string_agg(DISTINCT ledger_role || ':orders.pdf', '; ' ORDER BY ledger_role || ':orders.pdf') AS files, round(avg(confidence_score), 1) AS c FROM canonical GROUP BY pair_id)
+SELECT pair_id, 'workbook' AS scope, 'source_pdfs_discovered' AS "check", 'PASS' AS status, CAST(n AS double) AS count, files AS details FROM w
+UNION ALL SELECT pair_id, 'workbook', 'ledger_confidence', CASE WHEN c < 80 THEN 'REVIEW' ELSE 'PASS' END, CAST(floor(c) AS double), 'Average confidence across all formalized rows (%).' FROM w
+UNION ALL SELECT pair_id, 'workbook', x.c, 'INFO', 0.0, x.d FROM w, (VALUES ('ai_usage_count', 'AI layout/repair calls.'), ('ai_cache_hit_count', 'AI cache hits.'), ('ai_cache_miss_count', 'AI cache misses.'), ('ai_repair_applied_count', 'Rows with accepted AI date repairs.'), ('ai_repair_rejected_count', 'Failed-row repair proposals rejected.')) x(c, d)
+UNION ALL SELECT pair_id, 'workbook', 'no_reconciliation_performed', 'PASS', 0.0, 'Formalization only: no matching, annexures, or final balances.' FROM w""")
+def workbook_checks(spark, sf_dir):
+    return quality.workbook_report(reconcile.formalize(synth.extracted_cells(spark, sf_dir)))
+
+
+@query(Q.CANONICAL + "SELECT pair_id, ledger_role, CAST(page AS int) AS page_number, count(*) AS rows, count(*) FILTER (WHERE kind = 'Transaction') AS transactions, count(*) FILTER (WHERE kind NOT IN ('Transaction', 'Unknown')) AS special, count(*) FILTER (WHERE day IS NULL) AS undated FROM canonical GROUP BY ALL")
+def page_counters(spark, sf_dir):
+    rows = reconcile.formalize(synth.extracted_cells(spark, sf_dir))
+    return layout.page_analysis(rows, ["pair_id", "ledger_role", "page_number"]).select("pair_id", "ledger_role", "page_number", "rows", "transactions", "special", "undated")
+
+
+SUMMARY_LINES = Q.STATUS_TOTALS + ", " + TOTALS.split(", t AS (", 1)[1].join([" t AS (", ""]).strip() + f"""
+, bal AS (SELECT pair_id, {MONEY.format("CASE WHEN type_label <> 'ClosingBalance' THEN org_amount END")} AS o, {MONEY.format("CASE WHEN type_label <> 'ClosingBalance' THEN party_amount END")} AS p FROM f GROUP BY pair_id)
+, tl(serial, particulars, kind, line) AS (VALUES (13, 'Matched Amount', 'matched', 'matched_strong'), (14, 'Candidate Review Amount', 'candidate_review', 'candidate_review'), (15, 'Unmatched Org Amount', 'unmatched_org', 'unmatched_org'), (16, 'Unmatched Party Amount', 'unmatched_party', 'unmatched_party'), (17, 'Review Pending Amount', 'review_pending', 'review_pending'))
+"""
+
+
+@query(SUMMARY_LINES + """SELECT pair_id, serial, CASE type_label WHEN 'OpeningBalance' THEN 'Opening Balance' WHEN 'ClosingBalance' THEN 'Closing Balance' ELSE type_label END AS particulars, org_amount, party_amount, round(org_amount - party_amount, 2) AS difference, CAST(NULL AS varchar) AS status FROM f
+UNION ALL SELECT pair_id, 11, 'Balance as per Org ledger', o, NULL, NULL, NULL FROM bal UNION ALL SELECT pair_id, 12, 'Balance as per Party ledger', NULL, p, NULL, NULL FROM bal
+UNION ALL SELECT b.pair_id, tl.serial, tl.particulars, coalesce(st.org_amount, 0), coalesce(st.party_amount, 0), round(coalesce(st.org_amount, 0) - coalesce(st.party_amount, 0), 2), NULL FROM bal b CROSS JOIN tl LEFT JOIN st ON st.pair_id = b.pair_id AND st.line = tl.line
+UNION ALL SELECT pair_id, 18, 'Net Difference', NULL, NULL, round(o - p, 2), NULL FROM bal UNION ALL SELECT pair_id, 19, 'Closing Balance Difference', NULL, NULL, 0.0, NULL FROM bal
+UNION ALL SELECT pair_id, 20, 'Validation Status', NULL, NULL, NULL, 'PASS' FROM bal UNION ALL SELECT pair_id, 21, 'Formula Audit Status', NULL, NULL, NULL, 'PASS' FROM bal""")
+def summary_lines(spark, sf_dir):
+    rows = synth.ledgers(spark, sf_dir)
+    matches = durable(resolve.master_match_table(rows))
+    out = reports.summary_layout(rows, matches, quality.match_report(rows, matches), quality.evidence_violations(matches))
+    return out.select("pair_id", "serial", "particulars", "org_amount", "party_amount", "difference", "status")
+
+
+@query(Q.REVIEW + f""", ex AS (SELECT pair_id, {", ".join(f"count(*) FILTER (WHERE match_status = '{x}') AS {x}_count" for x in reports.STATUSES)} FROM m GROUP BY pair_id), qn AS (SELECT pair_id, count(*) AS review_queue_count FROM q GROUP BY pair_id)
+, pr AS (SELECT pair_id, concat(strftime(min(date), '%b''%y'), ' to ', strftime(max(date), '%b''%y')) AS period FROM ledger GROUP BY pair_id)
+SELECT pair_id, ex.* EXCLUDE (pair_id), review_queue_count, 'YES' AS human_review_required, 'PASS' AS validation_status, period FROM ex JOIN qn USING (pair_id) JOIN pr USING (pair_id)""")
+def executive_summary(spark, sf_dir):
+    rows = synth.ledgers(spark, sf_dir)
+    matches = durable(resolve.master_match_table(rows))
+    queue = reports.review_queue(rows, matches)
+    out = reports.executive_snapshot(rows, matches, quality.match_report(rows, matches), queue)
+    return out.select("pair_id", *[f"{x}_count" for x in reports.STATUSES], "review_queue_count", "human_review_required", "validation_status", "period")
+
+
+@query(TOTALS + ", l AS (SELECT pair_id, serial, f.type_label, row_id FROM f LEFT JOIN ledger USING (pair_id, type_label)) SELECT pair_id, serial, type_label, row_id AS source_row_id FROM l WHERE true".replace("LEFT JOIN ledger USING (pair_id, type_label)", "LEFT JOIN (SELECT * FROM ledger WHERE ledger_role = 'org_ledger') g USING (pair_id, type_label)"))
+def annexure_rows(spark, sf_dir):
+    """The organisation's drill-down: labels without rows are there with nulls."""
+    rows = synth.ledgers(spark, sf_dir)
+    none = spark.createDataFrame([], "pair_id string, type_label string")
+    return reports.annexure_sections(rows, none)["org"].select("pair_id", "serial", "type_label", "source_row_id")
+
+
+@query("SELECT concat('w', o_custkey % 7) AS pair_id, o_orderpriority AS sheet_name, CASE WHEN min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') IS NULL THEN NULL ELSE 'x' END AS known FROM orders GROUP BY ALL".replace("SELECT concat", "WITH g AS (SELECT concat", 1) + """), p AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY sheet_name) AS n, count(*) OVER (PARTITION BY pair_id) AS total FROM g)
+SELECT pair_id, sheet_name, CASE WHEN n = 1 THEN 'org_ledger' ELSE 'party_ledger' END AS ledger_role, total = 2 AS is_pair FROM p""")
+def ledger_sheets(spark, sf_dir):
+    """Roles by the order of sheets, where no row says one."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select(F.concat(F.lit("w"), (F.col("o_custkey") % 7).cast("string")).alias("pair_id"), F.col("o_orderpriority").alias("sheet_name"), F.col("o_orderpriority").alias("sheet_pos"), F.lit(1).alias("sheet_row"), F.lit("").alias("ledger_role"))
+    return ledger_pair(rows)
+
+
+@query("WITH x AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN '' ELSE concat(role, ' ', turn) END AS name FROM conversations) SELECT CAST(conv_id AS varchar) AS pair_id, arg_min(name, turn) FILTER (WHERE name <> '') AS detected_name, list_sort(list_distinct(list(role))) AS warnings FROM x GROUP BY conv_id".replace("list_sort(list_distinct(list(role)))", "array_to_string(list_sort(list_distinct(list(role))), ',')"))
+def merged_chunks(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = c.select(F.col("conv_id").cast("string").alias("pair_id"), F.col("turn").alias("chunk_no"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat("role", F.lit(" "), F.col("turn").cast("string"))).alias("detected_name"), F.array("role").alias("warnings"))
+    return merged_results(rows).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("WITH x AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT CAST(o_custkey AS varchar) AS pair_id, coalesce(CAST(min(CASE WHEN n <= 30 AND o_orderkey % 4 = 0 THEN o_orderkey END) AS varchar), 'none') AS detected_name FROM x GROUP BY o_custkey")
+def first_names(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select(F.col("o_custkey").cast("string").alias("pair_id"), F.lit("org_ledger").alias("ledger_role"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("sheet_row"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey").cast("string")).otherwise(" ").alias("detected_ledger_name"))
+    return detected_name(rows, "none").select("pair_id", "detected_name")
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'review' WHEN 2 THEN 'review' WHEN 3 THEN 'fail' END AS look, o_orderkey % 6 NOT IN (0, 1, 2) AS coloured FROM orders")
+def row_looks(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    status = pick((" Matched_Strong", "candidate_review", "unmatched_org", "unmatched_party", "other"), 5)
+    return o.select(k.alias("k"), C.row_class(status, k % 5 == 2).alias("look"), C.looks_like_colour(pick(("", "FFFFFF", "00000000", "FF0000", "AA11BB22", "123456"), 6)).alias("coloured"))

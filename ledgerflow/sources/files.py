@@ -60,7 +60,7 @@ def extraction_summary(page_text: DataFrame, tables: DataFrame) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sheet saved as CSV: the first row names the columns; columns without a name are left out; short rows are padded."""
     df = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(path)
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.strip() and not c.startswith("_c")])
+    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if c.strip() and c != f"_c{i}"])  # _c<position> stands for a blank header
 
 
 def ledger_pair(rows: DataFrame) -> DataFrame:
@@ -96,9 +96,25 @@ def read_bundle(spark: SparkSession, folder: str, names: Iterable[str], fmt: str
     return {n: spark.read.format(fmt).load(f"{folder}/{n}") for n in names}
 
 
-def run_manifest(matches: DataFrame) -> DataFrame:
-    """One row a pair: records and status, what a run's JSON manifest holds."""
-    return matches.groupBy("pair_id").agg(F.count("*").alias("records"), F.count_if(F.col("match_status") == "matched_strong").alias("strong"), F.lit("succeeded").alias("status"))
+def run_manifest(matches: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One row a pair: records, status and error, what a run's JSON manifest holds. failures: pair_id, error; a pair may have several."""
+    own = matches.groupBy("pair_id").agg(F.count("*").alias("records"), F.count_if(F.col("match_status") == "matched_strong").alias("strong"))
+    if failures is None:
+        return own.select("*", F.lit("succeeded").alias("status"), F.lit("").alias("error"))
+    why = failures.groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"))
+    out = own.join(why, "pair_id", "full_outer").na.fill(0, ["records", "strong"])
+    return out.select("pair_id", "records", "strong", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def pairs(files: DataFrame) -> DataFrame:
+    """The pairs that have input files, sorted."""
+    return files.select("pair_id").distinct().orderBy("pair_id")
+
+
+def detected_name(rows: DataFrame, fallback: str = "", first: int = 30) -> DataFrame:
+    """The first filled detected_ledger_name among the first rows of each ledger; else the fallback. rows: ..., sheet_row."""
+    named = (F.col("sheet_row") <= first) & ~C.is_blank(F.col("detected_ledger_name"))
+    return rows.groupBy("pair_id", "ledger_role").agg(F.coalesce(F.min_by(C.strip(F.col("detected_ledger_name")), F.when(named, F.col("sheet_row"))), F.lit(fallback)).alias("detected_name"))
 
 
 def cache_key(payload: F.Column) -> F.Column:
@@ -118,6 +134,12 @@ def fingerprints(headers: DataFrame) -> DataFrame:
     return headers.groupBy(key.alias("fingerprint")).agg(F.count("*").alias("usage_count"), F.max_by("confidence", "seen_at").alias("confidence"))
 
 
+def stored_layout(pages: DataFrame, store: DataFrame) -> DataFrame:
+    """pages (headers, signature) with the confidence and use of their stored layout; `known` tells whether there is one."""
+    key = F.concat(F.lower(F.array_join("headers", "|")), F.lit("::"), F.col("signature"))
+    return pages.withColumn("fingerprint", key).join(store, "fingerprint", "left").withColumn("known", F.col("usage_count").isNotNull())
+
+
 def latest(files: DataFrame, prefer: str | None = None) -> DataFrame:
     """The file to use in each pair: one whose name holds the preferred words, else the newest."""
     liked = F.lower("source_file_name").contains(prefer.lower()) if prefer else F.lit(False)

@@ -52,7 +52,7 @@ def test_references(spark):
 
 def test_names_and_reasons(spark):
     assert column(spark, ["GOOD LUCK", "a:b/c?*[]", "", "///", "x" * 40], C.sheet_name) == ["GOOD LUCK", "abc", "Ledger", "Ledger", "x" * 31]
-    assert column(spark, ["Good  Luck!", None], C.slug) == ["good_luck", ""]
+    assert column(spark, ["Good  Luck! - Apr 2025", "Acme-2025", "a_b", " - ", None], C.slug) == ["good_luck", "acme", "a_b", "reference_workbook", "reference_workbook"]
     assert column(spark, ["Low date confidence.; Other."], lambda c: C.without_reasons(c, "date")) == ["Other."]
     assert column(spark, [100.0, 85.0, 75.0, 50.0], C.confidence_band, "double") == ["high", "acceptable", "needs_review", "unmatched"]
     assert column(spark, ["yes", "TRUE", "1", "no", None], C.flag) == [True, True, True, False, False]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import folds, labels, layout, ledger
-from ledgerflow.plans import assist, quality, reconcile, reports, structure
+from ledgerflow.plans import assist, bundles, quality, reconcile, reports, structure
 from ledgerflow.sources import files
 
 from .test_matching import ledger as frame
@@ -52,7 +52,7 @@ def test_labels(spark):
 def test_reports(spark):
     rows = [row("p", "org_ledger", "o1", "A", 10.0), row("p", "party_ledger", "q1", "A", 10.0), row("p", "org_ledger", "o2", "", 7.0, "Unknown"), row("p", "org_ledger", "c", "", 3.0, "ClosingBalance", kind="ClosingBalance"), row("p", "party_ledger", "d", "", 5.0, "ClosingBalance", kind="ClosingBalance")]
     df = frame(spark, rows).withColumns({"review_flag": F.col("row_id") == "o2", "review_reason": F.lit(""), "confidence_score": F.lit(95.0), "source_file": F.lit("f"), "page_number": F.lit(1), "account": F.lit("")})
-    out = reconcile.reconcile(df)
+    out = bundles.reconciled(df)
     summary = {r["type_label"]: (r["org_amount"], r["party_amount"]) for r in out["Summary"].collect()}
     assert summary["Invoice"] == (10.0, 10.0) and summary["ClosingBalance"] == (3.0, 5.0) and summary["Payment"] == (0.0, 0.0)
     assert [r["serial"] for r in out["Summary"].orderBy("serial").collect()] == list(range(1, 11))
@@ -135,8 +135,9 @@ def test_structure(spark):
     r = profile.first()
     assert (r["header_row"], r["non_empty_rows"], r["non_empty_columns"], r["formula_count"]) == (2, 3, 2, 1)
     assert structure.headers(cells, profile).first()["headers"] == ["Date", "Debit"]
-    left = spark.createDataFrame([("A", 0, ["Date", "Debit"]), ("B", 1, [])], "sheet_name string, pos int, headers array<string>")
-    right = spark.createDataFrame([("X", 0, ["debit", "date"]), ("Y", 1, ["other"])], "sheet_name string, pos int, headers array<string>")
+    names = "pair_id string, sheet_name string, pos int, headers array<string>"
+    left = spark.createDataFrame([("p", "A", 0, ["Date", "Debit"]), ("p", "B", 1, []), ("q", "A", 0, ["other"])], names)
+    right = spark.createDataFrame([("p", "X", 0, ["debit", "date"]), ("p", "Y", 1, ["other"])], names)
     assert {r["sheet_name"]: (r["best_sheet"], r["header_similarity_score"]) for r in structure.header_similarity(left, right).collect()} == {"A": ("X", 100.0), "B": ("X", 0.0)}
     assert structure.special_sheets(spark.createDataFrame([("My Summary",), ("Ledger",)], "sheet_name string")).first()["has_summary_sheet"]
     assert {r["column"]: r["width"] for r in structure.column_widths(spark.createDataFrame([("abcdef",)], "a string")).collect()} == {"a": 8}
