@@ -103,7 +103,13 @@ def block_rows(docs: DataFrame, held, train, block_tokens: int) -> DataFrame:
             nonlocal vocab, rows, tokens, size, seq
             ids, h, t = zip(*rows, strict=True)
             hashes = np.fromiter(map(xxh64_intdigest, vocab), np.uint64, len(vocab))
-            payload = pack(np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8).view("u1"), np.array(h, "u1"), np.array(t, "u1"), np.array([len(x) for x in tokens], "<u4"), hashes, np.concatenate(tokens))
+            own = np.concatenate(tokens)
+            seen = np.bincount(own, minlength=len(hashes))
+            seen[:2] = len(own) + 1  # the end and the start keep their places; other words are numbered by frequency, which packs well
+            order = np.argsort(-seen, kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order))
+            payload = pack(np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8).view("u1"), np.array(h, "u1"), np.array(t, "u1"), np.array([len(x) for x in tokens], "<u4"), hashes[order], number[own])
             out = message([("T", part << 24 | seq, 0, payload)])
             vocab, rows, tokens, size, seq = _Local({END: 0, BOS: 1}), [], [], 0, seq + 1
             return out
@@ -363,6 +369,15 @@ class Model:
         return np.where(full, c / (c + 1.0), 1.0)
 
 
+def added(kind: str, bucket: int, table: pa.Table) -> list[tuple]:
+    """For a bucket: adds up the blocks' tallies of histories and sends each block the sums of its own."""
+    blocks, data, hashes, at = _asked(table)
+    sums = np.concatenate([x[1].reshape(2 * TOP + 2, -1) for x in data], axis=1)
+    known, inverse = np.unique(hashes, return_inverse=True)
+    total = np.stack([np.bincount(inverse, row, len(known)) for row in sums]).astype("<u8")
+    return [(kind, block, bucket, pack(*total[:, inverse[lo:hi]])) for block, lo, hi in zip(blocks, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 class View:
     """A block with all answers so far: counts by order, and the weights of its histories."""
 
@@ -392,16 +407,15 @@ class View:
         low = self.block.level(m).lower
         return () if m == 1 else (self.known[m - 1].c[low[at]], self.full[m - 1][low[at]])
 
-    def weigh(self, m: int, sums: np.ndarray | None = None) -> None:
-        """Weights of the histories of m tokens: answered, or the block's own."""
+    def weigh(self, m: int) -> None:
+        """Weights of the histories of m tokens, from the sums of all blocks or, where the block is alone, its own."""
         n = len(self.known[m].c)
         alpha, full = np.ones(n), np.zeros(n, bool)
         ask, own = self.histories(m)
-        if f"A{m}" in self.answers:
-            alpha[ask], full[ask] = self.answers[f"A{m}"]
-        if len(own):
-            sums = self.sums(m) if sums is None else sums
-            alpha[own], full[own] = self.model.weights(m, self.known[m].c[own], sums[:, own], *self.shorter(m, own))
+        answered = np.stack(self.answers[f"A{m}"]) if f"A{m}" in self.answers else np.empty((2 * TOP + 2, 0), np.uint64)
+        for at, sums in ((ask, answered), (own, self.sums(m)[:, own] if len(own) else None)):
+            if len(at):
+                alpha[at], full[at] = self.model.weights(m, self.known[m].c[at], sums, *self.shorter(m, at))
         self.alpha[m], self.full[m] = alpha, full
 
 
@@ -414,7 +428,7 @@ def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_25
     buckets = int(max(64, n_tokens // bucket_tokens))
     parts = int(max(32, n_tokens // block_tokens))
 
-    def settled(messages: DataFrame, model: Model | None, name: str) -> DataFrame:
+    def settled(messages: DataFrame, name: str) -> DataFrame:
         """Requests dealt to buckets and answered, as a table."""
 
         def run(key, table):
@@ -422,26 +436,16 @@ def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_25
             table = table.combine_chunks()
             if kind.startswith("S"):
                 return table
-            return pa.Table.from_batches([message(totals(kind, bucket, table) if kind.startswith("G") else weighed(int(kind[1:]), bucket, table, model))])
+            return pa.Table.from_batches([message((totals if kind.startswith("G") else added)(kind, bucket, table))])
 
         out = saved(messages.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, MESSAGE), name)
         _released(spark)
         return out
 
-    def weighed(m: int, bucket: int, table: pa.Table, model: Model) -> list[tuple]:
-        """Backoff weights of a bucket's histories of m tokens, from the sums of all blocks."""
-        ids, data, hashes, at = _asked(table)
-        c, sums = np.concatenate([x[1] for x in data]), np.concatenate([x[2].reshape(2 * TOP + 2, -1) for x in data], axis=1)
-        hist, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.stack([np.bincount(inverse, row, len(hist)) for row in sums])
-        shorter = [np.concatenate([x[i] for x in data])[first] for i in (3, 4)] if m > 1 else []
-        alpha, full = model.weights(m, c[first], total, *shorter)
-        return [(f"A{m}", block, bucket, pack(alpha[inverse[lo:hi]], full[inverse[lo:hi]].astype(np.uint8))) for block, lo, hi in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-    words = settled(blocks.mapInArrow(asked(1, buckets), MESSAGE), None, "words")
+    words = settled(blocks.mapInArrow(asked(1, buckets), MESSAGE), "words")
     total, types, *n = _stats(words, "SG1")
     model = Model(total, types, n)
-    pairs = settled(blocks.mapInArrow(asked(2, buckets), MESSAGE), None, "pairs")
+    pairs = settled(blocks.mapInArrow(asked(2, buckets), MESSAGE), "pairs")
     model.d[2] = discounts(_stats(pairs, "SG2")[2:])
     known = blocks.unionByName(words.where("kind = 'G1'")).unionByName(pairs.where("kind = 'G2'"))
 
@@ -452,14 +456,9 @@ def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_25
         """After the answers of order k: sums for the histories of k - 1 tokens, and the requests of order k + 1."""
 
         def run(key, table):
-            view, block = View(table, k, model), key[0].as_py()
-            for m in range(1, k - 1):
-                view.weigh(m)
-            m = k - 1
-            sums, (at, _) = view.sums(m), view.histories(m)
-            c = view.known[m].c[at].astype("<u8")
-            short = [x.astype("<u8") for x in view.shorter(m, at)]
-            out = requests(f"A{m}", block, buckets, view.block.level(m).hashes[at], c, sums[:, at], *short)
+            view, block, m = View(table, k, model), key[0].as_py(), k - 1
+            at, _ = view.histories(m)
+            out = requests(f"A{m}", block, buckets, view.block.level(m).hashes[at], view.sums(m)[:, at])
             if k < order:
                 own, n = view.block.level(k + 1), view.block.counts(k + 1)
                 alone, ask = unasked(own, k + 1, view.known[k])
@@ -470,7 +469,7 @@ def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_25
         return run
 
     for k in range(2, order + 1):
-        found = settled(grouped(step(k), MESSAGE), model, f"order{k}")
+        found = settled(grouped(step(k), MESSAGE), f"order{k}")
         if k < order:
             model.d[k + 1] = discounts(_stats(found, f"SG{k + 1}")[2:])
         known = known.unionByName(found.where("not startswith(kind, 'S')"))
