@@ -54,6 +54,20 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch between the JVM and its Python workers. Whole texts are long: with batches of the default 10,000 rows the
+#: buffers of an executor's many writer threads were seen to take over a gigabyte.
+ARROW_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Bounds the session's Arrow batches. The registered queries and the pipeline, which own their session, call this; operators never
+    change a session's settings."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
+
+
 #: Rows and bytes that a Python worker takes apart at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_documents
+from .common import read_documents, tuned
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -19,61 +19,61 @@ def tokenizer_path(name: str) -> str:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
-    return count_tokens(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
+    return count_tokens(read_documents(tuned(spark), sf_dir), tokenizer_path(BYTE_BPE))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
-    return identify(read_documents(spark, sf_dir))
+    return identify(read_documents(tuned(spark), sf_dir))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(read_documents(spark, sf_dir))
+    return near_duplicates(read_documents(tuned(spark), sf_dir))
 
 
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
-    return find(read_documents(spark, sf_dir))
+    return find(read_documents(tuned(spark), sf_dir))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(read_documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
+    return pack(read_documents(tuned(spark), sf_dir), tokenizer_path(BYTE_BPE))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(read_documents(tuned(spark), sf_dir), read_documents(tuned(spark), sf_dir, "benchmark")).drop("spans")
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_licences
 
-    return scan_licences(read_documents(spark, sf_dir)).drop("spans")
+    return scan_licences(read_documents(tuned(spark), sf_dir)).drop("spans")
 
 
 def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import encode_and_read_back
 
-    return encode_and_read_back(read_documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+    return encode_and_read_back(read_documents(tuned(spark), sf_dir), tokenizer_path(WORD_BPE))
 
 
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
-    return nearest(read_documents(spark, sf_dir, "embeddings"))
+    return nearest(read_documents(tuned(spark), sf_dir, "embeddings"))
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import score_folds
 
-    return score_folds(read_documents(spark, sf_dir))
+    return score_folds(read_documents(tuned(spark), sf_dir))
 
 
 def queries() -> dict:
