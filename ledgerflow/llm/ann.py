@@ -2,18 +2,18 @@
 
 Fit: the tree is built on a bounded sample (`sample` vectors, chosen by a hash of the id); every vector is
 indexed. Equal vectors are one entry, which keeps the k + 1 smallest ids: the nearest k of any query need no
-more. Entries are laid out by (leaf, block), where a leaf's blocks hold about `block_rows` entries, so no
-leaf is one task.
+more. Entries are laid out by (leaf, block), where a leaf's blocks hold about `block_rows` entries, and the queries of
+a leaf are dealt to sides of about `side_rows`, so neither a large leaf nor a much-visited one is one task.
 
 Search: a query walks the tree by a priority queue of branches in order of their centres' distance and visits leaves
 until the calibrated number is reached and they hold more than k ids. Calibration: for `calibration` queries
-the exact neighbours are found in one pass over all entries; the number of leaf visits is the smallest that
+the exact neighbours are found in one pass over all entries, folded in each task before anything is sent; the number of leaf visits is the smallest that
 reaches `recall` on them (plus a margin). Equal query vectors are searched once. Distances are computed in double
 precision on the original vectors.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do vectors
-whose length differs from the commonest one, or rows with a null id; of repeated ids with different vectors each is a
-candidate with its own distance; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result.
+whose length differs from the commonest one (between them no distance is defined), or rows with a null id; rows that repeat both id and
+vector are one candidate, and of repeated ids with different vectors each is a candidate with its own distance; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,8 +152,9 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """(qkey, best): the nearest k (score, id) of each query vector."""
-    return found.groupBy("qkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    """(qkey, best): the nearest k (score, id) of each query vector; first by salt, so that no query gathers the lists of all tasks at once."""
+    few = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
+    return found.groupBy("qkey", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).agg(few).groupBy("qkey").agg(few)
 
 
 _BEST = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
@@ -165,7 +166,7 @@ def _found(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> list[d
     return [dict(score=s, id=i) for s, i in best]
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 20_000, leaf_rows: int = 400, branching: int = 12, block_rows: int = 4096, calibration: int = 128, recall: float = 0.985, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 20_000, leaf_rows: int = 400, branching: int = 12, block_rows: int = 4096, side_rows: int = 4096, calibration: int = 128, recall: float = 0.985, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each vector whose id is divisible by `every` its k nearest others: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -223,8 +224,16 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = 20_
     counts = F.create_map(*[F.lit(x) for leaf, b in blocks.items() if b > 1 for x in (leaf, b)]) if any(b > 1 for b in blocks.values()) else None
     of = F.coalesce(counts[F.col("leaf")], F.lit(1)) if counts is not None else F.lit(1)
     index = placed.withColumn("block", F.pmod(F.hash("key"), of).cast("int"))
-    routed = asked.select("qkey").mapInArrow(walk, "leaf int, block int, qkey binary")
-    found = index.groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block")).applyInArrow(search, "qkey binary, best array<struct<score: double, id: long>>")
+    routed = saved(asked.select("qkey").mapInArrow(walk, "leaf int, block int, qkey binary"), "routed")
+    sides = {r["leaf"]: math.ceil(r["n"] / side_rows) for r in routed.where("block = 0").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > side_rows).collect()}  # one row a leaf at most
+    if sides:
+        n_sides = F.coalesce(F.create_map(*[F.lit(x) for pair in sides.items() for x in pair])[F.col("leaf")], F.lit(1))
+        index = index.withColumn("side", F.explode(F.sequence(F.lit(0), n_sides - 1)))
+        routed = routed.withColumn("side", F.pmod(F.hash("qkey"), n_sides).cast("int"))
+    else:
+        index, routed = index.withColumn("side", F.lit(0)), routed.withColumn("side", F.lit(0))
+    group = ["leaf", "block", "side"]
+    found = index.groupBy(*group).cogroup(routed.groupBy(*group)).applyInArrow(search, "qkey binary, best array<struct<score: double, id: long>>")
     best = saved(_merged(found, k + 1), "best")
     each = queries.select("id", "v").distinct().mapInArrow(_keyed, "id long, qkey binary").join(best, "qkey")
     others = each.select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("pos", "b"))
@@ -246,14 +255,15 @@ def exact(asks: list[bytes], placed: DataFrame, k: int) -> dict[bytes, list[tupl
 
     def run(batches):
         q = [np.frombuffer(a, np.float64) for a in asks]
+        best: list[list[tuple]] = [[] for _ in q]
         for batch in batches:
             x, ids, leaf = _vectors(batch), column(batch, "ids").to_pylist(), column(batch, "leaf").to_pylist()
-            best = []
-            for one in q:
+            for n, one in enumerate(q):
                 d, at = _top(one, x, k)
-                best.append([dict(score=s, id=i, leaf=p) for s, i, p in sorted((s, i, leaf[a]) for s, a in zip(d.tolist(), at.tolist(), strict=True) for i in ids[a])[:k]])
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64()), ("leaf", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(asks, pa.binary()), pa.array(best, kind)], names=["qkey", "best"])
+                best[n] = sorted(best[n] + [(s, i, leaf[a]) for s, a in zip(d.tolist(), at.tolist(), strict=True) for i in ids[a]])[:k]
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64()), ("leaf", pa.int32())]))
+        rows = [[dict(score=s, id=i, leaf=p) for s, i, p in own] for own in best]
+        yield pa.RecordBatch.from_arrays([pa.array(asks, pa.binary()), pa.array(rows, kind)], names=["qkey", "best"])
 
     found = placed.mapInArrow(run, "qkey binary, best array<struct<score: double, id: long, leaf: int>>")
     return {r["qkey"]: [(b["id"], b["leaf"]) for b in r["best"]] for r in _merged(found, k).collect()}
