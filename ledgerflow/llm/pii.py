@@ -11,8 +11,8 @@ the base spans; sanitise() generalises it, and removes it from `remove` on. Pair
 neighbour seen once is no evidence.
 
 Documents are never shuffled. The corpus is read four times: entity counts; (entity, term) pairs of the entities with
-support; document frequencies of the terms in question; and the final spans. Lists that go to the workers are cut into blocks of at most
-`BLOCK` entries of 8 bytes; with more than one block, counts are added up and spans merged by row.
+support; document frequencies of the terms in question; and the final spans. Entities, terms and pairs are dealt and joined by their 8-byte hashes;
+only the flagged pairs go to the workers, in blocks of at most `BLOCK` of them; with more than one block, spans are merged by row.
 
 Defined results: null and empty texts hold nothing; repeated rows are judged each and count as documents of
 their own; a null doc_id stays null; an empty table gives an empty result. A failing match is dropped, without retries inside it.
@@ -42,10 +42,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
-#: Entries (8 bytes each) that go to a worker at once.
+#: Flagged pairs (16 bytes each) that go to a worker at once.
 BLOCK = 1_000_000
-#: (entity, term) pairs a worker holds before it adds them up.
-PAIRS = 1 << 19
+#: Distinct terms that a worker counts before it sends them on.
+TERMS = 1 << 18
 SUMMARY = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -143,60 +143,25 @@ def entity_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n_e"))
 
 
-def _summed(e: list[np.ndarray], t: list[np.ndarray]) -> pa.RecordBatch:
-    e, t = np.concatenate(e), np.concatenate(t)
-    order = np.lexsort((t, e))
-    e, t = e[order], t[order]
-    first = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (t[1:] != t[:-1]))))
-    return pa.RecordBatch.from_arrays([pa.array(_signed(e[first])), pa.array(_signed(t[first])), pa.array(np.diff(first, append=len(e)))], names=["e", "t", "n"])
+def pair_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(e, t, n): documents with term t and entity e, for the entities asked for, over whole texts; one scan.
 
+    A document gives a row for each of its entities, with all its terms; these are joined by entity, then counted by pair."""
 
-def pair_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(e, t, n): documents with term t and entity e, for the entities asked for, over whole texts."""
-    sc = docs.sparkSession.sparkContext
+    def run(batches):
+        for batch in bounded(batches):
+            es, ts = [], []
+            for text in texts_of(batch):
+                own = entities(text, base_spans(text))
+                if len(own):
+                    words = np.array([term(w) for w in set(words_of(text)) if is_term(w)], np.uint64).view(np.int64)
+                    es += own.view(np.int64).tolist()
+                    ts += [words] * len(own)
+            if es:
+                yield pa.RecordBatch.from_arrays([pa.array(es, pa.int64()), pa.array(ts, pa.list_(pa.int64()))], names=["e", "ts"])
 
-    def counter(block):
-        def run(batches):
-            es, ts, size = [], [], 0
-            for batch in bounded(batches):
-                for text in texts_of(batch):
-                    spans = base_spans(text)
-                    own = entities(text, spans)
-                    own = own[_has(block.value, own)] if spans else own
-                    if not len(own):
-                        continue
-                    words = np.array([term(w) for w in set(words_of(text)) if is_term(w)], np.uint64)
-                    for e in own:
-                        es.append(np.full(len(words), e))
-                        ts.append(words)
-                        size += len(words)
-                        if size >= PAIRS:
-                            yield _summed(es, ts)
-                            es, ts, size = [], [], 0
-            if size:
-                yield _summed(es, ts)
-
-        return run
-
-    out = None
-    for block in _blocks(asked, "e"):
-        part = docs.mapInArrow(counter(sc.broadcast(block)), "e long, t long, n long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return asked.select("e", F.col("e").alias("t"), F.lit(0).cast("long").alias("n")).limit(0)
-    return out.groupBy("e", "t").agg(F.sum("n").alias("n"))
-
-
-def _blocks(df: DataFrame, name: str):
-    """The column's distinct longs as sorted arrays of at most BLOCK entries, made on the driver one at a time."""
-    own: list[int] = []
-    for r in df.select(name).distinct().toLocalIterator():
-        own.append(r[0])
-        if len(own) == BLOCK:
-            yield np.sort(np.array(own, np.int64).view(np.uint64))
-            own = []
-    if own:
-        yield np.sort(np.array(own, np.int64).view(np.uint64))
+    met = docs.mapInArrow(run, "e long, ts array<long>").join(asked.select("e"), "e")
+    return met.select("e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n"))
 
 
 def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -205,40 +170,27 @@ def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, df) of the terms asked for, over whole texts."""
-    sc = docs.sparkSession.sparkContext
+    """(t, df) of the terms asked for, over whole texts: one scan, in which a task adds up its own counts before they are dealt by term."""
+
+    def run(batches):
+        df: Counter = Counter()
 
-    def counter(block):
-        def run(batches):
-            places: dict[bytes, int] = {}  # of a word in the block, -1 without one
-            asked = {t: i for i, t in enumerate(block.value.tolist())}
-            df = np.zeros(len(asked), np.int64)
-            for batch in bounded(batches):
-                for text in texts_of(batch):
-                    found = []
-                    for w in set(words_of(text)):
-                        if len(w) >= 3:
-                            i = places.get(w)
-                            if i is None:
-                                if len(places) > 400_000:
-                                    places.clear()
-                                i = places[w] = asked.get(term(w), -1)
-                            if i >= 0:
-                                found.append(i)
-                    df[found] += 1
-            seen = np.flatnonzero(df)
-            if len(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(block.value[seen])), pa.array(df[seen])], names=["t", "df"])
-
-        return run
-
-    out = None
-    for block in _blocks(terms, "t"):
-        part = docs.mapInArrow(counter(sc.broadcast(block)), "t long, df long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return terms.select("t", F.lit(0).cast("long").alias("df")).limit(0)
-    return out.groupBy("t").agg(F.sum("df").alias("df"))
+        def flush():
+            t = np.array([term(w) for w in df], np.uint64)
+            out = pa.RecordBatch.from_arrays([pa.array(_signed(t)), pa.array(list(df.values()), pa.int64())], names=["t", "df"])
+            df.clear()
+            return out
+
+        for batch in bounded(batches):
+            for text in texts_of(batch):
+                df.update({w for w in words_of(text) if len(w) >= 3})
+                if len(df) >= TERMS:
+                    yield flush()
+        if df:
+            yield flush()
+
+    asked = terms.select("t").distinct()
+    return docs.mapInArrow(run, "t long, df long").join(asked, "t", "left_semi").groupBy("t").agg(F.sum("df").alias("df"))
 
 
 def disclosures(docs: DataFrame, support: int = 3, generalise: float = 0.9) -> DataFrame:
