@@ -419,7 +419,7 @@ class View:
         self.alpha[m], self.full[m] = alpha, full
 
 
-def score(docs: DataFrame, held, train, order: int = 3, block_tokens: int = 1_250_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held, train, order: int = 2, block_tokens: int = 1_250_000, bucket_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT for every document. held, train: boolean columns over doc_id: held out, and learned from. order: tokens of the longest n-gram, 2 or more."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
