@@ -114,3 +114,122 @@ def run_totals(manifest: DataFrame) -> DataFrame:
 def lowest_page(pages: DataFrame) -> DataFrame:
     """The least certain page of each ledger; the first of equals."""
     return pages.groupBy("pair_id", "ledger_role").agg(F.min_by("page_number", F.struct("confidence_score", "page_number")).alias("page_number"), F.min("confidence_score").alias("confidence_score"))
+
+
+#: Fields of a standardised row, of a balance, and of a whole reply, with their types.
+ROW = {
+    "source_file": "string", "source_page": "int", "source_row_number": "int", "ledger_role": "string", "party_name": "string", "ledger_period_start": "string", "ledger_period_end": "string", "transaction_date": "string", "raw_type": "string",
+    "canonical_type": "string", "type_match_method": "string", "type_match_score": "double", "voucher_or_bill_no": "string", "reference_no": "string", "account_or_particulars": "string", "narration": "string", "debit": "double", "credit": "double",
+    "net_amount": "double", "balance": "double", "balance_side": "string", "extraction_confidence": "double", "review_required": "boolean", "review_reason": "string", "raw_text": "string", "extraction_method": "string",
+}
+BALANCE = {
+    "balance_kind": "string", "ledger_role": "string", "source_file_name": "string", "amount": "double", "balance_side": "string", "date_or_period": "string", "source_page": "int", "source_text": "string", "found_location": "string", "confidence": "double",
+    "review_required": "boolean", "review_reason": "string",
+}
+REPLY = {"pair_id": "string", "detected_org_name": "string", "detected_party_name": "string", "detected_account_name": "string", "detected_period_start": "string", "detected_period_end": "string"}
+LISTS = {"opening_closing_balances": BALANCE, "org_ledger_rows": ROW, "party_ledger_rows": ROW, "uncertain_fields": "string", "extraction_warnings": "string"}
+REQUIRED = {"ledger_role", "canonical_type", "balance_kind", "pair_id"}
+BALANCE_KINDS = ("OpeningBalance", "ClosingBalance")
+_KINDS = {"string": str, "int": int, "double": (int, float), "boolean": bool}
+ASKED = "pair_id string, chunk_no int, chunk_id string, source_ledger string, page_range string, input_char_count int, ai_status string, validation_status string, error_message string, reply string"
+
+
+def reply_problem(text: str, labels) -> str:
+    """What is wrong with a reply: its form, unknown or missing fields, types, labels. Empty if it may be used."""
+    import json
+
+    def of(value, fields, where):
+        if not isinstance(value, dict):
+            return f"{where} is not an object"
+        for k, v in value.items():
+            if k not in fields:
+                return f"{where} has an unknown field {k}"
+            if v is not None and (not isinstance(v, _KINDS[fields[k]]) or (isinstance(v, bool) and fields[k] != "boolean")):
+                return f"{where}.{k} is not a {fields[k]}"
+        for k in sorted(REQUIRED & set(fields)):
+            if value.get(k) is None:
+                return f"{where} lacks {k}"
+        if "canonical_type" in fields and value["canonical_type"] not in labels:
+            return f"{where}.canonical_type '{value['canonical_type']}' is not an approved label"
+        if "balance_kind" in fields and value["balance_kind"] not in BALANCE_KINDS:
+            return f"{where}.balance_kind is not an approved kind"
+        return ""
+
+    if not (text or "").strip():
+        return "empty output"
+    try:
+        data = json.loads(text)
+    except ValueError as e:
+        return f"not valid JSON: {e}"
+    if not isinstance(data, dict):
+        return "not an object"
+    problem = of({k: v for k, v in data.items() if k not in LISTS}, REPLY, "reply")
+    for name, fields in LISTS.items():
+        for i, item in enumerate(own if isinstance(own := data.get(name, []), list) else [None]):
+            if problem:
+                return problem
+            where = f"{name}[{i}]"
+            problem = of(item, fields, where) if isinstance(fields, dict) else "" if isinstance(item, str) else f"{where} is not a string"
+    return problem
+
+
+def ask(chunks: DataFrame, instructions: str, complete, max_input_chars: int, labels, dry_run: bool = False) -> DataFrame:
+    """ASKED: one request a chunk through complete(text) -> reply, in the order of each pair's chunks. The first bad chunk ends its pair; later ones stay pending.
+
+    Pairs do not wait for each other. The request is the instructions, the chunk's place and its text."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in ASKED.split(", ")]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk_no")
+        out, failed = [], False
+        for r in rows.itertuples():
+            text = f"{instructions}\npair_id: {r.pair_id}\nchunk: {r.chunk_id} of {len(rows)}\nledgers: {r.source_ledger}\npages: {r.page_range}\n\n{r.context_text}"
+            own = [r.pair_id, r.chunk_no, r.chunk_id, r.source_ledger, r.page_range, len(text)]
+            if len(text) > max_input_chars:
+                out.append([*own, "failed", "skipped", "request is over the character budget", None])
+                failed = True
+            elif failed or dry_run:
+                out.append([*own, "planned" if dry_run else "pending", "skipped" if dry_run else "pending", "", None])
+            else:
+                try:
+                    reply = complete(text)
+                except Exception as e:  # any fault of the transport is this chunk's audit row
+                    out.append([*own, "failed", "skipped", f"{type(e).__name__}: {e}", None])
+                    failed = True
+                    continue
+                problem = reply_problem(reply, labels)
+                out.append([*own, "success", "fail" if problem else "pass", problem, reply])
+                failed = bool(problem)
+        return pd.DataFrame(out, columns=names)
+
+    return chunks.groupBy("pair_id").applyInPandas(fold, ASKED)
+
+
+def run(units: DataFrame, instructions: str, complete, max_input_chars: int, labels, dry_run: bool = False) -> dict[str, DataFrame]:
+    """Context units to merged results: chunk_audit, log, rows, balances, names. Pairs with a bad chunk give no rows. units: of context_units()."""
+    from ..sources.durable import durable
+    from ..sources.files import distinct_balances, merged_results
+
+    room = max_input_chars - len(instructions) - 400
+    if room < 500:
+        raise ValueError("the instructions leave no room for context")
+    allowed = [*labels, "Unknown"]
+    asked = durable(ask(plan_chunks(units, room), instructions, complete, max_input_chars, allowed, dry_run))
+    good = asked.groupBy("pair_id").agg(F.bool_and(F.col("validation_status") == "pass").alias("ok")).where("ok").select("pair_id")
+    replies = asked.join(good, "pair_id", "left_semi")
+    one = lambda fields: ", ".join(f"{k}: {t}" for k, t in fields.items())
+    schema = ", ".join([*[f"{k} {t}" for k, t in REPLY.items()], *[f"{k} array<{'struct<' + one(f) + '>' if isinstance(f, dict) else f}>" for k, f in LISTS.items()]])
+    data = replies.select(F.col("pair_id").alias("pair"), "chunk_no", "chunk_id", F.length("reply").alias("chars"), F.from_json("reply", schema).alias("d"))
+    listed = lambda name: F.coalesce(F.col(f"d.{name}"), F.array())
+    rows = data.select(F.col("pair").alias("pair_id"), "chunk_no", F.posexplode(F.concat(listed("org_ledger_rows"), listed("party_ledger_rows"))).alias("row_no", "r")).select("pair_id", "chunk_no", "row_no", "r.*")
+    rows = rows.withColumns({"row_no": F.col("chunk_no") * 1_000_000 + F.col("row_no"), "review_required": F.coalesce("review_required", F.lit(False))})
+    balances = data.select(F.col("pair").alias("pair_id"), "chunk_no", F.explode(listed("opening_closing_balances")).alias("b")).select("pair_id", "chunk_no", "b.*").withColumn("review_required", F.coalesce("review_required", F.lit(False)))
+    merged = merged_results(data.select(F.col("pair").alias("pair_id"), "chunk_no", F.coalesce("d.detected_org_name", "d.detected_party_name").alias("detected_name"), listed("extraction_warnings").alias("warnings")))
+    say = lambda stage, detail: F.struct(F.lit(stage).alias("stage"), detail.alias("detail"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    prompts = asked.select("pair_id", "chunk_no", say("prompt", text(F.col("chunk_id"), ": total_chars=", F.col("input_char_count").cast("string"))).alias("x"))
+    parsed = data.select(F.col("pair").alias("pair_id"), "chunk_no", F.explode(F.array(say("response", text(F.col("chunk_id"), ": response_chars=", F.col("chars").cast("string"))), say("parsed", text(F.col("chunk_id"), ": org_rows=", F.size(listed("org_ledger_rows")).cast("string"), ", party_rows=", F.size(listed("party_ledger_rows")).cast("string"), ", balances=", F.size(listed("opening_closing_balances")).cast("string"))))).alias("x"))
+    log = prompts.unionByName(parsed).select("pair_id", "chunk_no", "x.*")
+    return {"chunk_audit": asked.drop("reply", "chunk_no"), "log": log, "rows": rows, "balances": distinct_balances(balances).drop("chunk_no"), "names": merged}
