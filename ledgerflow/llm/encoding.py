@@ -30,7 +30,7 @@ TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Separators that the libraries' white space and Python's judge differently.
 ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond this many bytes, estimated with OVERHEAD bytes an entry.
-CACHE_BYTES, OVERHEAD, SHORT = 110 << 20, 200, 7
+CACHE_BYTES, OVERHEAD, SHORT = 160 << 20, 200, 7
 
 
 def cut_at_spaces(text: str) -> list[str]:
