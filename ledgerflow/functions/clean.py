@@ -138,17 +138,21 @@ def is_missing_reference(c: Column) -> Column:
     return F.lower(strip(c)).isin(*MISSING_REFERENCE_TOKENS)
 
 
-#: Markers of special rows, in order of precedence: (pattern, kind, reason).
+#: Markers of special rows, in order of precedence, and the reasons that go with some kinds: (pattern, kind, reason).
 KIND_MARKERS = (
-    (r"\b(opening\s+(bal\.?|balance)|balance\s+brought\s+forward|b/?f)\b", OPENING, ""),
-    (r"\b(closing\s+(bal\.?|balance)|balance\s+carried\s+forward|c/?f)\b", CLOSING, ""),
-    (r"\b(debit|credit|dr\.?|cr\.?)\s+balance\b", CLOSING, "Dr/Cr balance line treated as closing balance."),
-    (r"\bbalance\s*(c/?[fod]|b/?[fod])\b", BALANCE_FORWARD, ""),
-    (r"\bcarried\s+(over|forward|down)\b|\bc\s*/\s*[fod]\b|\bc\.f\.", CARRIED, ""),
-    (r"\bbrought\s+(over|forward|down)\b|\bb\s*/\s*[fod]\b|\bb\.f\.", BROUGHT, ""),
+    (r"\b(?:opening\s+(?:bal\.?|balance)|balance\s+brought\s+forward|b/?f)\b", OPENING, ""),
+    (r"\b(?:closing\s+(?:bal\.?|balance)|balance\s+carried\s+forward|c/?f)\b", CLOSING, ""),
+    (r"\b(?:debit|credit|dr\.?|cr\.?)\s+balance\b", CLOSING, "Dr/Cr balance line treated as closing balance."),
+    (r"\bbalance\s*(?:c/?[fod]|b/?[fod])\b", BALANCE_FORWARD, ""),
+    (r"(?:\bcarried\s+(?:over|forward|down)\b|\bc\s*/\s*[fod]\b|\bc\.f\.)", CARRIED, ""),
+    (r"(?:\bbrought\s+(?:over|forward|down)\b|\bb\s*/\s*[fod]\b|\bb\.f\.)", BROUGHT, ""),
     (r"\bgrand\s+totals?\b", GRAND_TOTAL, ""),
-    (r"\b(totals?|(debit|credit)\s+totals?|sub\s*-?\s*totals?)\b", TOTAL, ""),
+    (r"\b(?:totals?|(?:debit|credit)\s+totals?|sub\s*-?\s*totals?)\b", TOTAL, ""),
 )
+UNTITLED_TOTAL = "Untitled amount-only row treated as subtotal/total."
+NO_MARKER = "Transaction lacks a date or type marker."
+EMPTY_ROW = "Empty row."
+UNRECOGNISED = "Row has no amount and no recognised marker."
 
 
 def record_kind(raw: Column, has_amount: Column, has_date: Column, has_type: Column, is_header: Column | None = None) -> Column:
@@ -160,10 +164,10 @@ def record_kind(raw: Column, has_amount: Column, has_date: Column, has_type: Col
     for pattern, name, why in KIND_MARKERS:
         out = out.when(low.rlike(pattern), kind(name, why))
     bare = F.regexp_replace(text, "[^A-Za-z]", "") == ""
-    out = out.when(has_amount & ~has_date & ~has_type & bare, kind(TOTAL, "Untitled amount-only row treated as subtotal/total."))
+    out = out.when(has_amount & ~has_date & ~has_type & bare, kind(TOTAL, UNTITLED_TOTAL))
     out = out.when(has_amount & (has_date | has_type), kind(TRANSACTION))
-    out = out.when(has_amount, kind(TRANSACTION, "Transaction lacks a date or type marker."))
-    return out.when(text == "", kind(UNKNOWN, "Empty row.")).otherwise(kind(UNKNOWN, "Row has no amount and no recognised marker."))
+    out = out.when(has_amount, kind(TRANSACTION, NO_MARKER))
+    return out.when(text == "", kind(UNKNOWN, EMPTY_ROW)).otherwise(kind(UNKNOWN, UNRECOGNISED))
 
 
 def flag(c: Column) -> Column:

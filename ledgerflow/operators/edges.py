@@ -17,6 +17,7 @@ AMOUNT_TOLERANCE = 0.01
 DATE_TOLERANCE_DAYS = 7
 FUZZY_MIN = 0.85
 KEPT = ("row_id", "nref", "missing", "match_date", "type_label", "net_org", "source_row_number")
+SHOWN = ("reference", "raw_type", "particulars")
 #: Types that mirror each other in the two books.
 MIRROR = {"Receipt": "Payment", "Payment": "Receipt", "CreditNote": "DebitNote", "DebitNote": "CreditNote"}
 
@@ -33,15 +34,24 @@ def types_compatible(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ((x == y) | mirrored)
 
 
-def sides(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(org, party) transactions as o_... and p_... columns; of equal row ids in a ledger the last row counts."""
+def prepared(ledger: DataFrame) -> DataFrame:
+    """Transactions of both ledgers with the columns that matching and its records need; of equal row ids in a ledger the last row counts."""
     r = recon_rows(transactions(ledger))
     w = Window.partitionBy("pair_id", "ledger_role", "row_id").orderBy(F.desc("source_row_number"), F.desc("raw_text"))
     r = r.withColumn("__n", F.row_number().over(w)).where("__n = 1").withColumn("source_row_number", F.coalesce("source_row_number", F.lit(0)))
-    pick = lambda role, p: r.where(F.col("ledger_role") == role).select("pair_id", *[F.col(c).alias(f"{p}_{c}") for c in KEPT])
+    return r.select("pair_id", "ledger_role", *KEPT, *SHOWN)
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(org, party) of prepared rows as o_... and p_... columns."""
+    pick = lambda role, p: rows.where(F.col("ledger_role") == role).select("pair_id", *[F.col(c).alias(f"{p}_{c}") for c in KEPT])
     return pick(ORG, "o"), pick(PARTY, "p")
 
 
+def sides(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split(prepared(ledger))
+
+
 def with_deltas(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"amount_gap": F.abs(F.abs("o_net_org") - F.abs("p_net_org")), "days": F.abs(F.datediff("o_match_date", "p_match_date"))})
 

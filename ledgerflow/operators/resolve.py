@@ -18,7 +18,6 @@ from ..functions import clean as C
 from ..functions.similarity import sequence_ratio
 from ..sources.durable import durable
 from . import edges as E
-from .ledger import recon_rows, transactions
 
 STRONG, REVIEW, UNMATCHED_ORG, UNMATCHED_PARTY = "matched_strong", "candidate_review", "unmatched_org", "unmatched_party"
 #: Reasons of review rows.
@@ -104,8 +103,12 @@ def containment_stage(found: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE) -
 
 def picks(ledger: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int = E.DATE_TOLERANCE_DAYS) -> DataFrame:
     """pair_id, o_row_id, p_row_id, match_status, match_rule, match_confidence, review_reason, pass: one row a record."""
-    org, party = E.sides(ledger)
-    org, party = durable(org), durable(party)
+    return picks_of(durable(E.prepared(ledger)), tolerance, days)
+
+
+def picks_of(rows: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int = E.DATE_TOLERANCE_DAYS) -> DataFrame:
+    """picks() of prepared rows, which are read several times."""
+    org, party = E.split(rows)
     row = lambda df, status, rule, conf, reason, n: df.select("pair_id", "o_row_id", "p_row_id", F.lit(status).alias("match_status"), (rule if not isinstance(rule, str) else F.lit(rule)).alias("match_rule"), (conf if not isinstance(conf, float) else F.lit(conf)).alias("match_confidence"), (reason if not isinstance(reason, str) else F.lit(reason)).alias("review_reason"), F.lit(n).alias("pass"))
     exact = durable(exact_stage(org, party, tolerance))
     sure = exact.where(~F.col("many"))
@@ -138,10 +141,8 @@ def picks(ledger: DataFrame, tolerance: float = E.AMOUNT_TOLERANCE, days: int =
 
 def master_match_table(ledger: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The 26 columns of a match record, numbered in order of emission within each pair."""
-    found = durable(picks(ledger) if found is None else found)
-    r = recon_rows(transactions(ledger))
-    w = Window.partitionBy("pair_id", "ledger_role", "row_id").orderBy(F.desc("source_row_number"), F.desc("raw_text"))
-    r = r.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    r = durable(E.prepared(ledger))
+    found = durable(picks_of(r) if found is None else found)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def side(role, p):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions.text import explode_chunks, explode_lines, padded_cells
 from ..operators import ledger as L
+from ..operators.labels import TYPE_LABELS
 from ..operators.layout import page_analysis
 from ..operators.resolve import master_match_table, match_stats
 from ..sources.durable import durable
@@ -86,7 +87,7 @@ def reconciled(ledger: DataFrame, labels=None, failures: DataFrame | None = None
         "Executive_Summary": reports.executive_snapshot(ledger, matches, validation, queue), "Org_Ledger": side(ledger, L.ORG), "Working_Org_Ledger": side(working, L.ORG), "Party_Ledger": side(ledger, L.PARTY), "Working_Party_Ledger": side(working, L.PARTY),
         "Summary": summary, "Summary_Layout": reports.summary_layout(ledger, matches, validation, audit, labels), "Status_Totals": reports.status_totals(matches), "Master_Match_Table": matches, "Working_Ledger": working,
         "Annexure_Metrics": reports.annexure_metrics(ledger, matches, labels), "Annexure_Org": sections["org"], "Annexure_Party": sections["party"], "Annexure_Matches": sections["matches"],
-        "Unknown_Labels": reports.unknown_groups(ledger), "Unknown_Needs_Review": reports.unknown_rows(ledger), "Review_Queue": queue, "Validation_Report": validation, "Formula_Audit": audit, "Difference_Audit": quality.recomputed_differences(matches), "Stats": match_stats(matches),
+        "Unknown_Labels": reports.unknown_in_order(reports.unknown_groups(ledger)), "Unknown_Needs_Review": reports.unknown_rows(ledger), "Review_Queue": reports.in_order(queue), "Validation_Report": validation, "Formula_Audit": audit, "Difference_Audit": quality.recomputed_differences(matches), "Stats": match_stats(matches),
         "Run_Manifest": run_manifest(matches, bad),
     }
 
@@ -107,3 +108,33 @@ def publish(bundle: dict[str, DataFrame], folder: str, central: str | None = Non
         spark = next(iter(bundle.values())).sparkSession
         read = spark.read.option("header", "true") if fmt == "csv" else spark.read
         write_bundle({name: read.format(fmt).load(f"{folder}/{name}") for name in bundle}, central, fmt)
+
+
+#: Frames that a whole reconciled set has.
+REQUIRED = ("Executive_Summary", "Summary", "Master_Match_Table", "Review_Queue", "Validation_Report", "Formula_Audit")
+
+
+def inspect(bundle: dict[str, DataFrame], ledger: DataFrame, labels=None) -> DataFrame:
+    """Counters of a reconciled set, written or not: (metric, value). What must not be there counts as zero."""
+    matches, spark = bundle["Master_Match_Table"], ledger.sparkSession
+    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    status = F.col("match_status")
+    unsafe = (status == "matched_strong") & (C.is_missing_reference(F.col("org_normalized_reference")) | C.is_missing_reference(F.col("party_normalized_reference")))
+    counted = matches.agg(
+        F.count("*").alias("master_data_rows"), n(status == "matched_strong").alias("matched_strong"), n(status == "candidate_review").alias("candidate_review"), n(status.startswith("unmatched")).alias("unmatched"), n(unsafe).alias("strong_matches_missing_reference"),
+        n(~C.is_blank(F.col("reviewer_comment")) | ~C.is_blank(F.col("manual_status"))).alias("master_manual_fields_nonblank"), n(C.is_blank(F.col("org_row_id")) & C.is_blank(F.col("party_row_id"))).alias("untraceable_rows"),
+    )
+    rows = ledger.agg(n((F.col("record_kind") == C.TRANSACTION) & (F.col("type_label") == "Unknown")).alias("transaction_rows_type_unknown"), n(F.col("record_kind").isin(*L.SPECIAL_KINDS)).alias("special_rows"))
+    manual = n(F.greatest(*[~C.is_blank(F.col(c)) for c in reports.MANUAL]))
+    queue = bundle["Review_Queue"].agg(F.count("*").alias("review_queue_count"), manual.alias("review_queue_manual_fields_nonblank"))
+    checks = bundle["Validation_Report"].agg(n(F.col("status") == "FAIL").alias("validation_fail_count"))
+    audit = bundle["Formula_Audit"].agg(F.count("*").alias("formula_audit_fail_count"))
+    drift = bundle["Difference_Audit"].agg(F.count("*").alias("amount_difference_drift")) if "Difference_Audit" in bundle else None
+    names = bundle["Annexure_Metrics"].select("type_label").distinct().agg(F.count("*").alias("annexure_count")) if "Annexure_Metrics" in bundle else None
+    fixed = spark.createDataFrame([(len([s for s in REQUIRED if s not in bundle]), len(labels or TYPE_LABELS))], "missing_required_sheets long, configured_label_count long")
+    out = None
+    for part in (counted, rows, queue, checks, audit, drift, names, fixed):
+        if part is not None:
+            own = part.unpivot([], list(part.columns), "metric", "value")
+            out = own if out is None else out.unionByName(own)
+    return out

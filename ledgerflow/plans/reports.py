@@ -184,6 +184,16 @@ def unknown_groups(ledger: DataFrame) -> DataFrame:
     )
 
 
+def in_order(queue: DataFrame) -> DataFrame:
+    """The review queue sorted for people."""
+    return queue.orderBy("pair_id", "priority_rank", "source_area", "source_row_id")
+
+
+def unknown_in_order(groups: DataFrame) -> DataFrame:
+    """Unknown labels, those with most rows first."""
+    return groups.orderBy("pair_id", F.desc("affected_row_count"), "raw_label")
+
+
 def period_label(ledger: DataFrame) -> DataFrame:
     """First and last month as Apr'25 to Mar'26."""
     r = recon_rows(transactions(ledger)).groupBy("pair_id").agg(F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"))

@@ -1,15 +1,29 @@
-"""Lineage cuts in the folder that the cluster names in spark.checkpoint.dir."""
+"""Lineage cuts: tables written to the folder that the cluster names in spark.checkpoint.dir and read again.
+
+A written table is computed once (a checkpoint computes its plan twice), keeps its columns apart, and has a size that the planner knows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
 
-from pyspark.sql import DataFrame
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A temporary one stands in only in local mode, where the session names none (tests)."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerflow-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint. A temporary folder stands in only where the session names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerflow-"))
-    return df.checkpoint()
+    """df as a written table; survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

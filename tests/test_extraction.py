@@ -123,6 +123,18 @@ def test_audits(spark):
     assert quality.rows_dropped(small_ledger(spark), small_ledger(spark)).count() == 0
 
 
+def test_inspection(spark):
+    ledger = small_ledger(spark)
+    out = bundles.reconciled(ledger)
+    got = {r["metric"]: r["value"] for r in bundles.inspect(out, ledger.where("pair_id = 'p'")).collect()}
+    assert (got["master_data_rows"], got["matched_strong"], got["candidate_review"], got["unmatched"]) == (2, 1, 0, 1)
+    assert got["annexure_count"] == got["configured_label_count"] == 10 and got["transaction_rows_type_unknown"] == 1 and got["special_rows"] == 2 and got["review_queue_count"] == 3
+    assert all(got[k] == 0 for k in ("missing_required_sheets", "strong_matches_missing_reference", "validation_fail_count", "formula_audit_fail_count", "master_manual_fields_nonblank", "review_queue_manual_fields_nonblank", "amount_difference_drift", "untraceable_rows"))
+    del out["Annexure_Metrics"], out["Difference_Audit"]
+    short = {r["metric"]: r["value"] for r in bundles.inspect({k: v for k, v in out.items()}, ledger, ["A"]).collect()}
+    assert short["configured_label_count"] == 1 and "annexure_count" not in short
+
+
 def test_formalized_set(spark):
     from ledgerflow.plans import reconcile
 
