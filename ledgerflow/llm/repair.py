@@ -44,11 +44,10 @@ DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 SLOTS = 1 << 20
 
 
-def _slots(symbols: np.ndarray, last: np.ndarray, at=slice(None)) -> np.ndarray:
-    """The slot of the pair that begins at each position; SLOTS where none begins."""
-    follower = np.concatenate((symbols[1:], symbols[:1])) if isinstance(at, slice) else symbols[at + 1]
-    out = ((symbols[at] * np.uint32(0x9E3779B1) + follower * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int32)
-    out[last[at]] = SLOTS
+def _slots(left: np.ndarray, right: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The slot of each pair; SLOTS where the left symbol ends a document."""
+    out = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
+    out[last] = SLOTS
     return out
 
 
@@ -58,14 +57,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
     A pair's count is that of its places from the left that do not overlap. Pairs are replaced from the most frequent
     down (ties: the smaller pair), with counts updated after each step, until none is left with `min_count` places. A step takes the
     one most frequent pair (ease None: plain Re-Pair), or all pairs at or above the level, which starts at `ease`
-    times the highest count and falls by that factor; where such pairs overlap, the more frequent one has the place."""
+    times the highest count and falls by that factor; where such pairs overlap, the more frequent one has the place.
+    Symbols are a linked list, closed up when a third of them is gone."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)  # of a document: no pair crosses it
     last[np.cumsum(lengths) - 1] = True
-    slot = _slots(symbols, last)
+    slot = _slots(symbols, np.roll(symbols, -1), last)
     seen = np.bincount(slot, minlength=SLOTS + 1).astype(np.int32)
     rules: list[np.ndarray] = []
     made, level = 0, np.iinfo(np.int64).max
+
+    def linked():
+        n = len(symbols)
+        return np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, bool), np.zeros(n, bool)
+
+    after, before, dead, mark = linked()
+    gone = 0
     while True:
         seen[SLOTS] = 0
         top = int(seen.max())
@@ -73,10 +80,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
             break
         level = max(min_count, min(int(level * ease), math.ceil(top * ease))) if ease else top
         while True:
-            at = np.flatnonzero((seen >= level)[slot])
-            pairs, which = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True)
+            at = np.flatnonzero((seen >= level).take(slot, mode="clip"))
+            pairs, which = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[after[at]], return_inverse=True)
             again = np.zeros(len(at), bool)
-            again[1:] = (at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])
+            again[1:] = (at[1:] == after[at[:-1]]) & (which[1:] == which[:-1])
             run = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
             free = (np.arange(len(at)) - run) % 2 == 0
             counts = np.bincount(which[free], minlength=len(pairs))
@@ -91,7 +98,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
         chosen = counts[which] >= level if ease else rank[which] == 0
         at, r, again, free = at[chosen], rank[which[chosen]], again[chosen], free[chosen]
         head = np.flatnonzero(~again)  # of each run of one pair
-        touch = at[head[1:]] == at[head[1:] - 1] + 1
+        touch = at[head[1:]] == after[at[head[1:] - 1]]
         wins = np.ones(len(head), bool)
         wins[1:] &= ~touch | (r[head[1:]] < r[head[:-1]])
         wins[:-1] &= ~touch | (r[head[:-1]] < r[head[1:]])
@@ -103,30 +110,35 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
         name[good] = base + made + np.arange(len(good))
         own = name[r] > 0
         at, r = at[own], r[own]
-        gone = np.zeros(len(symbols), bool)  # positions whose pair changes
-        gone[at] = gone[at + 1] = True
-        gone[np.maximum(at, 1) - 1] = True
+        second, prior = after[at], before[at]
+        mark[at] = mark[second] = mark[prior[prior >= 0]] = True  # positions whose pair changes
         few = len(at) < len(symbols) // 24  # then counts are updated in place, else made anew
         if few:
-            np.subtract.at(seen, slot[gone], 1)
+            np.subtract.at(seen, slot[np.flatnonzero(mark)], 1)
         symbols[at] = name[r]
-        last[at] |= last[at + 1]
-        gone[at + 1] = False
-        alive = np.ones(len(symbols), bool)
-        alive[at + 1] = False
-        symbols, last, slot, fresh = symbols[alive], last[alive], slot[alive], np.flatnonzero(gone[alive])
-        if len(fresh) and fresh[-1] == len(symbols) - 1:  # the last position begins no pair
-            slot[-1], fresh = SLOTS, fresh[:-1]
-        slot[fresh] = _slots(symbols, last, fresh)
+        last[at] |= last[second]
+        then = after[second]
+        after[at] = then
+        inside = then < len(symbols)
+        before[then[inside]] = at[inside]
+        slot[second], dead[second], mark[second] = SLOTS, True, False
+        fresh = np.flatnonzero(mark)
+        mark[fresh] = False
+        slot[fresh] = _slots(symbols[fresh], symbols[np.minimum(after[fresh], len(symbols) - 1)], last[fresh])
         if few:
             np.add.at(seen, slot[fresh], 1)
         else:
             seen = np.bincount(slot, minlength=SLOTS + 1).astype(np.int32)
+        gone += len(at)
+        if 3 * gone > len(symbols):
+            symbols, last, slot = symbols[~dead], last[~dead], slot[~dead]
+            after, before, dead, mark = linked()
+            gone = 0
         own = pairs[order[good]]
         rules.append(np.stack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
         made += len(good)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    return symbols.astype(np.int64), np.diff(np.flatnonzero(last), prepend=-1), table
+    return symbols[~dead].astype(np.int64), np.diff(np.flatnonzero(last[~dead]), prepend=-1), table
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -264,7 +276,9 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards:
         if ids:
             yield flush()
 
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(out)
+    # the tie tells rows of one id apart, so that an id with very many rows is more than one shard
+    tied = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    tied.select("doc_id", "text").mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(out)
 
 
 def shard_starts(spark: SparkSession, folder: str) -> dict[int, int]:
