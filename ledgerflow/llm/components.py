@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 The steps reach a fixed point, in which every node points at the smallest of its component, in O(log^2 n) rounds (proved
-there), so the loop needs no bound. Every step is a grouped minimum (partial aggregation, so a node with very many neighbours is no single task)
-and a join back; rounds are written to the shared folder, and only one number a round comes to the driver.
+there), so the loop needs no bound. Every step is a grouped minimum (partial aggregation) and a join back of one row a node, whose other side the adaptive planner
+splits where a node has very many neighbours; rounds are written to the shared folder, and only one number a round comes to the driver.
 """
 
 from __future__ import annotations
