@@ -66,6 +66,21 @@ def complete(settings: Settings, payload: dict, send: Callable[[dict], tuple[int
     raise AssertionError
 
 
+def probe(settings: Settings, send: Callable[[dict], tuple[int, str]]) -> tuple[bool, str]:
+    """Whether a provider answers, and why not: one request without content of ours, no retries, never an exception."""
+    if not settings.allowed():
+        return False, "not allowed by the settings"
+    ask = {"model": settings.model, "messages": [{"role": "user", "content": 'Reply with {"ok": true}'}], "max_tokens": 16}
+    try:
+        status, body = send(ask)
+        if status >= 400:
+            return False, f"provider answered {status}"
+        found = body[body.index("{") : body.rindex("}") + 1]
+        return (True, "") if json.loads(found).get("ok") is True else (False, "unexpected reply")
+    except Exception as e:  # any fault means: not available
+        return False, type(e).__name__
+
+
 def failed_rows(ledger: DataFrame, cap: int = 20, role: str = PARTY) -> DataFrame:
     """Rows with an unclear date, the first `cap` a pair: what a repair request may hold."""
     w = Window.partitionBy("pair_id").orderBy("page_number", "source_row_number", "row_id")

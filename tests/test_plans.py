@@ -129,6 +129,13 @@ def test_gate_and_retries():
         assist.complete(on, {}, lambda p: (400, ""), sleep=lambda s: None)
 
 
+def test_probe():
+    on = assist.Settings(enabled=True, hosted=False, base_url="http://x", model="m")
+    assert assist.probe(on, lambda p: (200, 'fine: {"ok": true}')) == (True, "")
+    assert assist.probe(on, lambda p: (200, '{"ok": 1}')) == (False, "unexpected reply") and assist.probe(on, lambda p: (503, "")) == (False, "provider answered 503")
+    assert assist.probe(on, lambda p: (200, "no")) == (False, "ValueError") and assist.probe(assist.Settings(), None) == (False, "not allowed by the settings")
+
+
 def test_structure(spark):
     cells = spark.createDataFrame([("S", 1, 1, "title"), ("S", 2, 1, "Date"), ("S", 2, 2, "Debit"), ("S", 3, 1, "x"), ("S", 3, 2, "=A1")], "sheet_name string, row int, col int, value string")
     profile = structure.profile_sheets(cells)
