@@ -29,8 +29,9 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Separators that the libraries' white space and Python's judge differently.
 ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-#: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond this many bytes, estimated with OVERHEAD bytes an entry.
-CACHE_BYTES, OVERHEAD, SHORT = 160 << 20, 200, 7
+#: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond so many MB, estimated with OVERHEAD bytes an
+#: entry. The default leaves room for workers that have run other stages.
+CACHE_MB, OVERHEAD, SHORT = 160, 200, 7
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -41,7 +42,8 @@ def cut_at_spaces(text: str) -> list[str]:
 
 
 class PartEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_mb: int = CACHE_MB):
+        self.limit = cache_mb << 20
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,10 +114,10 @@ class PartEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if self.size > CACHE_BYTES:
+        if self.size > self.limit:
             self.cache = {k: v for k, v in self.cache.items() if len(k) <= SHORT}
             self.size = (OVERHEAD + SHORT) * len(self.cache)
-            if self.size > CACHE_BYTES // 2:
+            if self.size > self.limit // 2:
                 self.cache, self.size = {}, 0
         cache = self.cache
         cut = [self._cut(t) if t else [] for t in texts]
@@ -143,18 +145,18 @@ class PartEncoder:
         self.size += sum(map(len, words)) + sum(map(len, made)) + OVERHEAD * (len(words) + len(made))
 
 
-_encoders: dict[str, PartEncoder] = {}
+_encoders: dict[tuple[str, int], PartEncoder] = {}
 
 
-def encoder(path: str) -> PartEncoder:
+def encoder(path: str, cache_mb: int = CACHE_MB) -> PartEncoder:
     """One for each worker process and file."""
     hold("encoding", _encoders.clear)
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-    return _encoders[path]
+    if (path, cache_mb) not in _encoders:
+        _encoders[path, cache_mb] = PartEncoder(path, cache_mb)
+    return _encoders[path, cache_mb]
 
 
-def groups_of(texts: list[str], chars: int = 1 << 20):
+def groups_of(texts: list[str], chars: int = 2 << 20):
     """Ranges of texts of about so many characters, so that a batch of long texts takes bounded memory."""
     first, size = 0, 0
     for i, t in enumerate(texts):

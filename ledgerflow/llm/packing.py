@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, column, id_text, saved, texts_of
-from .encoding import encoder, groups_of
+from .encoding import CACHE_MB, encoder, groups_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -175,7 +175,7 @@ def solve(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache_mb: int = CACHE_MB) -> DataFrame:
     """A row for each piece, with the task that made it and its rank in its class there."""
 
     def run(batches):
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             texts, ids = texts_of(batch), column(batch, "doc_id").to_pylist()
             for lo, hi in groups_of(texts):
                 rows: list[tuple] = []
-                for doc_id, data in zip(ids[lo:hi], encoder(path).encode(texts[lo:hi]), strict=True):
+                for doc_id, data in zip(ids[lo:hi], encoder(path, cache_mb).encode(texts[lo:hi]), strict=True):
                     data += end
                     at = 0
                     for k, length in enumerate(cut_lengths(len(data) // 4, capacity)):
@@ -198,9 +198,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs every document; texts are tokenised once, only rows without texts are shuffled."""
-    made = saved(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_mb: int = CACHE_MB) -> DataFrame:
+    """Packs every document; texts are tokenised once, only rows without texts are shuffled. cache_mb: of a worker's encoder."""
+    made = saved(pieces(docs, path, capacity, end_id, id_col, text_col, cache_mb), "pieces")
     counts = saved(made.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     plan = solve({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,8 @@ from .common import read_documents, tuned
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+#: MB of an encoder's cache in workers that do nothing else.
+ALONE_MB = 300
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,7 +45,7 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(read_documents(tuned(spark), sf_dir), tokenizer_path(BYTE_BPE))
+    return pack(read_documents(tuned(spark), sf_dir), tokenizer_path(BYTE_BPE), cache_mb=ALONE_MB)
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import encode_and_read_back
 
-    return encode_and_read_back(read_documents(tuned(spark), sf_dir), tokenizer_path(WORD_BPE))
+    return encode_and_read_back(read_documents(tuned(spark), sf_dir), tokenizer_path(WORD_BPE), cache_mb=ALONE_MB)
 
 
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, column, id_text, shared_dir, texts_of
-from .encoding import encoder, groups_of
+from .encoding import CACHE_MB, encoder, groups_of
 
 MAGIC = b"RPG1"
 SHARD = "shard int, block int, shard_start long, n_ids long, payload binary"
@@ -243,7 +243,7 @@ class Block:
         return self.expand(own[a : b + 1])[first - skip : max(last, first) - skip].astype("<u4")
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards: int | None = None, block_ids: int = 1 << 20, min_count: int = 6, ease: float | None = 0.25, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards: int | None = None, block_ids: int = 1 << 20, min_count: int = 6, ease: float | None = 0.25, id_col: str = "doc_id", text_col: str = "text", cache_mb: int = CACHE_MB) -> None:
     """Encodes every whole text and writes shard files to the folder `out`, in ascending doc_id order."""
     rows = id_text(docs, id_col, text_col)
     n = shards or max(rows.rdd.getNumPartitions(), 1)
@@ -254,7 +254,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, shards:
         data: list[bytes] = []
         size = 0
         end = np.array([end_id], "<u4").tobytes()
-        enc = encoder(path)
+        enc = encoder(path, cache_mb)
         base = enc.tokenizer.get_vocab_size()
 
         def flush():
