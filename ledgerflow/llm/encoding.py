@@ -31,7 +31,7 @@ TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond so many MB, estimated with OVERHEAD bytes an
 #: entry. The default leaves room for workers that have run other stages.
-CACHE_MB, OVERHEAD, SHORT = 160, 200, 7
+CACHE_MB, OVERHEAD, SHORT = 110, 200, 7
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -156,7 +156,7 @@ def encoder(path: str, cache_mb: int = CACHE_MB) -> PartEncoder:
     return _encoders[path, cache_mb]
 
 
-def groups_of(texts: list[str], chars: int = 2 << 20):
+def groups_of(texts: list[str], chars: int = 1 << 20):
     """Ranges of texts of about so many characters, so that a batch of long texts takes bounded memory."""
     first, size = 0, 0
     for i, t in enumerate(texts):
