@@ -53,10 +53,11 @@ def parse_amount(c: Column) -> Column:
     return bound(strip(F.regexp_replace(body, r"(?i)\b(cr|dr)\b", "")), value)
 
 
-def amount_confidence(c: Column) -> Column:
+def amount_confidence(c: Column, amount: Column | None = None) -> Column:
+    """amount: the parsed text, where it is at hand."""
     def score(s: Column) -> Column:
         marks = F.when((s.contains("(") & s.contains(")")) | s.rlike(r"(?i)\b(cr|dr)\b"), 90.0).when(s.contains(","), 92.0).otherwise(95.0)
-        return F.when(s == "", 0.0).when(parse_amount(s).isNull(), 10.0).otherwise(marks)
+        return F.when(s == "", 0.0).when((parse_amount(s) if amount is None else amount).isNull(), 10.0).otherwise(marks)
 
     return bound(strip(c), score)
 
@@ -70,8 +71,8 @@ def balance_side(c: Column) -> Column:
     return F.initcap(F.regexp_extract(text_or_empty(c), r"(?i)\b(cr|dr)\b", 1))
 
 
-def balance_confidence(c: Column) -> Column:
-    return F.when(is_blank(c), 0.0).when(parse_amount(c).isNull(), 10.0).when(balance_side(c) != "", 94.0).otherwise(90.0)
+def balance_confidence(c: Column, amount: Column | None = None) -> Column:
+    return F.when(is_blank(c), 0.0).when((parse_amount(c) if amount is None else amount).isNull(), 10.0).when(balance_side(c) != "", 94.0).otherwise(90.0)
 
 
 def looks_like_date(c: Column) -> Column:
@@ -113,7 +114,12 @@ def parse_date(c: Column) -> Column:
 
 
 def date_confidence(c: Column) -> Column:
-    return bound(dated(c), lambda r: F.when(r["day"].isNull() & (r["score"] > 0), 15.0).otherwise(r["score"]))
+    return bound(dated(c), confidence_of)
+
+
+def confidence_of(parsed: Column) -> Column:
+    """Of a dated() struct."""
+    return F.when(parsed["day"].isNull() & (parsed["score"] > 0), 15.0).otherwise(parsed["score"])
 
 
 def iso_date(c: Column) -> Column:

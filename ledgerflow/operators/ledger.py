@@ -31,10 +31,13 @@ def unknown_transactions(rows: DataFrame) -> DataFrame:
     return transactions(rows).where(F.col("type_label") == "Unknown")
 
 
-def emitted(rows: DataFrame) -> DataFrame:
+def is_emitted() -> Column:
     """Transactions, special rows, and whatever holds an amount."""
-    amount = F.coalesce("debit_source", "credit_source", "balance_source").isNotNull()
-    return rows.where(F.col("record_kind").isin(C.TRANSACTION, *SPECIAL_KINDS) | amount)
+    return F.col("record_kind").isin(C.TRANSACTION, *SPECIAL_KINDS) | F.coalesce("debit_source", "credit_source", "balance_source").isNotNull()
+
+
+def emitted(rows: DataFrame) -> DataFrame:
+    return rows.where(is_emitted())
 
 
 def date_ambiguous(rows: DataFrame) -> DataFrame:
@@ -60,15 +63,17 @@ def with_perspective(rows: DataFrame) -> DataFrame:
 
 def type_rows(cells: DataFrame) -> DataFrame:
     """Raw text cells (date, debit, credit, balance as text) to typed columns with confidences, kind and reason."""
-    out = cells.withColumns({
-        "date": C.parse_date(F.col("raw_date")), "date_parse_confidence": C.date_confidence(F.col("raw_date")),
-        "debit_source": C.parse_amount(F.col("debit_raw_source")), "credit_source": C.parse_amount(F.col("credit_raw_source")),
-        "balance_source": C.parse_amount(F.col("balance_raw_source")), "balance_side_source": C.balance_side(F.col("balance_raw_source")),
-        "amount_parse_confidence": F.greatest(C.amount_confidence(F.col("debit_raw_source")), C.amount_confidence(F.col("credit_raw_source")), C.balance_confidence(F.col("balance_raw_source"))),
+    parsed = cells.withColumns({
+        "__dated": C.dated(F.col("raw_date")),
+        "debit_source": C.parse_amount(F.col("debit_raw_source")), "credit_source": C.parse_amount(F.col("credit_raw_source")), "balance_source": C.parse_amount(F.col("balance_raw_source")),
+    })
+    out = parsed.withColumns({
+        "date": F.col("__dated.day"), "date_parse_confidence": C.confidence_of(F.col("__dated")), "balance_side_source": C.balance_side(F.col("balance_raw_source")),
+        "amount_parse_confidence": F.greatest(C.amount_confidence(F.col("debit_raw_source"), F.col("debit_source")), C.amount_confidence(F.col("credit_raw_source"), F.col("credit_source")), C.balance_confidence(F.col("balance_raw_source"), F.col("balance_source"))),
         "reference_no": C.first_filled(F.col("reference_no"), F.col("voucher_no")), "voucher_no": C.first_filled(F.col("voucher_no"), F.col("reference_no")),
     })
     kind = C.record_kind(F.col("raw_text"), F.coalesce("debit_source", "credit_source", "balance_source").isNotNull(), C.looks_like_date(F.col("raw_date")), ~C.is_blank(F.col("raw_type")))
-    return out.withColumn("__kind", kind).withColumns({"record_kind": F.col("__kind.kind"), "record_kind_reason": F.col("__kind.reason")}).drop("__kind")
+    return out.withColumn("__kind", kind).withColumns({"record_kind": F.col("__kind.kind"), "record_kind_reason": F.col("__kind.reason")}).drop("__kind", "__dated")
 
 
 def row_confidence(layout: Column, date: Column, amount: Column, kind: Column) -> Column:
@@ -76,10 +81,13 @@ def row_confidence(layout: Column, date: Column, amount: Column, kind: Column) -
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1)
 
 
-def carry_dates(rows: DataFrame) -> DataFrame:
-    """Transactions without a date take the last date above them on the page; unparseable dates carry nothing."""
-    above = Window.partitionBy("pair_id", "ledger_role", "source_file", "page_number").orderBy("source_row_number").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last("date", ignorenulls=True).over(above)
+PAGE = ("pair_id", "ledger_role", "source_file", "page_number")
+
+
+def carry_dates(rows: DataFrame, counts: Column | None = None) -> DataFrame:
+    """Transactions without a date take the last date above them on the page; unparseable dates carry nothing. counts: the rows whose dates count (default: all)."""
+    above = Window.partitionBy(*PAGE).orderBy("source_row_number").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("date" if counts is None else F.when(counts, F.col("date")), ignorenulls=True).over(above)
     carried = (F.col("record_kind") == C.TRANSACTION) & F.col("date").isNull() & C.is_blank(F.col("raw_date")) & F.col("__last").isNotNull()
     out = rows.withColumn("__last", last).withColumn("date_carried", carried)
     return out.withColumns({"date": F.when(F.col("date_carried"), F.col("__last")).otherwise(F.col("date")), "date_parse_confidence": F.when(F.col("date_carried"), F.least("date_parse_confidence", F.lit(80.0))).otherwise(F.col("date_parse_confidence"))}).drop("__last")
