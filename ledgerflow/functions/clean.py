@@ -155,6 +155,8 @@ KIND_MARKERS = (
     (r"\bgrand\s+totals?\b", GRAND_TOTAL, ""),
     (r"\b(?:totals?|(?:debit|credit)\s+totals?|sub\s*-?\s*totals?)\b", TOTAL, ""),
 )
+#: Every marker holds one of these; most texts hold none, and then no marker is looked for.
+MARKED = r"bal|total|carried|brought|[bc]\s*[/.]?\s*[fod]"
 UNTITLED_TOTAL = "Untitled amount-only row treated as subtotal/total."
 NO_MARKER = "Transaction lacks a date or type marker."
 EMPTY_ROW = "Empty row."
@@ -163,17 +165,23 @@ UNRECOGNISED = "Row has no amount and no recognised marker."
 
 def record_kind(raw: Column, has_amount: Column, has_date: Column, has_type: Column, is_header: Column | None = None) -> Column:
     """struct(kind, reason): markers of balances and totals win over what looks like a transaction."""
-    text = clean_text(raw)
-    low = F.lower(text)
     kind = lambda k, why="": F.struct(F.lit(k).alias("kind"), F.lit(why).alias("reason"))
-    out = F.when(F.lit(False) if is_header is None else is_header, kind(HEADER))
-    for pattern, name, why in KIND_MARKERS:
-        out = out.when(low.rlike(pattern), kind(name, why))
-    bare = F.regexp_replace(text, "[^A-Za-z]", "") == ""
-    out = out.when(has_amount & ~has_date & ~has_type & bare, kind(TOTAL, UNTITLED_TOTAL))
-    out = out.when(has_amount & (has_date | has_type), kind(TRANSACTION))
-    out = out.when(has_amount, kind(TRANSACTION, NO_MARKER))
-    return out.when(text == "", kind(UNKNOWN, EMPTY_ROW)).otherwise(kind(UNKNOWN, UNRECOGNISED))
+
+    def plain(text: Column, out: Column | None = None) -> Column:
+        when = F.when if out is None else out.when
+        bare = F.regexp_replace(text, "[^A-Za-z]", "") == ""
+        out = when(has_amount & ~has_date & ~has_type & bare, kind(TOTAL, UNTITLED_TOTAL))
+        out = out.when(has_amount & (has_date | has_type), kind(TRANSACTION))
+        out = out.when(has_amount, kind(TRANSACTION, NO_MARKER))
+        return out.when(text == "", kind(UNKNOWN, EMPTY_ROW)).otherwise(kind(UNKNOWN, UNRECOGNISED))
+
+    def judged(text: Column, low: Column) -> Column:
+        out = F.when(F.lit(False) if is_header is None else is_header, kind(HEADER)).when(~low.rlike(MARKED), plain(text))
+        for pattern, name, why in KIND_MARKERS:
+            out = out.when(low.rlike(pattern), kind(name, why))
+        return plain(text, out)
+
+    return bound(clean_text(raw), lambda text: bound(F.lower(text), lambda low: judged(text, low)))
 
 
 def flag(c: Column) -> Column:

@@ -41,15 +41,24 @@ def is_header_text(text: Column) -> Column:
     return (low.contains("debit") & low.contains("credit")) | (low.contains("date") & (low.contains("amount") | low.contains("balance")))
 
 
-def header_rows(rows: DataFrame, page: list[str]) -> DataFrame:
-    """The first visual row of each page that reads like a header: page columns, header_row."""
-    text = rows.groupBy(*page, "visual_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_text"))), lambda x: x["word_text"]), " ").alias("t"))
-    return text.where(is_header_text(F.col("t"))).groupBy(*page).agg(F.min("visual_row").alias("header_row"))
+def lines_of(rows: DataFrame, page: list[str]) -> DataFrame:
+    """Visual rows from words (folds.visual_rows), each with its words from left to right."""
+    return rows.groupBy(*page, "visual_row").agg(F.sort_array(F.collect_list(F.struct("x0", "word_text", "x1"))).alias("words"))
 
 
-def detect_columns(rows: DataFrame, heads: DataFrame, page: list[str]) -> DataFrame:
+def words_text(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["word_text"]), " ")
+
+
+def header_rows(lines: DataFrame, page: list[str]) -> DataFrame:
+    """The first visual row of each page that reads like a header: page columns, header_row, words."""
+    heads = lines.where(is_header_text(words_text(F.col("words"))))
+    return heads.groupBy(*page).agg(F.min(F.struct("visual_row", "words")).alias("h")).select(*page, F.col("h.visual_row").alias("header_row"), "h.words")
+
+
+def detect_columns(heads: DataFrame, page: list[str]) -> DataFrame:
     """page columns, key, x0, x1, confidence, label: header words closer than the gap merge; the first of a key counts."""
-    own = rows.join(heads, page).where("visual_row = header_row")
+    own = heads.select(*page, F.inline("words"))
     w = Window.partitionBy(*page).orderBy("x0", "x1")
     new = F.coalesce((F.col("x0") - F.lag("x1").over(w) > HEADER_GAP).cast("int"), F.lit(0))
     groups = own.withColumn("new", new).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -77,21 +86,25 @@ def page_bands(columns: DataFrame, page: list[str]) -> DataFrame:
     return b.withColumn("first", first).withColumns({"threshold": F.when(F.col("first").isNull(), float("inf")).when(left.isNull(), F.col("first") - 30.0).otherwise((F.col("first") + left) / 2), "boundaries": F.when(F.size("texts") > 1, edge).otherwise(F.array().cast("array<double>"))}).drop("first")
 
 
-def assigned(rows: DataFrame, bands: DataFrame, page: list[str]) -> DataFrame:
-    """rows with the key of each word's column: amounts (and their Cr/Dr marks) to the nearest amount band, other words by the boundaries."""
-    r = rows.join(bands, page).withColumn("centre", (F.col("x0") + F.col("x1")) / 2)
-    marks = C.looks_like_amount(F.col("word_text")) | F.lower(C.strip(F.col("word_text"))).isin("cr", "dr")
-    in_amounts = (F.size("amounts") > 0) & (F.col("centre") >= F.col("threshold")) & marks
-    nearest = F.array_min(F.transform("amounts", lambda a: F.struct(F.abs(a["centre"] - F.col("centre")).alias("d"), a["x0"].alias("x"), a["key"].alias("key"))))["key"]
-    slot = F.least(F.size(F.filter("boundaries", lambda b: F.col("x0") >= b)), F.size("texts") - 1)
-    return r.withColumn("key", F.when(in_amounts, nearest).when(F.size("texts") > 0, F.get("texts", slot)["key"]))
+def column_key(word: Column) -> Column:
+    """The key of a word's column, beside the bands of its page: amounts (and their Cr/Dr marks) go to the nearest amount band, other words by the boundaries."""
+    centre = (word["x0"] + word["x1"]) / 2
+    marks = C.looks_like_amount(word["word_text"]) | F.lower(C.strip(word["word_text"])).isin("cr", "dr")
+    in_amounts = (F.size("amounts") > 0) & (centre >= F.col("threshold")) & marks
+    nearest = F.array_min(F.transform("amounts", lambda a: F.struct(F.abs(a["centre"] - centre).alias("d"), a["x0"].alias("x"), a["key"].alias("key"))))["key"]
+    slot = F.least(F.size(F.filter("boundaries", lambda b: word["x0"] >= b)), F.size("texts") - 1)
+    return F.when(in_amounts, nearest).when(F.size("texts") > 0, F.get("texts", slot)["key"])
+
 
+def build_rows(lines: DataFrame, bands: DataFrame, page: list[str], *keep: str) -> DataFrame:
+    """lines with the cells by column and the whole text. lines: page columns, visual_row, words (x0, word_text, x1 from left to right); keep: columns of the bands to keep.
 
-def build_rows(words: DataFrame, page: list[str], row: str = "visual_row") -> DataFrame:
-    """One row for each visual row: the cells by column, the whole text."""
-    ordered = lambda cond: C.clean_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("x0", "word_text")))), lambda x: x["word_text"]), " "))
-    cells = [ordered(F.col("key") == key).alias(name) for key, name in CELLS.items()]
-    return words.groupBy(*page, row).agg(*cells, ordered(F.lit(True)).alias("raw_text"), F.first("layout_confidence").alias("layout_confidence"), F.to_json(F.first("column_confidence")).alias("column_confidence_json"), F.first("n_columns").alias("n_columns"))
+    A line is one row throughout, so its words are neither dealt nor gathered again."""
+    own = bands.withColumn("column_confidence_json", F.to_json("column_confidence"))
+    placed = lines.join(own, page).withColumn("placed", F.transform("words", lambda w: F.struct(w["word_text"].alias("word_text"), column_key(w).alias("key"))))
+    cell = lambda key: C.clean_text(words_text(F.filter("placed", lambda w: w["key"] == key)))
+    cells = [cell(key).alias(name) for key, name in CELLS.items()]
+    return placed.select(*page, "visual_row", *keep, *cells, C.clean_text(words_text(F.col("placed"))).alias("raw_text"), "layout_confidence", "column_confidence_json", "n_columns")
 
 
 def carried_bands(pages: DataFrame, bands: DataFrame, page: list[str], document: list[str]) -> DataFrame:
@@ -107,14 +120,17 @@ def coordinate_strategy(rows: DataFrame, page: list[str], document: list[str] |
     """Cells of a page whose words have coordinates; rows above the header stay only if they are markers (typed later).
 
     document: the columns of `page` that name a file; a page without a header of its own then takes the columns of the last page above it that has one."""
-    heads = header_rows(rows, page)
-    found = detect_columns(rows, heads, page)
-    bands = page_bands(found, page)
-    heads = heads.join(bands.select(*page), page, "left_semi")  # a header counts if it names a column
+    return coordinate_cells(lines_of(rows, page), page, document)
+
+
+def coordinate_cells(lines: DataFrame, page: list[str], document: list[str] | None = None) -> DataFrame:
+    """coordinate_strategy() of visual lines (folds.visual_lines), which are read up to three times."""
+    heads = header_rows(lines, page)
+    bands = page_bands(detect_columns(heads, page), page)
+    heads = heads.join(bands.select(*page), page, "left_semi").select(*page, "header_row")  # a header counts if it names a column
     if document is not None:
-        bands = carried_bands(rows, bands, page, document)
-    body = rows.join(heads, page, "left" if document is not None else "inner").where("header_row is null or visual_row <> header_row")
-    made = build_rows(assigned(body.drop("header_row"), bands, page), page).join(heads, page, "left")
+        bands = carried_bands(lines, bands, page, document)
+    made = build_rows(lines, bands.join(heads, page, "left"), page, "header_row").where("header_row is null or visual_row <> header_row")
     return made.select("*", F.coalesce(F.col("visual_row") < F.col("header_row"), F.lit(False)).alias("above_header"), F.lit("coordinate").alias("extraction_method")).drop("header_row")
 
 
@@ -128,9 +144,10 @@ def table_strategy(tables: DataFrame, page: list[str]) -> DataFrame:
     w = Window.partitionBy(*page).orderBy(F.desc("n_data"), "table_index")
     t = t.withColumn("pick", F.row_number().over(w)).where("pick = 1").withColumn("labels", F.element_at("cells", F.col("h").cast("int")))
     bands = page_bands(columns_from_labels(t, page), page)
-    words = t.select(*page, F.posexplode(F.slice("cells", F.col("h").cast("int") + 1, F.greatest(F.col("n_data"), F.lit(1)).cast("int"))).alias("r", "row")).select(*page, (F.col("r") + 1).alias("visual_row"), F.posexplode("row").alias("i", "word_text"))
-    words = words.where(~C.is_blank(F.col("word_text"))).withColumns({"x0": F.col("i") * 100.0, "x1": (F.col("i") + 1) * 100.0, "word_text": C.clean_text(F.col("word_text"))})
-    return build_rows(assigned(words, bands, page), page).withColumns({"above_header": F.lit(False), "extraction_method": F.lit("table"), "layout_confidence": F.least("layout_confidence", F.lit(95.0))})
+    data = t.select(*page, F.posexplode(F.slice("cells", F.col("h").cast("int") + 1, F.greatest(F.col("n_data"), F.lit(1)).cast("int"))).alias("r", "row"))
+    cells = F.transform("row", lambda c, i: F.struct((i * 100.0).alias("x0"), C.clean_text(c).alias("word_text"), ((i + 1) * 100.0).alias("x1")))
+    lines = data.select(*page, (F.col("r") + 1).alias("visual_row"), F.filter(cells, lambda w: w["word_text"] != "").alias("words")).where(F.size("words") > 0)
+    return build_rows(lines, bands, page).withColumns({"above_header": F.lit(False), "extraction_method": F.lit("table"), "layout_confidence": F.least("layout_confidence", F.lit(95.0))})
 
 
 #: The columns of a page of plain lines without a header.
@@ -148,24 +165,27 @@ def text_strategy(lines: DataFrame, page: list[str]) -> DataFrame:
     labels = head.select(*page, "head", F.when(named.isNotNull(), F.array("head")).otherwise(F.array(*map(F.lit, PLAIN_LABELS))).alias("labels"), named.isNull().alias("plain"))
     columns = columns_from_labels(labels, page).join(labels.select(*page, "plain"), page).withColumn("confidence", F.when(F.col("plain"), F.least("confidence", F.lit(60.0))).otherwise(F.col("confidence"))).drop("plain")
     amount = r"(?i)\(?-?\d[\d,]*(?:\.\d+)?\)?(?:\s*(?:cr|dr))?$"
-    body = clean.join(head, page).where(F.coalesce(F.col("t") != F.col("head"), F.lit(True)) & ~low.contains("page ")).withColumn("parts", F.split("t", " "))
+    body = clean.where(~low.contains("page ")).withColumn("parts", F.split("t", " "))
     body = body.where((F.size("parts") > 1) & F.exists("parts", lambda w: w.rlike(amount)))
-    words = body.select(*page, "visual_row", F.posexplode("parts").alias("i", "word_text"))
-    width = F.greatest(F.lit(20), 6 * F.length("word_text")) + 10
-    w = Window.partitionBy(*page, "visual_row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.withColumn("x0", F.coalesce(F.sum(width).over(w), F.lit(0)).cast("double")).withColumn("x1", F.col("x0") + width - 10)
-    made = build_rows(assigned(words, page_bands(columns, page), page), page)
+
+    def place(acc, w):
+        end = acc["at"] + F.greatest(F.lit(20), 6 * F.length(w))
+        return F.struct((end + 10).alias("at"), F.concat(acc["words"], F.array(F.struct(acc["at"].cast("double").alias("x0"), w.alias("word_text"), end.cast("double").alias("x1")))).alias("words"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<x0: double, word_text: string, x1: double>>").alias("words"))
+    placed = body.select(*page, "visual_row", "t", F.aggregate("parts", none, place, lambda acc: acc["words"]).alias("words"))
+    made = build_rows(placed, page_bands(columns, page).join(head, page), page, "t", "head").where(F.coalesce(F.col("t") != F.col("head"), F.lit(True))).drop("t", "head")
     return made.withColumns({"above_header": F.lit(False), "extraction_method": F.lit("text"), "layout_confidence": F.least("layout_confidence", F.lit(75.0))})
 
 
-def strategy_score(rows: DataFrame, page: list[str]) -> DataFrame:
-    """Score of a strategy's typed rows on a page, 0 to 100."""
+def strategy_score(rows: DataFrame, page: list[str], *more: Column) -> DataFrame:
+    """Score of a strategy's typed rows on a page, 0 to 100; more: further aggregates of the same rows."""
     tx = F.col("record_kind") == C.TRANSACTION
     n = F.count_if(tx)
     share = lambda cond: F.when(n > 0, 10.0 * F.count_if(tx & cond) / n).otherwise(0.0)
     amount = F.col("debit_source").isNotNull() | F.col("credit_source").isNotNull()
     score = 30.0 + F.least(F.lit(30.0), F.max("n_columns") * 4.0) + F.least(F.lit(20.0), n * 1.5) + share(F.col("date").isNotNull()) + share(amount) - F.least(F.lit(25.0), F.count_if(F.col("record_kind") == C.UNKNOWN) * 2.5)
-    return rows.groupBy(*page, "extraction_method").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("score"), n.alias("transactions"))
+    return rows.groupBy(*page, "extraction_method").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("score"), n.alias("transactions"), *more)
 
 
 def best_strategy(scores: DataFrame, page: list[str], order=("table", "coordinate", "text")) -> DataFrame:

@@ -25,7 +25,9 @@ UNCERTAIN = 70.0
 
 def _typed(rows: DataFrame) -> DataFrame:
     """Typed rows that count, with their confidence; above a header only markers stay."""
-    typed = L.emitted(L.type_rows(rows)).where(~F.col("above_header") | F.col("record_kind").isin(*L.SPECIAL_KINDS))
+    once = L.type_rows(rows)
+    once = once.select(F.inline(F.array(F.struct(*once.columns))))  # a filter below would parse every cell again
+    typed = L.emitted(once).where(~F.col("above_header") | F.col("record_kind").isin(*L.SPECIAL_KINDS))
     return typed.withColumn("row_confidence", L.row_confidence(F.col("layout_confidence"), F.col("date_parse_confidence"), F.col("amount_parse_confidence"), F.col("record_kind")))
 
 
@@ -35,7 +37,7 @@ def candidates(words: DataFrame, tables: DataFrame, lines: DataFrame) -> DataFra
     table = _typed(layout.table_strategy(tables, each))
     sizes = table.groupBy(*each).agg(F.count("*").alias("n")).groupBy(*PAGE).agg(F.max_by("table_index", F.struct("n", -F.col("table_index"))).alias("table_index"))
     table = table.join(sizes, each, "left_semi").drop("table_index")  # of a page's tables the one with most rows
-    placed = _typed(layout.coordinate_strategy(folds.visual_rows(words, PAGE), PAGE, DOCUMENT)).withColumn("source_row_number", F.col("visual_row"))
+    placed = _typed(layout.coordinate_cells(durable(folds.visual_lines(words, PAGE)), PAGE, DOCUMENT)).withColumn("source_row_number", F.col("visual_row"))
     placed = L.carry_dates(placed).drop("source_row_number")
     text = _typed(layout.text_strategy(lines, PAGE))
     plain = lambda df: df.withColumn("date_carried", F.lit(False))
@@ -46,22 +48,25 @@ def pages_of(words: DataFrame, tables: DataFrame, lines: DataFrame) -> DataFrame
     return words.select(*PAGE).unionByName(tables.select(*PAGE)).unionByName(lines.select(*PAGE)).distinct()
 
 
-def extract(words: DataFrame, tables: DataFrame, lines: DataFrame, errors: DataFrame | None = None, proposals: DataFrame | None = None, ask_below: float = ASK_BELOW) -> dict[str, DataFrame]:
+def extract(words: DataFrame, tables: DataFrame, lines: DataFrame, errors: DataFrame | None = None, proposals: DataFrame | None = None, ask_below: float = ASK_BELOW, kept: bool = True) -> dict[str, DataFrame]:
     """rows (typed, numbered through each file), page_analysis, audit, identity and layout_stats.
 
     errors: PAGE, message of pages that could not be read. proposals: PAGE, labels (array), source: layouts proposed elsewhere for pages
-    of little confidence; they name columns and add confidence, and never make rows."""
-    every = durable(candidates(words, tables, lines))
+    of little confidence; they name columns and add confidence, and never make rows. kept: the typed rows of all strategies are written; without, the
+    pages are judged in the one pass that makes the rows, from the columns it takes, and `rows` makes them again."""
+    every = candidates(words, tables, lines)
+    every = durable(every) if kept else every
     pages = pages_of(words, tables, lines)
-    scores = layout.strategy_score(every, PAGE).drop("transactions")
-    best = layout.best_strategy(scores, PAGE, STRATEGIES)
-    chosen = every.join(best.select(*PAGE, "extraction_method"), [*PAGE, "extraction_method"], "left_semi")
     kind = F.col("record_kind")
     unsure = (kind == C.UNKNOWN) | ((kind == C.TRANSACTION) & ((F.col("date_parse_confidence") < UNCERTAIN) | (F.col("amount_parse_confidence") < UNCERTAIN)))
-    counts = chosen.groupBy(*PAGE).agg(
+    counts = (
         F.count("*").alias("rows_emitted"), F.count_if(kind == C.TRANSACTION).alias("transaction_row_count"), F.count_if(kind.isin(*L.SPECIAL_KINDS)).alias("special_row_count"), F.count_if(kind == C.UNKNOWN).alias("unknown_row_count"),
         F.count_if(unsure).alias("review_row_count"), F.first("column_confidence_json").alias("column_confidence_json"),
     )
+    scores = durable(layout.strategy_score(every, PAGE, *counts).drop("transactions"))
+    best = layout.best_strategy(scores, PAGE, STRATEGIES)
+    chosen = every.join(best.select(*PAGE, "extraction_method"), [*PAGE, "extraction_method"], "left_semi")
+    counts = scores.join(best.select(*PAGE, "extraction_method"), [*PAGE, "extraction_method"], "left_semi").drop("extraction_method", "score")
     zero = ("rows_emitted", "transaction_row_count", "special_row_count", "unknown_row_count", "review_row_count")
     analysis = pages.join(best, PAGE, "left").join(counts, PAGE, "left").na.fill(0, list(zero)).na.fill(0.0, ["page_confidence"]).na.fill(STRATEGIES[0], ["extraction_method"])
     analysis = analysis.withColumn("detected_columns", F.coalesce(F.json_object_keys("column_confidence_json"), F.array().cast("array<string>")))

@@ -497,12 +497,12 @@ def page_word_layout(spark, sf_dir):
     return layout.coordinate_strategy(rows, extraction.PAGE, extraction.DOCUMENT).select("source_file", "page_number", "visual_row", "raw_date", "raw_type", "particulars", "debit_raw_source", "credit_raw_source", "raw_text")
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def extracted(spark: SparkSession, sf_dir: str, kept: bool = True) -> dict[str, DataFrame]:
     words = page_words(spark, sf_dir)
     tables = words.where("false").select(*extraction.PAGE, F.lit(0).alias("table_index"), F.array(F.array(F.lit(""))).alias("cells"))
     lines = words.groupBy(*extraction.PAGE, F.round("y0", -1).alias("y")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_text"))), lambda w: w["word_text"])).alias("line_text"))
-    lines = lines.withColumn("line_number", F.col("y").cast("int"))
-    return extraction.extract(words, tables, lines)
+    lines = durable(lines.withColumn("line_number", F.col("y").cast("int")).drop("y"))
+    return extraction.extract(words, tables, lines, kept=kept)
 
 
 @query(PAGE_ROWS + "SELECT source_file, page_number, CAST(row_number() OVER (PARTITION BY f ORDER BY page_number, visual_row) AS int) AS source_row_number, 'coordinate' AS extraction_method, 'Transaction' AS record_kind, d AS date, CASE WHEN k % 2 = 0 THEN CAST(v AS double) END AS debit_source, CASE WHEN k % 2 = 1 THEN CAST(v AS double) END AS credit_source FROM r")
@@ -513,12 +513,12 @@ def extracted_rows(spark, sf_dir):
 
 @query(PAGE_ROWS + """SELECT source_file, page_number, 'coordinate' AS extraction_method, 'ok' AS status, count(*) AS rows_emitted FROM r GROUP BY ALL""")
 def extraction_audit(spark, sf_dir):
-    return extracted(spark, sf_dir)["audit"].select("source_file", "page_number", "extraction_method", "status", "rows_emitted")
+    return extracted(spark, sf_dir, kept=False)["audit"].select("source_file", "page_number", "extraction_method", "status", "rows_emitted")
 
 
 @query(PAGE_ROWS + "SELECT source_file, count(DISTINCT page_number) AS page_count, count(*) AS row_count FROM r GROUP BY source_file")
 def layout_statistics(spark, sf_dir):
-    return extracted(spark, sf_dir)["layout_stats"].select("source_file", "page_count", "row_count")
+    return extracted(spark, sf_dir, kept=False)["layout_stats"].select("source_file", "page_count", "row_count")
 
 
 # -- bundles -------------------------------------------------------------------------------------------------------------

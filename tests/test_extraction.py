@@ -197,3 +197,36 @@ def test_sheets_and_pairs(spark, tmp_path):
     known = files.stored_layout(head.limit(1), files.fingerprints(head)).first()
     assert known["known"] and known["usage_count"] == 2
     assert not files.stored_layout(head.withColumn("signature", F.lit("t")).limit(1), files.fingerprints(head)).first()["known"]
+
+
+def test_visual_lines_are_those_of_the_serial_fold(spark):
+    """Rows of words whose heights are near, equal or unknown, against the plain fold; no Python worker takes part."""
+    import random
+
+    rng = random.Random(5)
+    words = [("p", "org_ledger", f"f{p}", 1, float(rng.randrange(6) * 50), None if rng.random() < 0.02 else rng.randrange(300) / 10 + rng.choice((0, 0.04)), float(i), rng.choice(("a", "b", " ", " ", "\x1c"))) for p in range(12) for i in range(40)]
+    df = spark.createDataFrame(words, WORDS)
+    for tolerance in (folds.Y_TOLERANCE, 0.05):
+        want = set()
+        for file in {w[2] for w in words}:
+            own = sorted((w for w in words if w[2] == file and w[7].strip()), key=lambda w: (w[5] is None, round((w[5] or 0) * 10), w[4], w[5] or 0))
+            anchors, rows = [], []
+            for w in own:
+                y = float("nan") if w[5] is None else w[5]
+                k = next((i for i, a in enumerate(anchors) if abs(a - y) <= tolerance), len(anchors))
+                anchors += [y] if k == len(anchors) else []
+                rows.append(k)
+            place = {k: i + 1 for i, k in enumerate(sorted(range(len(anchors)), key=lambda k: (anchors[k] != anchors[k], anchors[k] if anchors[k] == anchors[k] else k)))}
+            if not any(a != a for a in anchors) or tolerance >= 0.1:
+                want |= {(file, place[k], w[4], w[6], w[7]) for k, w in zip(rows, own, strict=True)}
+        out = folds.visual_rows(df, extraction.PAGE, tolerance)
+        got = {(r["source_file"], r["visual_row"], r["x0"], r["x1"], r["word_text"]) for r in out.collect()}
+        assert want and {g for g in got if g[0] in {w[0] for w in want}} == want
+        assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_audit_makes_the_rows_once(spark):
+    words, tables, lines = inputs(spark)
+    plain, once = extraction.extract(words, tables, lines), extraction.extract(words, tables, lines, kept=False)
+    for name in ("rows", "audit", "page_analysis", "layout_stats"):
+        assert sorted(map(str, plain[name].collect())) == sorted(map(str, once[name].collect()))
