@@ -170,7 +170,9 @@ def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, df) of the terms asked for, over whole texts: one scan, in which a task adds up its own counts before they are dealt by term."""
+    """(t, df) of the terms asked for, over whole texts: one scan, in which a task adds up its own counts before they are dealt by term.
+
+    Counts are added up over all tasks before the terms asked for are joined (an inner join, as a semi-join is pushed below the sum), so the join makes one row a term."""
 
     def run(batches):
         df: Counter = Counter()
@@ -190,7 +192,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
             yield flush()
 
     asked = terms.select("t").distinct()
-    return docs.mapInArrow(run, "t long, df long").join(asked, "t", "left_semi").groupBy("t").agg(F.sum("df").alias("df"))
+    return docs.mapInArrow(run, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).join(asked, "t")
 
 
 def disclosures(docs: DataFrame, support: int = 3, generalise: float = 0.9) -> DataFrame:

@@ -168,3 +168,16 @@ def test_empty_pipeline(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, nothing, str(tmp_path))
         assert out.columns == nothing.columns and out.count() == 0
+
+
+def test_document_frequency_is_summed_before_the_join(spark):
+    """The join makes one row a term asked for, however many tasks counted it."""
+    from ledgerflow.llm import pii
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma gamma") for i in range(60)], "doc_id long, text string").repartition(6)
+    signed = lambda w: pii.term(w) - (1 << 64) if pii.term(w) >= 1 << 63 else pii.term(w)
+    terms = spark.createDataFrame([(signed(w),) for w in (b"alpha", b"beta1", b"alpha", b"absent")], "t long")
+    out = pii.document_frequency(docs, terms)
+    assert {(r["t"], r["df"]) for r in out.collect()} == {(signed(b"alpha"), 60), (signed(b"beta1"), 20)}
+    nodes = [line.lstrip(" :+-") for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert next(n for n in nodes if not n.startswith("Project")).startswith("Join Inner")
