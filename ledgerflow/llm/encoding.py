@@ -27,6 +27,8 @@ ASCII_RUNS = tuple(" " + c for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
 WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Letters, then ASCII punctuation without apostrophes: always two pieces.
 TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: The characters of its second piece.
+TAIL_MARKS = "".join(c for c in map(chr, range(128)) if TAIL.fullmatch("a" + c))
 #: Separators that the libraries' white space and Python's judge differently.
 ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A worker's cache of parts gives up its long parts (short ones are the frequent ones), or all, beyond so many MB, estimated with OVERHEAD bytes an
@@ -98,6 +100,9 @@ class PartEncoder:
 
     def _pieces(self, part: str) -> list[str]:
         """A part's own parts; a part that stays as it is, is its only one."""
+        if self.folds and "\n" not in part:  # nearly all of these files' parts
+            head = part.rstrip(TAIL_MARKS)
+            return [head, part[len(head) :]] if head and len(head) < len(part) and head[-1].isascii() and head[-1].isalpha() else [part]
         spaced = "" if self.folds else "\n"
         raw = part.startswith("\n")
         lines = (part[1:] if raw else part).split("\n")
@@ -122,7 +127,7 @@ class PartEncoder:
         cache = self.cache
         cut = [self._cut(t) if t else [] for t in texts]
         found = [list(map(cache.get, parts)) if parts else [] for parts in cut]
-        holes = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
+        holes = [_places(own, None) for own in found]
         new = {parts[i] for parts, own in zip(cut, holes, strict=True) for i in own}
         if new:
             self._learn(new)
@@ -145,6 +150,17 @@ class PartEncoder:
         self.size += sum(map(len, words)) + sum(map(len, made)) + OVERHEAD * (len(words) + len(made))
 
 
+def _places(values: list, wanted) -> list[int]:
+    """Where `wanted` stands in the list, found without a Python step for each other value."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(wanted, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 _encoders: dict[tuple[str, int], PartEncoder] = {}
 
 

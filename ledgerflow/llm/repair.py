@@ -84,8 +84,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
             pairs, which = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[after[at]], return_inverse=True)
             again = np.zeros(len(at), bool)
             again[1:] = (at[1:] == after[at[:-1]]) & (which[1:] == which[:-1])
-            run = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
-            free = (np.arange(len(at)) - run) % 2 == 0
+            place = np.arange(len(at), dtype=np.int32)  # a block has fewer
+            free = (place - np.maximum.accumulate(np.where(again, np.int32(0), place))) & 1 == 0
             counts = np.bincount(which[free], minlength=len(pairs))
             if (counts >= level).any() or level <= min_count:
                 break
@@ -113,8 +113,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
         second, prior = after[at], before[at]
         mark[at] = mark[second] = mark[prior[prior >= 0]] = True  # positions whose pair changes
         few = len(at) < len(symbols) // 24  # then counts are updated in place, else made anew
+        touched = np.flatnonzero(mark)
         if few:
-            np.subtract.at(seen, slot[np.flatnonzero(mark)], 1)
+            np.subtract.at(seen, slot[touched], 1)
         symbols[at] = name[r]
         last[at] |= last[second]
         then = after[second]
@@ -122,7 +123,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int, ea
         inside = then < len(symbols)
         before[then[inside]] = at[inside]
         slot[second], dead[second], mark[second] = SLOTS, True, False
-        fresh = np.flatnonzero(mark)
+        fresh = touched[mark[touched]]
         mark[fresh] = False
         slot[fresh] = _slots(symbols[fresh], symbols[np.minimum(after[fresh], len(symbols) - 1)], last[fresh])
         if few:

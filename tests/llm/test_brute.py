@@ -181,3 +181,17 @@ def test_document_frequency_is_summed_before_the_join(spark):
     assert {(r["t"], r["df"]) for r in out.collect()} == {(signed(b"alpha"), 60), (signed(b"beta1"), 20)}
     nodes = [line.lstrip(" :+-") for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
     assert next(n for n in nodes if not n.startswith("Project")).startswith("Join Inner")
+
+
+def test_parts_without_the_pattern():
+    """Parts of folding files are taken apart without the pattern, as it would; holes are found without a step for each value."""
+    from ledgerflow.llm import encoding
+
+    rng = random.Random(31)
+    enc = encoding.PartEncoder.__new__(encoding.PartEncoder)
+    enc.folds = True
+    for _ in range(3000):
+        part = "".join(rng.choice("abZé9ßж.,!'’&-_") for _ in range(rng.randint(1, 6)))
+        m = encoding.TAIL.fullmatch(part)
+        assert enc._pieces(part) == ([m[1], m[2]] if m else [part])
+    assert encoding._places([None, b"", None, b"x", None], None) == [0, 2, 4] and encoding._places([b""], None) == []
